@@ -47,6 +47,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch between the JVM and Python; whole texts are large and such batches are held several times over.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once the session hands rows to Python in batches of at most BATCH_ROWS."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,7 +88,7 @@ class WordHashes(dict):
         return value
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[list, list]]:
+def texts_of(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[tuple[list, list]]:
     """(ids, texts) of a two-column stream, at most `rows` at a time so that few texts are Python objects at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, stash, texts_of
+from .common import WordHashes, discard, small_batches, stash, texts_of
 
 T, BANDS, ROWS = 128, 32, 4
 _U = np.uint64
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Null, empty and blank texts have an empty set and stay alone.  Rows of equal sets are one node, so repeated rows and ties
     share a component; rows that repeat one doc_id each get a row.  A null id never becomes a component's id unless all its
     ids are null.  Other columns, whatever their names, are ignored.  An empty table gives an empty result."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stash(docs.mapInArrow(_sketcher(size), SKETCHED), "sketches")
     firsts = [F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "p0", "p1", "p2", "p3", "bands")]
     nodes = stash(rows.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("rep"), *firsts), "nodes")
