@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.session import ship
+
 #: The white space of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -52,7 +54,8 @@ BATCH_ROWS = 512
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, once the session hands rows to Python in batches of at most BATCH_ROWS."""
+    """df, once the executors have this package and the session hands rows to Python in batches of at most BATCH_ROWS."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, shuffle_width, stash
+from .common import ASCII_SPACE, shuffle_width, small_batches, stash
 
 CHUNK_ROWS = 65_536
 OWNER_ROWS = 1_000_000
@@ -124,7 +124,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points in its original text stays, ties go to the smallest doc_id.  Null ids lose every tie; rows that
     repeat the kept doc_id with as many code points are all marked kept, since nothing tells them apart.  Other columns are ignored."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     norm = F.translate("text", ASCII_SPACE, "")
     rows = stash(docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"), F.char_length("text").alias("points")), "digests")
     total = rows.count()

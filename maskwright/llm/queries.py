@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import decode, encode
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .line_dedup import drop_frequent_lines
 from .minhash_dedup import near_duplicates
+from .packing import pack
+from .sharding import shard_by_bytes
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +28,34 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = decode(encode(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(documents(spark, sf_dir), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(documents(spark, sf_dir), WORD_BPE, end_id=1, limit=2048, payload=F.crc32("ids").alias("ids_crc32"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_frequent_lines(documents(spark, sf_dir), least=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,5 +68,32 @@ r AS (
   SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
+""",
+    "op6_sharding": r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+         xor(4294967295, list_reduce(list_transform(string_split_regex(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g'), ' '), lambda h: CASE WHEN h = '' THEN NULL ELSE ('0x' || h)::BIGINT END),
+             lambda c, b: CASE WHEN b IS NULL THEN c ELSE xor(c >> 8, t[1 + xor(c & 255, b)]) END, 4294967295)) AS text_crc32
+  FROM documents, crc_table),
+p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) - (size + 1) // 2 AS middle, sum(size) OVER () AS total FROM d),
+s AS (
+  SELECT *, CAST(least(23, 24 * middle // total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+""",
+    "op10_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """,
 }
