@@ -8,22 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_crf, toxicity
 from .byte_bpe import decode, encode
-from .common import documents
+from .common import documents, is_held_out, labels
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_frequent_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .secret_scan import scan
 from .sharding import shard_by_bytes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Labelled documents of a language that the language model is fitted to.
+LANGUAGE_SAMPLE = 400
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=2, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_crf.fit(language_crf.training_windows(docs.where(~is_held_out()), LANGUAGE_SAMPLE))
+    return language_crf.identify(docs, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -44,18 +54,42 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    named = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(toxicity.training_samples(docs.where(~is_held_out()), labels(spark, sf_dir).where(~is_held_out())))
+    return toxicity.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(documents(spark, sf_dir), least=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # itself made of this folder's operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
