@@ -152,7 +152,7 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id"
     A line's key is the line without ASCII white space at its ends, A-Z in lower case; empty keys are never frequent.  A null or empty text is one
     empty line and comes back empty.  Documents are counted by id: rows that repeat an id are one document (rows without an id count by text).  Other columns pass through;
     columns named n_lines or n_dropped are replaced."""
-    bitmaps = keep_bitmaps(docs, least, id_col, text_col).withColumnsRenamed({"doc": "_doc", "print": "_print", "keep_bitmap": "_bitmap", "n_dropped": "_n_dropped"})
+    bitmaps = keep_bitmaps(docs, least, id_col, text_col).withColumnsRenamed({"doc": "_doc", "print": "_print", "keep_bitmap": "_bitmap", "n_dropped": "_n_dropped"}).hint("shuffle_hash")  # texts need no sort; a partition's bitmaps are small
     docs = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     mark = F.xxhash64(text)
