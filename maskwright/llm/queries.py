@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_crf, toxicity
+from . import audio_fingerprint, language_crf, toxicity
 from .byte_bpe import decode, encode
-from .common import documents, is_held_out, labels
+from .common import documents, is_held_out, labels, stash
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_frequent_lines
 from .minhash_dedup import near_duplicates
@@ -38,6 +38,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: every embedding is played as a melody, and each recording is aligned with the recordings whose id is divisible by 50."""
+    recordings = audio_fingerprint.recordings_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    prints = stash(audio_fingerprint.fingerprints(recordings), "melodies")
+    found = audio_fingerprint.align(prints, prints.where("id % 50 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = decode(encode(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_audio_fingerprint": op4_audio_fingerprint,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
