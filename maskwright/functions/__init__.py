@@ -1 +1 @@
-"""See README.md for the layout."""
+"""Column -> Column functions; none of them leaves the JVM."""
