@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,42 +9,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.session import ship
+from maskwright.session import shared_folder, ship, shuffle_width, stash  # noqa: F401
 
 #: The white space of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='maskwright-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: its lineage ends there, so a
-    lost executor costs a re-read, and later steps all see the very same rows and row order."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/maskwright/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = f"{shared_folder(spark)}/maskwright/"
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/maskwright/" in folder and folder.split("/maskwright/")[0].rsplit("/", 1)[-1] == root.rstrip("/").split("/")[-2]:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/maskwright/" in f}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a batch between the JVM and Python; whole texts are large and such batches are held several times over.
@@ -62,10 +36,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -97,3 +67,22 @@ def texts_of(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Itera
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+#: Rows and characters at which a group of rows is large enough.
+GROUP_ROWS, GROUP_CHARS = 4096, 12_000_000
+
+
+def row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of enough rows at once that a replay is worth its steps, of bounded size."""
+    ids, texts, chars = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        new = batch.column(1).to_pylist()
+        texts += new
+        chars += sum(len(t) for t in new if t)
+        if len(ids) >= GROUP_ROWS or chars >= GROUP_CHARS:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts

@@ -7,44 +7,100 @@ sequence crosses documents and, lengths being powers of two, none is padded.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, texts_of
+from .byte_bpe import gather
+from .common import BATCH_ROWS, row_groups, small_batches, stash
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self)
+        return number
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins characters across ASCII white space.
 
-    Each word between white space is encoded once by the tokenizers library and remembered, up to `bound` words."""
+    Each word between white space is encoded once by the tokenizers library and remembered, up to `bound` words.  New words are
+    encoded many at a time as one text, with a private-use character between them whose ids mark where each word ends; words that
+    hold that character are encoded alone."""
+
+    MARK = "\ue000"
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.bound = bound
-        self.known: dict[bytes, bytes] = {}
+        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many each word has)."""
+        text = f" {self.MARK} ".join(words) + f" {self.MARK}"
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        k = len(self.mark)
+        hit = np.ones(len(ids) - k + 1, bool)
+        for n in range(k):
+            hit &= ids[n : len(ids) - k + 1 + n] == self.mark[n]
+        at = np.flatnonzero(hit)
+        if len(at) != len(words):
+            raise ValueError("the tokenizer joins words across white space")
+        keep = np.ones(len(ids), bool)
+        keep[(at[:, None] + np.arange(k)).ravel()] = False
+        return ids[keep], np.diff(at, prepend=-k) - k
+
+    def _learn(self, words: list[str]) -> None:
+        alone = [n for n, w in enumerate(words) if self.MARK in w]
+        parts, counts = [], []
+        plain = [w for w in words if self.MARK not in w] if alone else words
+        for lo in range(0, len(plain), 2000):
+            ids, n = self._joined(plain[lo : lo + 2000])
+            parts.append(ids)
+            counts.append(n)
+        ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        count = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        for n in alone:
+            own = np.array(self.tokenizer.encode(words[n], add_special_tokens=False).ids, np.uint32)
+            ids = np.insert(ids, int(count[:n].sum()), own)
+            count = np.insert(count, n, len(own))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if len(self.numbers) > self.bound:
+            self._forget()
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for s in split for w in s if w not in known})
-        for lo in range(0, len(fresh), 10_000):
-            words = fresh[lo : lo + 10_000]
-            for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        number = self.numbers.__getitem__
+        which = [np.fromiter(map(number, s), np.int64, len(s)) for s in split]
+        if self.numbers.fresh:
+            self._learn([w.decode("utf-8", "replace") for w in self.numbers.fresh])
+            self.numbers.fresh = []
+        ids, ends = gather(self.ids, self.ends, np.concatenate(which) if which else np.empty(0, np.int64))
+        ends = 4 * ends[np.concatenate([[0], np.cumsum([len(w) for w in which])])]
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)
@@ -71,7 +127,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens, part, seen = word_tokens(path), TaskContext.get().partitionId(), {}
         end = int(end_id).to_bytes(4, "little")
-        for ids, texts in texts_of(batches):
+        for ids, texts in row_groups(batches):
             out: list[list] = [[] for _ in range(7)]
             for doc_id, raw in zip(ids, tokens.encode_batch(texts), strict=True):
                 raw += end
@@ -84,7 +140,9 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
                         column.append(value)
                     start += length
             kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+            whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                yield whole.slice(at, BATCH_ROWS)
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
