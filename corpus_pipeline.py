@@ -1,6 +1,6 @@
 """A corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-1. language: documents whose language cannot be told (no letter, or no language with half of the words' weight) go.
+1. language: documents whose language cannot be told (no letter, or no language with a third of the words' weight) go.
 2. lines: lines that ten or more of the remaining documents share go from all of them.
 3. near_dedup: of every group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays.
 4. secrets: secrets in the remaining texts are replaced by [SECRET]; no document goes.
@@ -25,7 +25,8 @@ from maskwright.llm.packing import pack
 from maskwright.llm.queries import LANGUAGE_SAMPLE
 from maskwright.llm.secret_scan import redact
 
-LEAST_SCORE = 0.5
+#: A text whose words are shared out over many languages is not told; code-switched texts of two or three languages stay.
+LEAST_SCORE = 0.34
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
