@@ -14,9 +14,10 @@ Steps, all distributed:
 3. nodes that share a band key meet at their bucket's smallest node (a star, linear in the bucket, never
    all pairs); pairs pass if sizes and bit planes allow a similarity of the threshold, and are then verified on the full sets;
 4. connected components of the verified links (alternating large and small stars on tables);
-5. what a star cannot decide: buckets that still hold several components.  There every node outside the
-   bucket's largest component is compared with the nodes of other components, inside the join's
-   condition, so that only pairs that the bit planes allow leave the join; they are verified too;
+5. what a star cannot decide: buckets that still hold several components.  Nodes outside the bucket's largest component first try
+   six random members of it.  Of the buckets still open then, those of up to 64 members give all pairs across components that sizes and bit planes
+   allow; larger ones are cut into blocks of bounded size, and each pair of blocks compares its members with their full sets in place and
+   returns only links;
 6. components of all links; each row gets the smallest doc_id of its component.
 
 A pair at exactly 0.8 is missed by all 32 bands of 4 rows with probability (1 - 0.8^4)^32 < 1e-7 and by the bit planes
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, discard, small_batches, stash, texts_of
 
 T, BANDS, ROWS = 128, 32, 4
+#: Members up to which a bucket's pairs are joined, and shingles of a block of larger buckets.
+FEW, BLOCK_SHINGLES = 64, 500_000
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -51,6 +54,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 with np.errstate(over="ignore"):
     _SEEDS = _mix(np.arange(1, 2 * T + 1, dtype=_U) * _GOLD)
+    _SALTS = _mix(np.arange(2001, 2007, dtype=_U) * _GOLD).view(np.int64).tolist()
     _BAND_SEEDS = _mix(np.arange(1001, 1001 + BANDS, dtype=_U) * _GOLD)
 
 
@@ -148,14 +152,18 @@ def _full_sets(size: int):
     return run
 
 
-def _allowed(percent: int, a: str, b: str):
-    """Whether sizes and bit planes leave room for a similarity of percent / 100: an unequal coordinate shows in two random bits three times of four, and 5.5 standard deviations are added."""
+def _most_unequal(percent: int) -> int:
+    """Unequal coordinates that the bit planes may show at a similarity of percent / 100: one shows in two random bits three times of four, and 5.5 standard deviations are added."""
     miss = (1 - percent / 100) * 0.75
-    most = int(T * miss + 5.5 * sqrt(T * miss * (1 - miss))) + 1
+    return int(T * miss + 5.5 * sqrt(T * miss * (1 - miss))) + 1
+
+
+def _allowed(percent: int, a: str, b: str):
+    """Whether sizes and bit planes leave room for a similarity of percent / 100."""
     x = [F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}")) for k in range(4)]
     unequal = F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
     lo, hi = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (lo * 100 >= hi * percent) & (unequal <= most)
+    return (lo * 100 >= hi * percent) & (unequal <= _most_unequal(percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,19 +199,85 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("nid", "rep").join(wanted, "nid")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(nid, shingles) of the nodes of wanted (nid), from the whole text of one document each."""
+    wanted = nodes.select("nid", "rep").join(wanted.distinct(), "nid")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "text")
-    sets = stash(texts.mapInArrow(_full_sets(size), "nid long, shingles array<long>").dropDuplicates(["nid"]), "sets")
+    return stash(texts.mapInArrow(_full_sets(size), "nid long, shingles array<long>").dropDuplicates(["nid"]), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     one = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    links = stash(met.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"), "links")
-    discard(sets)
-    return links
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+    return stash(met.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"), "links")
+
+
+def _open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component, their bucket's largest one, and its members and shingles."""
+    placed = shared.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("members"), F.sum("t").alias("weight")).where("parts > 1")
+    return stash(placed.join(main.select("bucket", F.col("top.component").alias("main"), "members", "weight"), "bucket"), "open")
+
+
+def _block_links(percent: int):
+    """All members x outside the main component and all members y of one block each -> links between their components, at most one less than there are components."""
+    most = _most_unequal(percent)
+
+    def columns(t: pa.Table):
+        planes = np.stack([t.column(f"p{k}").to_numpy().view(_U) for k in range(4)], axis=1)
+        bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(len(planes), BANDS)
+        flat = t.column("shingles").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
+        return t.column("nid").to_numpy(), t.column("component").to_numpy(), t.column("n").to_numpy(), planes, bands, flat.flatten().to_numpy().view(_U), ends
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            bucket = left.column("bucket")[0].as_py()
+            xn, xc, xs, xp, xb, xf, xe = columns(left)
+            yn, yc, ys, yp, yb, yf, ye = columns(right)
+            top: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := top.get(c, c)) != c:
+                    c = up
+                return c
+
+            for i in range(len(xn)):
+                z = yp ^ xp[i]
+                unequal = np.bitwise_count(z[:, 0] | z[:, 2]) + np.bitwise_count(z[:, 1] | z[:, 3])
+                near = (yc != xc[i]) & (unequal <= most) & (np.minimum(ys, xs[i]) * 100 >= np.maximum(ys, xs[i]) * percent)
+                at = np.flatnonzero(near)
+                # a pair is looked at in the first bucket that it shares
+                at = at[yb[at, (yb[at] == xb[i]).argmax(axis=1)] == bucket] if len(at) else at
+                own = xf[xe[i] : xe[i + 1]]
+                for j in at.tolist():
+                    a, b = root(int(xc[i])), root(int(yc[j]))
+                    if a != b:
+                        other = yf[ye[j] : ye[j + 1]]
+                        place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                        both = int((own[place] == other).sum())
+                        if both * 100 >= (len(own) + len(other) - both) * percent:
+                            top[a] = b
+                            out_a.append(int(xn[i]))
+                            out_b.append(int(yn[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _large_bucket_links(still: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links across components in buckets of many members.  A bucket is cut into blocks by its weight; each pair of blocks is one group that gets the full sets of its members and returns links alone, so pairs are compared but never sent."""
+    full = still.join(sets, "nid").join(nodes.select("nid", "bands"), "nid")
+    full = full.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).withColumn("block", F.pmod("nid", F.col("blocks")).cast("int"))
+    all_blocks = F.explode(F.expr("sequence(0, blocks - 1)"))
+    kept = ["bucket", "nid", "component", "n", "p0", "p1", "p2", "p3", "bands", "shingles"]
+    x = full.where("component <> main").select(*kept, F.col("block").alias("i"), all_blocks.alias("j"))
+    y = full.select(*[F.col(c).alias(c) for c in kept], F.col("block").alias("j"), all_blocks.alias("i"))
+    return x.groupBy("bucket", "i", "j").cogroup(y.groupBy("bucket", "i", "j")).applyInArrow(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,21 +298,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     star = shared.where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b")).distinct()
     star = star.join(marks.alias("m"), F.col("a") == F.col("m.nid")).join(marks.alias("h"), F.col("b") == F.col("h.nid")).where(_allowed(percent, "m", "h"))
     star = stash(star.select("a", "b"), "star")
-    links = _verified(star, nodes, docs, size, percent)
+    star_sets = _sets_of(star.select(F.col("a").alias("nid")).union(star.select("b")), nodes, docs, size)
+    links = _linked(star, star_sets, percent)
+    discard(star_sets)
     found = components(links)
 
-    placed = shared.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    still = stash(placed.drop("head").join(open_, "bucket"), "open")
-    a, b = still.where("component <> main").alias("x"), still.alias("y")
-    rest = a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid"))) & _allowed(percent, "x", "y"))
-    rest = rest.select(F.greatest("x.nid", "y.nid").alias("a"), F.least("x.nid", "y.nid").alias("b")).distinct()
-    rest = stash(rest.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, nodes, docs, size, percent)
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    # copies of one text that differ from each other more than from it hold together only through a central one: the nodes
+    # outside a bucket's largest component try several of its members before everything that is left is looked at
+    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    still = _open_buckets(shared.drop("head"), found)
+    sets = _sets_of(still.select("nid"), nodes, docs, size)
+    heads = still.where("component = main").groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in _SALTS])).alias("heads"))
+    tries = still.where("component <> main").join(heads, "bucket").select(F.col("nid").alias("a"), F.explode("heads").alias("b")).distinct()
+    tries = tries.join(marks.alias("m"), F.col("a") == F.col("m.nid")).join(marks.alias("h"), F.col("b") == F.col("h.nid")).where(_allowed(percent, "m", "h")).select("a", "b")
+    joined = joined.union(_linked(tries, sets, percent))
+    found = components(joined)
+
+    rest = _open_buckets(still.drop("component", "main", "members", "weight"), found)
+    discard(still)
+    few = rest.where(F.col("members") <= FEW)
+    x, y = few.where("component <> main").alias("x"), few.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
+    pairs = x.join(y, apart & _allowed(percent, "x", "y")).select(F.greatest("x.nid", "y.nid").alias("a"), F.least("x.nid", "y.nid").alias("b")).distinct()
+    more = stash(_linked(pairs, sets, percent).union(_large_bucket_links(rest.where(F.col("members") > FEW), sets, nodes, percent)), "links")
+    if not more.isEmpty():
+        found = components(joined.union(more))
 
     in_part = nodes.select("nid", "rep").join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     least = in_part.groupBy("component").agg(F.min("rep").alias("component_id"))
