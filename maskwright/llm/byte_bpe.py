@@ -69,7 +69,7 @@ class PairRanks:
 class ByteBpe:
     """encode() and decode() of one vocabulary; remembers the ids of up to `bound` pieces and those of the current group of texts."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 600_000):
+    def __init__(self, path: str, pattern: str, bound: int = 400_000):
         self.ranks = read_ranks(path)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairRanks(self.ranks)

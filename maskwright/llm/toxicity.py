@@ -60,8 +60,14 @@ class Linear:
     bias: float
 
 
-def fit(samples: list[tuple[int, np.ndarray]], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, seed: int = 5) -> Linear:
-    """FTRL-proximal over (label, distinct buckets); the same samples in the same order give the same model. Without samples every score is 0."""
+def fit(samples: list[tuple[int, np.ndarray]], epochs: int = 6, least: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, seed: int = 5) -> Linear:
+    """FTRL-proximal over (label, distinct buckets); the same samples in the same order give the same model. Without samples every score is 0.
+
+    Buckets of fewer than `least` samples are left out: they tell nothing about other documents."""
+    often = np.zeros(1 << BITS, np.int64)
+    for _, i in samples:
+        often[i] += 1
+    samples = [(label, i[often[i] >= least]) for label, i in samples]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
     rng = np.random.default_rng(seed)
@@ -100,8 +106,8 @@ def training_samples(docs: DataFrame, marks: DataFrame, most: int = 16_000, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "buckets"])
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text").limit(2 * most)  # marks: at most `most` rows of two numbers
-    found = rows.mapInArrow(run, "doc_id long, toxic int, buckets binary").collect()
+    rows = rows.join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text")  # marks: at most `most` rows of two numbers
+    found = rows.mapInArrow(run, "doc_id long, toxic int, buckets binary").limit(2 * most).collect()
     return [(r[1], np.frombuffer(r[2], np.uint32)) for r in sorted(found)]
 
 
