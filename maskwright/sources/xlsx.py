@@ -2,13 +2,16 @@
 
 `spark.read.format("xlsx").load(path)` gives one row per sheet row: sheet, sheet_idx, row_idx and cells, an array of tagged values
 (t is s, n, b, d or null).  Only values are read: no formulas, styles or comments.  A file is a zip archive that has to be read from its
-start, so a file is one partition; many files are read in parallel.  Files are opened by Spark's own binary reader, so any store that Spark reads will do.
+start, so a file is one partition; many files are read in parallel.  The source opens files itself, so they must be on a file system that all executors mount; read_xlsx() takes them through
+Spark's own binary reader and so from any store.
 """
 
 from __future__ import annotations
 
 import csv
+import glob
 import io
+import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -118,9 +121,9 @@ def read_workbook(data: bytes, only: str | None = None) -> Iterator[tuple[str, i
                 yield name, n, at - top, [own.get(c, NO_CELL) for c in range(left, right + 1)]
 
 
-class _Bytes(InputPartition):
-    def __init__(self, data: bytes):
-        self.data = data
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
 
 
 class XlsxReader(DataSourceReader):
@@ -130,11 +133,17 @@ class XlsxReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if not self.path:
             raise ValueError("give the path of a workbook")
-        spark = SparkSession.active()
-        return [_Bytes(bytes(r[0])) for r in spark.read.format("binaryFile").load(self.path).orderBy("path").select("content").toLocalIterator()]
-
-    def read(self, partition: _Bytes):
-        for sheet, n, at, cells in read_workbook(partition.data, self.sheet):
+        here = self.path.removeprefix("file://")
+        found = sorted(glob.glob(f"{here}/*") if os.path.isdir(here) else glob.glob(here))
+        files = [f for f in found if accepts(f)]
+        if not files:
+            raise FileNotFoundError(f"no workbook at {self.path}")
+        return [_File(f) for f in files]
+
+    def read(self, partition: _File):
+        with open(partition.path, "rb") as f:
+            data = f.read()
+        for sheet, n, at, cells in read_workbook(data, self.sheet):
             if not self.limit or at < self.limit:
                 yield sheet, n, at, [tuple(c.values()) for c in cells]
 

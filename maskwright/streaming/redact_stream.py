@@ -20,5 +20,6 @@ def redact_stream(stream: DataFrame, plan: RedactionPlan, salt: str) -> DataFram
 def change_counts_by_window(stream: DataFrame, plan: RedactionPlan, salt: str, time_col: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Changed cells of each active column per time window; windows close when the watermark passes them."""
     names, types = stream.columns, [f.dataType for f in stream.schema.fields]
-    sums = [F.count_if(changed(stream[names[p.index]], redact_column(stream[names[p.index]], types[p.index], p, salt), types[p.index])).alias(f"c{p.index}") for p in plan.active]
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w")).agg(*sums).select("w.start", "w.end", *[f"c{p.index}" for p in plan.active])
+    sums = [F.count_if(changed(F.col(f"`{names[p.index]}`"), redact_column(F.col(f"`{names[p.index]}`"), types[p.index], p, salt), types[p.index])).alias(f"c{p.index}") for p in plan.active]
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))  # watermarks need an instant
+    return timed.withWatermark(time_col, late).groupBy(F.window(time_col, width).alias("w")).agg(*sums).select("w.start", "w.end", *[f"c{p.index}" for p in plan.active])
