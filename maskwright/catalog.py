@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,15 @@ from pyspark.sql import types as T
 from . import sqltwins as q
 from .functions import cells, masks, validators
 from .functions.fake import draws, fake, fake_currency, fnv_seed
+from .operators.header_row import SHEET, detect_header_row, to_table
 from .operators.profile import profile
 from .operators.pseudonym import alias_table, consistent_fake, digest
 from .operators.redact import change_counts, preview, redact
 from .plans.lexicon import column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
+from .session import shared_folder
+from .sources.xlsx import build_workbook, read_xlsx, sheet_rows, summarise
+from .streaming.redact_stream import redact_stream
 
 SALT = "fixed-salt"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +249,87 @@ def _survivors(s: SparkSession, d: str) -> DataFrame:
 
 
 add("no_original_survives", _survivors, "SELECT CAST(0 AS BIGINT) AS survivors")
+
+# --- sheets, files and streams
+SHEETS: list[list[list]] = [
+    [["Nama", "Email", "Gaji"], ["Budi", "b@a.com", 1], ["Siti", "s@a.com", 2]],
+    [["Laporan 2024", None, None], [None, None, None], ["Nama", "Email", "Gaji"], ["Budi", "b@a.com", 1], ["Siti", "s@a.com", 2]],
+    [[1, 2, 3], [4, 5, 6], [7, 8, 9]],
+    [["Title"], ["Nama", "Email"], ["Budi", "b@a.com"]],
+    [["id", "id", "qty"], ["1,5", "2.25", 7], [" ", "x", None]],
+    [["a", "b"], ["c", "d"], ["e", "f"], ["g", "h"], ["i", "j"], ["k", "l"], ["m", "n"], ["o", "p"], ["q", "r"], ["s", "t"], [1, 2], [3, 4]],
+]
+
+
+def _sheet(s: SparkSession, rows: list[list]) -> DataFrame:
+    cell = lambda v: (None,) * 5 if v is None else ("s", v, None, None, None) if isinstance(v, str) else ("n", None, float(v), None, None)
+    return s.createDataFrame([(i, [cell(v) for v in r]) for i, r in enumerate(rows)], SHEET)
+
+
+def _header_rows(s: SparkSession, d: str) -> DataFrame:
+    found = [detect_header_row(_sheet(s, rows)).select(F.lit(n).alias("sheet"), "header_index", F.round("confidence", 6).alias("confidence"), F.size("candidates").alias("candidates")) for n, rows in enumerate(SHEETS)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def _sheet_values() -> str:
+    text = lambda v: "NULL" if v is None else q.quoted(f"s{v}" if isinstance(v, str) else f"n{v}")
+    return ", ".join(f"({n}, {i}, [{', '.join(map(text, r))}]::VARCHAR[])" for n, rows in enumerate(SHEETS) for i, r in enumerate(rows))
+
+
+_LABEL = "(c IS NOT NULL AND c[1] = 's' AND trim(c[2:]) <> '' AND NOT regexp_matches(trim(c[2:]), '^[0-9]+([.,][0-9]+)?$'))"
+_FULL = "(c IS NOT NULL AND trim(c[2:]) <> '')"
+_B_LABEL, _B_FULL = (x.replace("c[", "b[").replace("c IS", "b IS") for x in (_LABEL, _FULL))
+add(
+    "header_row_detect", _header_rows,
+    f"""
+WITH v(sheet, i, cells) AS (VALUES {_sheet_values()}),
+n AS (SELECT *, lead(cells) OVER (PARTITION BY sheet ORDER BY i) AS below FROM v),
+e AS (SELECT sheet, i, len(cells) AS width, unnest(cells) AS c, unnest(list_resize(coalesce(below, []), len(cells))) AS b FROM n),
+r AS (SELECT sheet, i, any_value(width) AS width, CAST(count(*) FILTER ({_FULL}) AS DOUBLE) AS filled, count(*) FILTER ({_LABEL}) AS labels, count(DISTINCT lower(trim(c[2:]))) FILTER ({_FULL}) AS names,
+  count(*) FILTER ({_FULL} AND {_B_FULL}) AS pairs, count(*) FILTER ({_FULL} AND {_B_FULL} AND {_LABEL} <> {_B_LABEL}) AS differ FROM e GROUP BY sheet, i),
+s AS (SELECT sheet, i, CASE WHEN filled < 2 THEN 0.0 ELSE filled / width * 0.2 + labels / filled * 0.3 + names / filled * 0.2 + CASE WHEN pairs = 0 THEN 0.0 ELSE differ / CAST(pairs AS DOUBLE) END * 0.3 END AS score FROM r WHERE i < 10),
+k AS (SELECT sheet, max(score) AS best, list(score ORDER BY score DESC, i)[2] AS second, arg_min(i, (-score, i)) AS top, count(*) AS candidates FROM s GROUP BY sheet)
+SELECT sheet, CASE WHEN best >= 0.55 AND least(1.0, best * CASE WHEN best - coalesce(second, 0) > 0.1 THEN 1 ELSE 0.75 END) >= 0.55 THEN top END AS header_index,
+  round(CASE WHEN best < 0.55 THEN best ELSE least(1.0, best * CASE WHEN best - coalesce(second, 0) > 0.1 THEN 1 ELSE 0.75 END) END, 6) AS confidence, CAST(candidates AS INTEGER) AS candidates FROM k
+""",
+)
+
+
+def _workbook(s: SparkSession, d: str) -> DataFrame:
+    """Two small dimension tables written as one workbook, in the shared folder through Spark's file system, and read back."""
+    sheets = []
+    for name in ("nation", "region"):
+        t = table(s, d, name)
+        sheets.append((name, iter([t.columns, *map(list, t.orderBy(t.columns[0]).toLocalIterator())])))
+    path = f"{shared_folder(s)}/maskwright/tables-{uuid.uuid4().hex}.xlsx"
+    jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
+    out = jvm.org.apache.hadoop.fs.Path(path)
+    stream = out.getFileSystem(conf).create(out)
+    stream.write(bytearray(build_workbook(sheets)))
+    stream.close()
+    return read_xlsx(s, path)
+
+
+def _xlsx_round_trip(s: SparkSession, d: str) -> DataFrame:
+    rows = to_table(sheet_rows(_workbook(s, d), "nation"), 0, ["n_nationkey", "n_name", "n_regionkey"])
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+add("xlsx_round_trip", _xlsx_round_trip, "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation")
+add("xlsx_summary", lambda s, d: summarise(_workbook(s, d)), "SELECT 'nation' AS name, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS col_count FROM nation UNION ALL SELECT 'region', CAST(count(*) + 1 AS INTEGER), 2 FROM region")
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """customer as a stream, redacted into a table until all of it has been seen."""
+    t = table(s, d, "customer")
+    stream = s.readStream.schema(t.schema).option("pathGlobFilter", "customer.parquet").parquet(d)
+    base = f"{shared_folder(s)}/maskwright/stream-{uuid.uuid4().hex}"
+    out = redact_stream(stream, _plan(c_name=("hash", "name", {}), c_mktsegment=("partial", "text", {}))(t), SALT)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows").awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{base}/rows")
+
+
+add("stream_redact", _stream, f"SELECT c_custkey, {q.digest('c_name', SALT)} AS c_name, c_nationkey, c_acctbal, {q.generic('c_mktsegment')} AS c_mktsegment FROM customer")
