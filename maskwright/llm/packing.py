@@ -7,98 +7,120 @@ sequence crosses documents and, lengths being powers of two, none is padded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import gather
-from .common import BATCH_ROWS, row_groups, small_batches, stash
+from .common import BATCH_ROWS, GROUP_CHARS, GROUP_ROWS, small_batches, stash
 
 
 class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for, and lists the new ones."""
+    """Numbers texts in the order in which they are first asked for, and lists the new ones."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.fresh: list[bytes] = []
+        self.fresh: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(word)
-        number = self[word] = len(self)
+    def __missing__(self, text: str) -> int:
+        self.fresh.append(text)
+        number = self[text] = len(self)
         return number
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer that never joins characters across ASCII white space.
 
-    Each word between white space is encoded once by the tokenizers library and remembered, up to `bound` words.  New words are
-    encoded many at a time as one text, with a private-use character between them whose ids mark where each word ends; words that
-    hold that character are encoded alone."""
+    Texts are cut at white space and their distinct words numbered outside Python.  A word of Latin letters and marks of punctuation behind
+    them is the ids of its lower-case letters and those of its marks, which the tokenizer always parts; any other word is taken whole.  Each such piece is
+    encoded once by the tokenizers library.  Up to `word_bound` words and `piece_bound` pieces are remembered."""
 
-    MARK = "\ue000"
+    MARKS = ".,;:!?"
+    LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, word_bound: int = 400_000, piece_bound: int = 700_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.bound = bound
-        self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, np.uint32)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, how many each word has)."""
-        text = f" {self.MARK} ".join(words) + f" {self.MARK}"
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        k = len(self.mark)
-        hit = np.ones(len(ids) - k + 1, bool)
-        for n in range(k):
-            hit &= ids[n : len(ids) - k + 1 + n] == self.mark[n]
-        at = np.flatnonzero(hit)
-        if len(at) != len(words):
-            raise ValueError("the tokenizer joins words across white space")
-        keep = np.ones(len(ids), bool)
-        keep[(at[:, None] + np.arange(k)).ravel()] = False
-        return ids[keep], np.diff(at, prepend=-k) - k
+        self.word_bound, self.piece_bound = word_bound, piece_bound
+        # the one character that stands for each byte in the model's alphabet, as its own byte-level step gives them
+        self.byte_letters = {b: letter for c in map(chr, [*range(97, 123), *range(0xC0, 0x100)]) for b, letter in zip(c.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0], strict=True)}
+        self._forget_words()
+        self._forget_pieces()
+
+    def _forget_words(self) -> None:
+        self.words: dict[str, int] = {}
+        self.word_ids, self.word_ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _forget_pieces(self) -> None:
+        self.pieces = _Numbers()
+        self.piece_ids, self.piece_ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Letters and marks go straight to the tokenizer's model, byte by byte in its own alphabet, as its normalizer and its splitter leave them as they are."""
+        tokenize = self.tokenizer.model.tokenize
+        each: list[list[int] | None] = []
+        for p in pieces:
+            if p.isascii():
+                each.append([t.id for t in tokenize(p)] if p.islower() and p.isalpha() or not p.strip(self.MARKS) else None)
+            else:
+                each.append([t.id for t in tokenize("".join(map(self.byte_letters.__getitem__, p.encode())))] if self.LATIN(p) else None)
+        rest = [p for p, ids in zip(pieces, each, strict=True) if ids is None]
+        found: list[list[int]] = []
+        for lo in range(0, len(rest), 2000):
+            part = rest[lo : lo + 2000]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        others = iter(found)
+        each = [next(others) if ids is None else ids for ids in each]
+        self.piece_ids = np.concatenate([self.piece_ids, np.fromiter(chain.from_iterable(each), np.uint32)])
+        self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
 
     def _learn(self, words: list[str]) -> None:
-        alone = [n for n, w in enumerate(words) if self.MARK in w]
-        parts, counts = [], []
-        plain = [w for w in words if self.MARK not in w] if alone else words
-        for lo in range(0, len(plain), 2000):
-            ids, n = self._joined(plain[lo : lo + 2000])
-            parts.append(ids)
-            counts.append(n)
-        ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        count = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        for n in alone:
-            own = np.array(self.tokenizer.encode(words[n], add_special_tokens=False).ids, np.uint32)
-            ids = np.insert(ids, int(count[:n].sum()), own)
-            count = np.insert(count, n, len(own))
-        self.ids = np.concatenate([self.ids, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.numbers) > self.bound:
-            self._forget()
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        number = self.numbers.__getitem__
-        which = [np.fromiter(map(number, s), np.int64, len(s)) for s in split]
-        if self.numbers.fresh:
-            self._learn([w.decode("utf-8", "replace") for w in self.numbers.fresh])
-            self.numbers.fresh = []
-        ids, ends = gather(self.ids, self.ends, np.concatenate(which) if which else np.empty(0, np.int64))
-        ends = 4 * ends[np.concatenate([[0], np.cumsum([len(w) for w in which])])]
+        bodies = [w.rstrip(self.MARKS) for w in words]
+        plain = [b.isalpha() and (b.isascii() or self.LATIN(b) is not None) for b in bodies]
+        letters = [b.lower() if p else w for w, b, p in zip(words, bodies, plain, strict=True)]
+        marks = [w[len(b) :] if p else "" for w, b, p in zip(words, bodies, plain, strict=True)]
+        parts = np.empty(2 * len(words), np.int64)
+        number = self.pieces.__getitem__
+        parts[0::2] = np.fromiter(map(number, letters), np.int64, len(words))
+        parts[1::2] = np.fromiter(map(number, marks), np.int64, len(words))
+        if self.pieces.fresh:
+            self._encode_pieces(self.pieces.fresh)
+            self.pieces.fresh = []
+        ids, ends = gather(self.piece_ids, self.piece_ends, parts)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.word_ids = np.concatenate([self.word_ids, ids])
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + ends[2::2]])
+
+    def encode_batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        if len(self.words) > self.word_bound:
+            self._forget_words()
+        if len(self.pieces) > self.piece_bound:
+            self._forget_pieces()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        first = len(self.words)
+        number = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self._learn([distinct[n] for n in new.tolist()])
+            number[new] = np.arange(first, first + len(new))
+        ids, ends = gather(self.word_ids, self.word_ends, number[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64))
+        sizes = split.value_lengths().to_numpy()
+        ends = 4 * ends[np.concatenate([[0], np.cumsum(sizes)])]
         raw = ids.astype("<u4").tobytes()
         return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -115,6 +137,18 @@ def decompose(length: int, limit: int) -> list[int]:
     return [limit] * (length // limit) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they are large enough, of bounded size."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GROUP_ROWS or sum(b.nbytes for b in held) >= GROUP_CHARS:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 PIECES = "part int, local long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -127,7 +161,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens, part, seen = word_tokens(path), TaskContext.get().partitionId(), {}
         end = int(end_id).to_bytes(4, "little")
-        for ids, texts in row_groups(batches):
+        for group in _groups(batches):
+            ids, texts = group.column(0).to_pylist(), group.column(1)
             out: list[list] = [[] for _ in range(7)]
             for doc_id, raw in zip(ids, tokens.encode_batch(texts), strict=True):
                 raw += end
