@@ -48,7 +48,7 @@ def test_encode_and_decode_as_tables(spark, texts):
 def test_word_ids_are_those_of_the_library(texts):
     library = Tokenizer.from_file(WORD)
     library.encode_special_tokens = True
-    words = WordTokens(WORD, bound=400)
+    words = WordTokens(WORD, word_bound=400, piece_bound=900)
     for lo in range(0, len(texts), 250):
         for t, raw in zip(texts[lo : lo + 250], words.encode_batch(texts[lo : lo + 250]), strict=True):
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
