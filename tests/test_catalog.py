@@ -1,11 +1,13 @@
 """Every query of the catalogue against its SQL over the smallest tables, and what the pipeline folder's absence leaves."""
 
 import glob
+import numbers
 import os
 import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +27,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    plain = lambda v: None if pd.isna(v) else f"{v:.6f}" if isinstance(v, numbers.Real) and not isinstance(v, (bool, np.bool_)) else str(v)
     return sorted(tuple("" if (x := plain(v)) is None else "=" + x for v in r) for r in df.itertuples(index=False, name=None))
 
 
