@@ -16,7 +16,7 @@ from .operators.header_row import SHEET, detect_header_row, to_table
 from .operators.profile import profile
 from .operators.pseudonym import alias_table, consistent_fake, digest
 from .operators.redact import change_counts, preview, redact
-from .plans.lexicon import column_label, score_header
+from .plans.lexicon import HEADER_LEXICON, column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
 from .session import shared_folder
 from .sources.xlsx import build_workbook, read_xlsx, sheet_rows, summarise
@@ -174,7 +174,18 @@ def _headers(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(i, column_label(i), h, *score_header(h), confidence_band(score_header(h)[1])) for i, h in enumerate(HEADERS)], "idx int, label string, header string, semantic string, score double, band string")
 
 
-add("header_scores", _headers)
+_LEXICON = ", ".join(f"({n}, {q.quoted(kind)}, {q.quoted(word)})" for n, (kind, word) in enumerate((k, w) for k, ws in HEADER_LEXICON for w in ws))
+_HEADS = ", ".join(f"({i}, {q.quoted(h)})" for i, h in enumerate(HEADERS))
+add(
+    "header_scores", _headers,
+    rf"""
+WITH lex(o, kind, word) AS (VALUES {_LEXICON}), h(idx, header) AS (VALUES {_HEADS}),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(header), '[_\-.]+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM h),
+s AS (SELECT idx, header, kind, o, CASE WHEN name = '' THEN 0.0 WHEN name = word THEN 1.0 WHEN regexp_matches(name, '\b' || word || '\b') THEN 0.85 WHEN length(word) >= 4 AND contains(name, word) THEN 0.6 ELSE 0.0 END AS score FROM n, lex),
+b AS (SELECT idx, header, CAST(max(score) AS DOUBLE) AS score, arg_min(kind, (-score, o)) AS kind FROM s GROUP BY idx, header)
+SELECT CAST(idx AS INTEGER) AS idx, chr(65 + idx) AS label, header, CASE WHEN score > 0 THEN kind ELSE 'unknown' END AS semantic, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM b
+""",
+)
 _PROFILED = {
     "customer": ("c_custkey", {"c_name": "s", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "s"}),
     "orders": ("o_orderkey", {"o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderdate": "d", "o_orderpriority": "s"}),
