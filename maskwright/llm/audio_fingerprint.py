@@ -174,33 +174,65 @@ def recordings_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return small_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, pcm binary")
 
 
-def align(prints: DataFrame, queries: DataFrame, least_votes: int = 3, most_error: float = 0.2) -> DataFrame:
-    """One row per recording of prints: id, n_frames, query_id, offset_frames, votes, overlap, bit_error.
+def print_class():
+    """The class of a print: equal prints, and only they, share it."""
+    return F.sha2("print", 256)
 
-    query_id is the query that aligns best: least bit error, then most votes, then smallest id; it and what follows are null where none aligns.  A recording is not its own
-    query.  offset_frames is the recording's frame at the query's first one.  Rows without an id or without frames align with nothing; rows that repeat an id are compared each, and get one row each.
 
-    Both sides are dealt out by (block of queries, slice of recordings): work is queries times recordings, as in any full search, but memory is not."""
-    prints = stash(prints.select("id", "print").withColumn("row", F.monotonically_increasing_id()), "prints")
-    queries = stash(queries.where("id is not null and print is not null and length(print) > 0").select("id", "print").distinct(), "queries")
+def _compare(own: DataFrame, queries: DataFrame, slices: int, least_votes: int, most_error: float) -> DataFrame:
+    """(row, own_id, query_class, query_id, offset_frames, votes, overlap, bit_error): every pair of a row of own and one of queries that align.
+
+    own is (row, lo, hi, print), queries (class, lo, hi, print), where lo and hi are the least and greatest id that have the print.  The ids of a pair are the least
+    that differ; where both sides are one and the same id there is no pair.  Both sides are dealt out by (block of queries, slice of own)."""
     blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
-    slices = max(1, ceil(prints.count() / SLICE_ROWS))
-    q = queries.select("id", "print", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    r = prints.where("id is not null and length(print) > 0").select("row", "id", "print", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    q = queries.select("class", "lo", "hi", "print", F.pmod(F.xxhash64("print", "lo"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    r = own.select("row", "lo", "hi", "print", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    row_type = own.schema["row"].dataType.simpleString()
 
     def run(own: pa.Table, block: pa.Table) -> pa.Table:
-        index = QueryIndex(block.column("id").to_pylist(), [np.frombuffer(x, "<u4") for x in block.column("print").to_pylist()])
-        out: list[list] = [[] for _ in range(6)]
-        for row, id_, raw in zip(own.column("row").to_pylist(), own.column("id").to_pylist(), own.column("print").to_pylist(), strict=True):
-            found = [x for x in index.align(np.frombuffer(raw, "<u4"), least_votes, most_error) if x[0] != id_]
-            if found:
-                best = min(found, key=lambda x: (x[4], -x[2], x[0]))
-                for column, value in zip(out, (row, *best), strict=True):
-                    column.append(value)
-        names, kinds = ("row", "query_id", "offset_frames", "votes", "overlap", "bit_error"), (*[pa.int64()] * 5, pa.float64())
-        return pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, out, strict=True)})
-
-    found = r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(run, "row long, query_id long, offset_frames long, votes long, overlap long, bit_error double")
-    best = found.groupBy("row").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("v"), "query_id", "offset_frames", "overlap")).alias("b"))
-    out = prints.join(best, "row", "left")
-    return out.select("id", F.coalesce(F.expr("length(print) div 4"), F.lit(0)).alias("n_frames"), "b.query_id", "b.offset_frames", (-F.col("b.v")).alias("votes"), "b.overlap", "b.bit_error")
+        q_lo, q_hi = block.column("lo").to_pylist(), block.column("hi").to_pylist()
+        index = QueryIndex(list(range(block.num_rows)), [np.frombuffer(x, "<u4") for x in block.column("print").to_pylist()])
+        out: list[list] = [[] for _ in range(8)]
+        for n, (lo, hi, raw) in enumerate(zip(own.column("lo").to_pylist(), own.column("hi").to_pylist(), own.column("print").to_pylist(), strict=True)):
+            for k, *found in index.align(np.frombuffer(raw, "<u4"), least_votes, most_error):
+                ids = next(((a, b) for a, b in ((lo, q_lo[k]), (lo, q_hi[k]), (hi, q_lo[k])) if a != b), None)
+                if ids:
+                    for column, value in zip(out, (n, k, *ids, *found), strict=True):
+                        column.append(value)
+        at, of = pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())
+        numbers = [pa.array(c, t) for c, t in zip(out[2:], (*[pa.int64()] * 5, pa.float64()), strict=True)]
+        return pa.table([own.column("row").take(at), numbers[0], block.column("class").take(of), *numbers[1:]], names=["row", "own_id", "query_class", "query_id", "offset_frames", "votes", "overlap", "bit_error"])
+
+    schema = f"row {row_type}, own_id long, query_class string, query_id long, offset_frames long, votes long, overlap long, bit_error double"
+    return r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(run, schema)
+
+
+def align(prints: DataFrame, queries: DataFrame, least_votes: int = 3, most_error: float = 0.2, best: bool = False) -> DataFrame:
+    """All alignments of the recordings of prints with queries: id, n_frames, print_class, query_id, query_class, offset_frames, votes, overlap, bit_error.
+
+    Equal prints are compared once: print_class is shared by the recordings of equal prints, and there is one row per pair of a print_class and a query_class that align, for
+    one recording (its least id, where that is not the query itself) and one query of the classes.  It stands for all their members: every recording of print_class aligns
+    with every query of query_class but itself, so no link is lost and no copies are multiplied.  A query's class is print_class() of its print.  Recordings without such a row
+    have one with nulls, so every row of prints occurs.  offset_frames is the recording's frame at the query's first one.  Rows without an id or without frames have no class and
+    align with nothing; rows that repeat an id and a print have equal rows.
+
+    With best, there is one row per row of prints, with the query that aligns best with it: least bit error, then most votes, then smallest id.
+
+    Work is queries times recordings, as in any full search, but memory is not."""
+    prints = stash(prints.select("id", "print").withColumn("row", F.monotonically_increasing_id()), "prints")
+    slices = max(1, ceil(prints.count() / SLICE_ROWS))
+    live = F.col("id").isNotNull() & (F.length("print") > 0)
+    queries = queries.where(live & F.col("print").isNotNull()).select("id", "print")
+    named = prints.select("row", "id", "print", F.coalesce(F.expr("length(print) div 4"), F.lit(0)).alias("n_frames"), F.when(live, print_class()).alias("print_class"))
+    if best:
+        single = stash(queries.distinct().select(print_class().alias("class"), F.col("id").alias("lo"), F.col("id").alias("hi"), "print"), "queries")
+        found = _compare(prints.where(live).select("row", F.col("id").alias("lo"), F.col("id").alias("hi"), "print"), single, slices, least_votes, most_error)
+        first = F.min(F.struct("bit_error", (-F.col("votes")).alias("v"), "query_id", "query_class", "offset_frames", "overlap"))
+        out = named.join(found.groupBy("row").agg(first.alias("b")), "row", "left")
+        return out.select("id", "n_frames", "print_class", "b.query_id", "b.query_class", "b.offset_frames", (-F.col("b.v")).alias("votes"), "b.overlap", "b.bit_error")
+    ends = F.min("id").alias("lo"), F.max("id").alias("hi")
+    own = prints.where(live).groupBy("print").agg(*ends).select(print_class().alias("row"), "lo", "hi", "print")
+    classes = stash(queries.groupBy("print").agg(*ends).select(print_class().alias("class"), "lo", "hi", "print"), "queries")
+    found = _compare(own, classes, slices, least_votes, most_error).withColumnsRenamed({"row": "print_class", "own_id": "id"})
+    out = named.drop("print").join(found, ["print_class", "id"], "left")
+    return out.select("id", "n_frames", "print_class", "query_id", "query_class", "offset_frames", "votes", "overlap", "bit_error")

@@ -39,7 +39,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio: every embedding is played as a melody, and each recording is aligned with the recordings whose id is divisible by 50."""
+    """The tables hold no audio: every embedding is played as a melody, and each recording is aligned with all recordings whose id is divisible by 50, equal ones as one class."""
     recordings = audio_fingerprint.recordings_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     prints = stash(audio_fingerprint.fingerprints(recordings), "melodies")
     found = audio_fingerprint.align(prints, prints.where("id % 50 = 0"))

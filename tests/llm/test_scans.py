@@ -165,6 +165,28 @@ def test_recordings_align_through_noise_and_shift(spark):
     assert audio.align(prints.limit(0), queries).count() == 0
 
 
+def test_every_alignment_is_returned_and_copies_are_classes(spark):
+    rng = np.random.default_rng(9)
+    songs = [audio.melody(rng.normal(size=64)) for _ in range(3)]
+    near = (songs[0] + rng.normal(0, 300, len(songs[0]))).clip(-32768, 32767).astype("<i2")
+    pcm = {n: songs[0] for n in range(40)} | {n: near for n in range(40, 60)} | {60: songs[1], 61: songs[1], 62: songs[2], 70: songs[2][audio.HOP * 4 :]}
+    prints = audio.fingerprints(spark.createDataFrame([(n, x.tobytes()) for n, x in pcm.items()], "id long, pcm binary")).cache()
+    is_query = lambda n: n % 5 == 0 or n in (61, 62)
+    raw = {r.id: r.print for r in prints.collect()}
+    assert len(set(raw.values())) == 5
+    song = lambda n: 0 if n < 60 else 1 if n < 62 else 2
+    want = {(a, b) for a in pcm for b in pcm if a != b and is_query(b) and song(a) == song(b)}
+    got = audio.align(prints, prints.where("id % 5 = 0 or id in (61, 62)")).collect()
+    assert {r.id for r in got} == set(pcm) and len(got) < len(pcm) + 10 and all(r.id != r.query_id for r in got)
+    of = {r.id: r.print_class for r in got}
+    links = {(r.print_class, r.query_class) for r in got if r.query_id is not None}
+    assert {(a, b) for a in pcm for b in pcm if a != b and is_query(b) and (of[a], of[b]) in links} == want
+    alone = audio.align(prints.where("id = 62"), prints.where("id = 62")).collect()
+    assert len(alone) == 1 and alone[0].query_id is None
+    best = audio.align(prints, prints.where("id % 5 = 0 or id in (61, 62)"), best=True).collect()
+    assert sorted(r.id for r in best) == sorted(pcm) and all((r.id, r.query_id) in want for r in best if r.query_id is not None)
+
+
 def test_index_recall_against_all_offsets():
     rng = np.random.default_rng(8)
     base = [audio.melody(rng.normal(size=64)) for _ in range(30)]
