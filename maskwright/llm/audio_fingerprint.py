@@ -2,8 +2,8 @@
 
 A recording (16-bit little-endian mono PCM) becomes frames of 12 pitch-class energies.  Sixteen filters, differences of
 rectangles over (frames, pitch classes) read from an integral image in four look-ups each, are quantised to two bits with a Gray
-code, so each frame gives one packed 32-bit integer.  Recordings are aligned by votes: equal integers vote for an offset, the
-best offsets of the histogram are checked by the bit errors over the frames that then overlap.
+code, so each frame gives one packed 32-bit integer.  Recordings are aligned by votes: equal integers vote for an offset, and
+every offset with enough votes is checked by the bit errors over the frames that then overlap.
 
 The search compares a set of query recordings with all recordings in blocks: a task gets one block of queries with its index of integers and
 one slice of the recordings, so its memory is bounded by the two sizes, whatever the integers' frequencies are.
@@ -24,7 +24,7 @@ from .common import small_batches, stash
 
 RATE, FRAME, HOP = 2000, 256, 64
 WINDOW = 8  # frames that one packed integer looks at
-QUERY_BLOCK, SLICE_ROWS = 256, 4096
+QUERY_BLOCK, SLICE_ROWS, CHUNK_FRAMES = 256, 4096, 1 << 20
 
 
 def _filters() -> list[tuple[int, int, int, int, int]]:
@@ -118,12 +118,14 @@ class QueryIndex:
         flat = np.concatenate(prints) if prints else np.empty(0, np.uint32)
         order = np.argsort(flat, kind="stable")
         sizes = np.fromiter(map(len, prints), np.int64, len(prints))
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
         self.values = flat[order]
         self.owner = np.repeat(np.arange(len(prints)), sizes)[order]
-        self.place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.place = (np.arange(len(flat)) - np.repeat(self.starts, sizes))[order]
 
     def align(self, own: np.ndarray, least_votes: int, most_error: float) -> list[tuple[int, int, int, int, float]]:
-        """(query, offset, votes, overlap, bit error) of the queries that align with a recording, at the best of their three most voted offsets."""
+        """(query, offset, votes, overlap, bit error) of the queries that align with a recording, at the best of all their offsets that have the votes and overlap by half
+        of the shorter one: least bit error, then most votes, then smallest offset."""
         lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
         sizes = hi - lo
         if not sizes.sum():
@@ -133,22 +135,30 @@ class QueryIndex:
         span = 1 << 32
         keys, votes = np.unique(self.owner[at].astype(np.int64) * span + (where - self.place[at] + (span >> 1)), return_counts=True)
         keys, votes = keys[votes >= least_votes], votes[votes >= least_votes]
-        order = np.lexsort((keys, -votes, keys // span))
-        out, last, taken = [], -1, 0
-        best: tuple | None = None
-        for k in order.tolist():
-            q, offset = int(keys[k] // span), int(keys[k] % span) - (span >> 1)
-            if q != last:
-                if best:
-                    out.append(best)
-                last, taken, best = q, 0, None
-            if taken < 3:
-                taken += 1
-                error, overlap = bit_error(self.prints[q], own, offset)
-                if error <= most_error and overlap >= min(len(own), len(self.prints[q])) // 2 and (best is None or error < best[4]):
-                    best = (self.ids[q], offset, int(votes[k]), overlap, error)
-        if best:
-            out.append(best)
+        q, offset = keys // span, keys % span - (span >> 1)
+        first = np.maximum(0, -offset)
+        overlap = np.minimum(self.sizes[q], len(own) - offset) - first
+        live = overlap >= np.maximum(1, np.minimum(self.sizes[q], len(own)) // 2)
+        q, offset, votes, first, overlap = q[live], offset[live], votes[live], first[live], overlap[live]
+        if not len(q):
+            return []
+        error = self._errors(own, self.starts[q] + first, first + offset, overlap)
+        good = np.flatnonzero(error <= most_error)
+        good = good[np.lexsort((offset[good], -votes[good], error[good], q[good]))]
+        good = good[np.flatnonzero(np.diff(q[good], prepend=-1))]
+        return [(self.ids[a], b, c, d, e) for a, b, c, d, e in zip(*(x[good].tolist() for x in (q, offset, votes, overlap, error)), strict=True)]
+
+    def _errors(self, own: np.ndarray, a: np.ndarray, b: np.ndarray, frames: np.ndarray) -> np.ndarray:
+        """Shares of unequal bits of flat[a : a + frames] against own[b : b + frames], about CHUNK_FRAMES of them at a time."""
+        ends = np.cumsum(frames)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CHUNK_FRAMES, ends[-1], CHUNK_FRAMES), "right"), len(frames)])
+        out = np.empty(len(frames))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            n = frames[lo:hi]
+            starts = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            unequal = np.bitwise_count(self.flat[step + np.repeat(a[lo:hi] - starts, n)] ^ own[step + np.repeat(b[lo:hi] - starts, n)])
+            out[lo:hi] = np.add.reduceat(unequal, starts, dtype=np.int64) / (32 * n)
         return out
 
 
