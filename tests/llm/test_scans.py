@@ -64,6 +64,38 @@ def test_random_tokens_are_told_from_prose():
     assert randomness("0" * 40)[1] < 0.001 and randomness(tokens[0])[0] in ("base64", "base62") and prose_p(tokens[0]) < 1e-3
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Alphabet -> (its symbols, least recall at 20, 24, 32, 40 and 64 characters).  Numbers of 24 digits are taken by the pattern; shorter ones are like those of clean texts.
+RECALL = {
+    "hex": ("0123456789abcdef", 0.97, 0.97, 0.97, 0.97, 0.97),
+    "upper hex": ("0123456789ABCDEF", 0.97, 0.97, 0.97, 0.97, 0.97),
+    "base32": (LETTERS.upper() + "234567", 0.97, 0.97, 0.97, 0.97, 0.97),
+    "base36": (LETTERS + "0123456789", 0.97, 0.97, 0.97, 0.97, 0.97),
+    "base62": (LETTERS + LETTERS.upper() + "0123456789", 0.97, 0.97, 0.97, 0.97, 0.97),
+    "decimal": ("0123456789", 0, 0.97, 0.97, 0.97, 0.97),
+}
+
+
+@pytest.mark.parametrize("name", RECALL)
+def test_recall_of_random_tokens_by_alphabet_and_length(name):
+    rng = random.Random(name)
+    letters, *least = RECALL[name]
+    for n, bound in zip((20, 24, 32, 40, 64), least, strict=True):
+        found = 0
+        for _ in range(400):
+            token = "".join(rng.choice(letters) for _ in range(n))
+            found += any(s <= 8 and e >= 8 + n for s, _, e in scan_text(f"the key {token} is here"))
+        assert found >= bound * 400, (n, found)
+
+
+def test_clean_words_and_identifiers_have_no_random_spans():
+    words = "Rechtsschutzversicherungsgesellschaften anticonstitutionnellement electroencefalografista epäjärjestelmällistyttämättömyydelläänsä lentokonesuihkuturbiinimoottori nieprawdopodobnie-najpiekniejszego"
+    names = "AbstractSingletonProxyFactoryBean MAX_CONNECTION_POOL_SIZE_PER_HOST x86_64-unknown-linux-gnu-gcc-12 test_parse_http2_header_v1_and_v2 com/customers/documents/invoices/2024/ IMG_20240131_235959-edited-1024x768"
+    numbers = "00000000000000000000 12345678901234567890 2024-01-31-23-59-59-000001 4111111111111111-4111111111111111"
+    assert [w for w in f"{words} {names} {numbers}".split() if scan_text(f"a {w} b")] == []
+    assert scan_text(f"{words} {names} {numbers}") == []
+
+
 def test_scan_and_redaction_as_tables(spark):
     rows = [(1, None), (2, ""), (None, "password=hunter22!"), (4, "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff ###"), (5, "x " * 50_000)]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan(frame(spark, rows)).collect()}
