@@ -1,7 +1,7 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests takes for generated.
 
-A candidate token is a run of 20 or more characters of the base64 alphabets outside the pattern matches.  Its encoding is the
-smallest alphabet that holds it; against the hypothesis of uniform random symbols of that alphabet stand
+A candidate token is a run of 20 or more characters of the base64 alphabets in what the pattern matches leave of a text, and each of
+its parts between / _ - that is as long.  Its encoding is the smallest alphabet that holds it; against the hypothesis of uniform random symbols of that alphabet stand
 
 * a chi-squared test of the symbol counts,
 * a runs test of symbols above and below the alphabet's middle,
@@ -17,6 +17,7 @@ a text has.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import erfc, log2, sqrt
 
@@ -32,6 +33,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_PART = re.compile(r"[A-Za-z0-9+]+={0,2}")
 _NEEDLES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -135,14 +137,61 @@ def prose_p(token: str) -> float:
     return 2.0 ** min(0.0, uniform_bits(body) - prose_bits(body))
 
 
+def _runs(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Candidates of a maximal run: the run, its parts between / _ -, and the stretch of parts that is likest to be random."""
+    parts = [(m.start(), m.end()) for m in _PART.finditer(text, start, end)]
+    found = {(start, end), *parts}
+    best, gain, first = 0.0, 0.0, start
+    for s, e in parts:
+        if gain <= 0:
+            gain, first = 0.0, s
+        part = text[s:e].rstrip("=")
+        gain += prose_bits(part) - 6 * len(part)
+        if gain > best:
+            best, stretch = gain, (first, e)
+    if best:
+        found.add(stretch)
+    return sorted(f for f in found if len(text[f[0] : f[1]].rstrip("=")) >= 20)
+
+
+def _likeliest(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the spans of a run, those without overlap that together save most bits against prose; one that is not the whole run takes some to name it among all stretches of parts."""
+    parts = sum(1 for _ in _PART.finditer(text, start, end)) if spans else 0
+    naming = log2(max(1, parts * (parts + 1) / 2))
+    spans = sorted(spans, key=lambda f: (f[1], f[0]))
+    ends = [e for _, e in spans]
+    best: list[tuple[float, tuple | None]] = [(0.0, None)]  # bits saved by the first spans, and the chosen ones as a chain from the last
+    for n, (s, e) in enumerate(spans):
+        body = text[s:e].rstrip("=")
+        bits, chain = best[bisect_right(ends, s, 0, n)]
+        bits += prose_bits(body) - uniform_bits(body) - (naming if (s, e) != (start, end) else 0)
+        best.append((bits, (s, e, chain)) if bits > best[-1][0] else best[-1])
+    out, chain = [], best[-1][1]
+    while chain:
+        out.append(chain[:2])
+        chain = chain[2]
+    return out[::-1]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = 0.001) -> list[tuple[int, int, int]]:
-    found = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in taken):
-            found.append((prose_p(m[0]), m))
-    found.sort(key=lambda f: (f[0], f[1].start()))
-    last = max((n for n, (p, _) in enumerate(found, 1) if p <= rate * n / len(found)), default=0)
-    return [(m.start(), 3, m.end()) for _, m in found[:last] if randomness(m[0])[1] >= 0.001]
+    """Random tokens in what the spans of taken, in order of their starts, leave of a text."""
+    gaps, at = [], 0
+    for s, _, e in taken:
+        if s > at:
+            gaps.append((at, s))
+        at = max(at, e)
+    gaps.append((at, len(text)))
+    runs = [(m.span(), _runs(text, *m.span())) for lo, hi in gaps for m in _CANDIDATE.finditer(text, lo, hi)]
+    found = sorted((prose_p(text[s:e]), s, e) for _, run in runs for s, e in run)
+    last = max((n for n, (p, _, _) in enumerate(found, 1) if p <= rate * n / len(found)), default=0)
+    good = {(s, e) for _, s, e in found[:last] if randomness(text[s:e])[1] >= 0.001}
+    edges = {edge for s, _, e in taken for edge in (s, e)}
+    out = []
+    for (lo, hi), run in runs:
+        for s, e in _likeliest(text, lo, hi, [f for f in run if f in good]):
+            # one sign between a token and the end of its run can be the token's own, unless it parts it from another secret
+            out.append((lo if s == lo + 1 and lo not in edges else s, 3, hi if e == hi - 1 and hi not in edges else e))
+    return out
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, int]]:

@@ -96,6 +96,28 @@ def test_clean_words_and_identifiers_have_no_random_spans():
     assert scan_text(f"{words} {names} {numbers}") == []
 
 
+def test_random_tokens_beside_base_spans_and_behind_prefixes():
+    rng = random.Random(12)
+    base62, hexes = LETTERS + LETTERS.upper() + "0123456789", "0123456789abcdef"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for n, least in ((24, 190), (40, 194)):
+        exact = {"hex": 0, "access": 0, "path": 0, "snake": 0, "two": 0}
+        for _ in range(200):
+            t, u = draw(base62, n), draw(base62, n)
+            for name, text, want in (
+                ("hex", f"host/{draw(hexes, 32)}/{t} x", [t]),
+                ("access", f"AKIA{draw(LETTERS.upper(), 16)}-{t} x", [t]),
+                ("path", f"see com/customers/documents/invoices/2024/{t} x", [t]),
+                ("snake", f"see my_very_own_production_key_{t} x", [t]),
+                ("two", f"see backup/{t}/copies/of/{u}/end x", [t, u]),
+            ):
+                exact[name] += [text[s:e] for s, k, e in scan_text(text) if k == 3] == want
+        assert min(exact.values()) >= least, (n, exact)
+    whole = [draw(base62 + "+/", 40) for _ in range(200)]
+    assert sum([t[s:e] for s, _, e in scan_text(t)] == [t] for t in whole) >= 194
+    assert redact_text(f"a com/documents/{'Zq8Rt3Kx7Lm2Vb9Nc4Wd6Hf1'}/b") == "a com/documents/[SECRET]/b"
+
+
 def test_scan_and_redaction_as_tables(spark):
     rows = [(1, None), (2, ""), (None, "password=hunter22!"), (4, "é token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff ###"), (5, "x " * 50_000)]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in scan(frame(spark, rows)).collect()}
