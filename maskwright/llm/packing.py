@@ -41,17 +41,19 @@ class WordTokens:
 
     Texts are cut at white space and their distinct words numbered outside Python.  A word of Latin letters and marks of punctuation behind
     them is the ids of its lower-case letters and those of its marks, which the tokenizer always parts; any other word is taken whole.  Each such piece is
-    encoded once by the tokenizers library.  Up to `word_bound` words and `piece_bound` pieces are remembered."""
+    encoded once by the tokenizers library.  Up to `word_bound` words and `piece_bound` pieces are remembered.
+
+    With special_as_text the strings of special tokens are ordinary text, else they are their tokens, as by the library's default."""
 
     MARKS = ".,;:!?"
     LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str, word_bound: int = 400_000, piece_bound: int = 700_000):
+    def __init__(self, path: str, word_bound: int = 400_000, piece_bound: int = 700_000, special_as_text: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.word_bound, self.piece_bound = word_bound, piece_bound
         # the one character that stands for each byte in the model's alphabet, as its own byte-level step gives them
         self.byte_letters = {b: letter for c in map(chr, [*range(97, 123), *range(0xC0, 0x100)]) for b, letter in zip(c.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0], strict=True)}
@@ -126,9 +128,9 @@ class WordTokens:
 
 
 @lru_cache(2)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, special_as_text: bool = True) -> WordTokens:
     """One per worker process."""
-    return WordTokens(path)
+    return WordTokens(path, special_as_text=special_as_text)
 
 
 def decompose(length: int, limit: int) -> list[int]:
@@ -152,14 +154,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECES = "part int, local long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """One row per piece, with its ids (little-endian unsigned 32-bit) and its number among its task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, part, seen = word_tokens(path), TaskContext.get().partitionId(), {}
+        tokens, part, seen = word_tokens(path, special_as_text), TaskContext.get().partitionId(), {}
         end = int(end_id).to_bytes(4, "little")
         for group in _groups(batches):
             ids, texts = group.column(0).to_pylist(), group.column(1)
@@ -182,16 +184,16 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, end_id: int, limit: int = 2048, payload: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, limit: int = 2048, payload: Column | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset (0: a piece is its sequence) and the payload,
     by default the piece's ids.
 
     Sequence ids are gapless from 0; longer sequences come first, within a length they follow the input's partitions.  A null or empty text is the
-    end id alone, one sequence of length 1.  Repeated rows are packed each, null ids stay null, other columns are ignored.
+    end id alone, one sequence of length 1.  Strings of special tokens in a text are text, or with special_as_text=False their tokens.  Repeated rows are packed each, null ids stay null, other columns are ignored.
 
     Tasks number their own pieces; only the counts by task and length (at most 12 rows a task) are gathered to shift those numbers, so pieces are never shuffled to be counted."""
     payload = F.col("ids") if payload is None else payload
-    cut = stash(pieces(docs, path, end_id, limit, id_col, text_col).select("part", "local", "doc_id", "start", "length", "doc_tokens", payload), "pieces")
+    cut = stash(pieces(docs, path, end_id, limit, id_col, text_col, special_as_text).select("part", "local", "doc_id", "start", "length", "doc_tokens", payload), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))

@@ -58,7 +58,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(documents(spark, sf_dir), WORD_BPE, end_id=1, limit=2048, payload=F.crc32("ids").alias("ids_crc32"))
+    packed = pack(documents(spark, sf_dir), WORD_BPE, end_id=1, limit=2048, payload=F.crc32("ids").alias("ids_crc32"), special_as_text=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

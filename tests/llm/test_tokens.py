@@ -54,6 +54,27 @@ def test_word_ids_are_those_of_the_library(texts):
             assert np.frombuffer(raw, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_special_tokens_of_the_packing_query_are_those_of_the_library(spark, tmp_path):
+    from maskwright.llm.queries import op7_packing
+
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    special = [end, start, f"a {end} b", f"Word{end}Word, x{start}", f"{start}{end}{end}.", f"{start}É {end}!\n{end}", "<|endoftext| > <|ENDOFTEXT|>", f"plain, {end[:-1]}", f"1{start}2", None]
+    frame(spark, list(enumerate(special))).write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(WORD)
+    ids = {n: library.encode(t or "", add_special_tokens=False).ids for n, t in enumerate(special)}
+    assert 49407 in ids[3] and 49406 in ids[3]
+    got = op7_packing(spark, str(tmp_path)).collect()
+    want = [(n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())) for n, x in ids.items() for at, part in cut([*x, 1])]
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+
+
+def cut(ids):
+    at = 0
+    for n in decompose(len(ids), 2048):
+        yield at, ids[at : at + n]
+        at += n
+
+
 def test_decompose():
     for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
         got = decompose(n, 2048)
