@@ -1,8 +1,13 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
 Senders (chunks of the input) sort the fingerprints of their rows, cut them by owner and send each owner one Golomb-Rice coded
-stream; owners decode the streams, find fingerprints that came more than once and return one bitmap per stream; only
-rows that a bitmap marks (or that repeat within a chunk) are suspects, and only their texts are shuffled and compared byte by byte.
+stream.  Owners decode the streams, find fingerprints that came more than once and return two bitmaps per stream: which of its values
+another stream holds too, and which are so frequent that their copies fill many tasks.  Senders decode their own streams again by these
+bitmaps, which gives the suspect fingerprints.
+
+A bitmap filter over the suspects goes to all tasks and drops the other texts where they are read: only suspects (and the filter's few
+false hits) are shuffled, to be compared byte by byte.  Copies collapse to one row per task before that shuffle, and those of frequent texts are dealt
+out over SALTS reducers first, so no task gets all copies of a text.
 
 A fingerprint has log2(rows) + 16 bits, so about one row in 65,536 is a false suspect; a text decides in
 the end, never a fingerprint.  Equal fingerprints of one chunk are sent once: a key that holds a third of all
@@ -20,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, shuffle_width, small_batches, stash
+from .common import ASCII_SPACE, KeyFilter, discard, shipped, stash, tidy, width_for
 
 CHUNK_ROWS = 65_536
 OWNER_ROWS = 1_000_000
+#: Streams that hold a fingerprint of which the copies are dealt out, and the reducers they are dealt to first.
+FREQUENT, SALTS = 32, 16
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -54,67 +61,74 @@ def golomb_decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([[np.uint64(int.from_bytes(blob[9:17], "big"))], gaps]), dtype=np.uint64)
 
 
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+STREAMS = "chunk long, owner long, code binary, again binary"
+
+
 def _sender(bits: int, owners: int):
-    """(digest) -> per chunk and owner: the code, the rows' positions as runs over the sorted fingerprints."""
+    """(head) -> per chunk and owner: the code of its distinct fingerprints, and a bitmap of those that the chunk itself repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, waiting = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held
-            rows = np.concatenate([h[0] for h in held])
-            digests = np.concatenate([h[1] for h in held])
-            held = []
-            prints = digests >> np.uint64(64 - bits)
-            order = np.argsort(prints, kind="stable")
-            values, first, count = np.unique(prints[order], return_index=True, return_counts=True)
+            nonlocal number, waiting
+            values, count = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
             owner = ((values >> np.uint64(bits - 24)) * np.uint64(owners)) >> np.uint64(24)
-            out: dict[str, list] = {"chunk": [], "owner": [], "code": [], "ids": [], "counts": []}
+            out: dict[str, list] = {"chunk": [], "owner": [], "code": [], "again": []}
             cuts = np.flatnonzero(np.diff(owner)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(values)], strict=True):
-                out["chunk"].append((part << 24) + number)
-                out["owner"].append(int(owner[lo]))
-                out["code"].append(golomb_encode(values[lo:hi]))
-                out["ids"].append(rows[order[first[lo] : first[hi - 1] + count[hi - 1]]])
-                out["counts"].append(count[lo:hi].astype(np.int32))
-            number += 1
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
-
-        waiting = 0
+                for column, value in zip(out.values(), ((part << 24) + number, int(owner[lo]), golomb_encode(values[lo:hi]), _bits(count[lo:hi] > 1)), strict=True):
+                    column.append(value)
+            number, waiting = number + 1, 0
+            held.clear()
+            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("code", pa.binary()), ("again", pa.binary())]))
+
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
-                piece = batch.slice(at, CHUNK_ROWS)
-                held.append((piece.column(0).to_numpy(zero_copy_only=False), piece.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-                waiting += piece.num_rows
+                held.append(batch.column(0).slice(at, CHUNK_ROWS).to_numpy(zero_copy_only=False).view(np.uint64))
+                waiting += len(held[-1])
                 if waiting >= CHUNK_ROWS:
                     yield flush()
-                    waiting = 0
         if waiting:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def _owner(table: pa.Table) -> pa.Table:
-    """All streams of one owner -> for each stream the bitmap of values that another stream holds too."""
+    """All streams of one owner -> for each stream the bitmap of values that another stream holds too, and that of frequent ones."""
     streams = [golomb_decode(x) for x in table.column("code").to_pylist()]
-    values, inverse, count = np.unique(np.concatenate(streams), return_inverse=True, return_counts=True)
-    twice = count[inverse] > 1
+    _, inverse, count = np.unique(np.concatenate(streams), return_inverse=True, return_counts=True)
+    count = count[inverse]
     ends = np.cumsum([len(s) for s in streams])
-    maps = [np.packbits(twice[end - len(s) : end]).tobytes() for s, end in zip(streams, ends, strict=True)]
-    return pa.table({"chunk": table.column("chunk"), "owner": table.column("owner"), "bitmap": pa.array(maps, pa.binary())})
+    own = [count[end - len(s) : end] for s, end in zip(streams, ends, strict=True)]
+    return pa.table({"chunk": table.column("chunk"), "owner": table.column("owner"), "twice": pa.array([_bits(c > 1) for c in own], pa.binary()), "often": pa.array([_bits(c >= FREQUENT) for c in own], pa.binary())})
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, again, twice, often) of a stream -> its suspect fingerprints, and whether they are frequent."""
     for batch in batches:
         for row in range(batch.num_rows):
-            bitmap, ids, counts = (batch.column(c)[row] for c in range(3))
-            counts = counts.values.to_numpy()
-            marked = np.unpackbits(np.frombuffer(bitmap.as_py(), np.uint8), count=len(counts)).astype(bool) | (counts > 1)
-            found = ids.values.to_numpy()[np.repeat(marked, counts)]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["row"])
+            code, *maps = (batch.column(c)[row].as_py() for c in range(4))
+            values = golomb_decode(code)
+            again, twice, often = (np.unpackbits(np.frombuffer(x, np.uint8), count=len(values)).astype(bool) for x in maps)
+            found = again | twice
+            yield pa.RecordBatch.from_arrays([pa.array(values[found].view(np.int64)), pa.array(often[found])], names=["print", "often"])
+
+
+def suspect_prints(rows: DataFrame, bits: int, owners: int) -> DataFrame:
+    """(print, often): the fingerprints that occur more than once among the 64-bit hashes `head` of rows."""
+    sent = stash(rows.select("head").mapInArrow(_sender(bits, owners), STREAMS), "streams")
+    back = sent.select("chunk", "owner", "code").groupBy("owner").applyInArrow(_owner, "chunk long, owner long, twice binary, often binary")
+    marked = sent.join(back, ["chunk", "owner"]).select("code", "again", "twice", "often").mapInArrow(_suspects, "print long, often boolean")
+    out = stash(marked.groupBy("print").agg(F.max("often").alias("often")), "suspects")
+    discard(sent)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,25 +136,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal if they are after deleting ASCII white space; null counts as empty.  The row with the most code
     points in its original text stays, ties go to the smallest doc_id.  Null ids lose every tie; rows that
-    repeat the kept doc_id with as many code points are all marked kept, since nothing tells them apart.  Other columns are ignored."""
+    repeat the kept doc_id with as many code points are all marked kept, since nothing tells them apart.  Other columns are ignored.  An empty table gives an empty result."""
     spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    norm = F.translate("text", ASCII_SPACE, "")
-    rows = stash(docs.select("doc_id", F.unhex(F.sha2(norm, 256)).alias("digest"), F.char_length("text").alias("points")), "digests")
+    docs = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    norm, points = F.translate("text", ASCII_SPACE, ""), F.char_length("text").alias("points")
+    rows = stash(docs.select("doc_id", F.xxhash64(norm).alias("head"), F.unhex(F.sha2(norm, 256)).alias("digest"), points), "digests")
     total = rows.count()
     bits = min(64, max(24, ceil(log2(total + 2)) + 16))
-    owners = max(shuffle_width(spark), ceil(total / OWNER_ROWS))
-    # the row's name in the exchange is a hash of its id and text, the same in every pass
-    row = F.xxhash64("doc_id", "digest").alias("row")
-    sent = stash(rows.select(row, F.xxhash64("digest").alias("head")).mapInArrow(_sender(bits, owners), "chunk long, owner long, code binary, ids array<long>, counts array<int>"), "streams")
-    back = sent.select("chunk", "owner", "code").groupBy("owner").applyInArrow(_owner, "chunk long, owner long, bitmap binary")
-    suspects = sent.select("chunk", "owner", "ids", "counts").join(back, ["chunk", "owner"]).select("bitmap", "ids", "counts").mapInArrow(_suspects, "row long").distinct()
-    full = docs.select("doc_id", "text", norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    full = full.select(row, "digest", "norm", F.struct(F.char_length("text").alias("p"), (-F.col("doc_id")).alias("d")).alias("rank"))
-    # byte verification: rows group by the normalised bytes themselves, copies collapse before the shuffle
-    groups = full.join(suspects, "row", "left_semi").groupBy("digest", "norm").agg(F.max("rank").alias("best"), F.count("*").alias("size"))
-    groups = groups.where("size > 1").select("digest", F.col("best.p").alias("best_points"), (-F.col("best.d")).alias("keep"), "size")
-    out = rows.join(groups, "digest", "left")
+    suspects = suspect_prints(rows, bits, width_for(spark, total, OWNER_ROWS))
+    mark = F.call_function("shiftrightunsigned", F.col("head"), F.lit(64 - bits))
+    is_suspect, is_frequent = KeyFilter(suspects, "print"), KeyFilter(suspects.where("often"), "print")
+
+    # byte verification: suspects group by the normalised bytes themselves, copies collapse before the shuffle
+    texts = is_suspect.only(docs.select(norm.alias("norm"), F.xxhash64(norm).alias("head"), F.struct(points, (-F.col("doc_id")).alias("d")).alias("rank")), mark)
+    texts = is_frequent.mark(texts, "often", mark).withColumn("salt", F.when(F.col("often"), F.spark_partition_id() % SALTS).otherwise(0))
+    first = texts.groupBy("norm", "salt").agg(F.max("rank").alias("best"), F.count("*").alias("size"), F.max("often").alias("often")).where("often or size > 1")
+    first = stash(first.select(F.unhex(F.sha2("norm", 256)).alias("digest"), F.when(F.col("often"), F.col("norm")).alias("norm"), "best", "size", "often"), "groups")
+    again = first.where("often").groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size")).where("size > 1")
+    found = first.where("not often").select("digest", "best", "size").union(again.select("digest", "best", "size"))
+    groups = stash(found.select(F.col("digest").alias("of"), F.col("best.points").alias("best_points"), (-F.col("best.d")).alias("keep"), "size"), "keepers")
+    discard(first, suspects)
+    is_frequent.discard()
+
+    # only rows with a suspect fingerprint can be in a group
+    marked = is_suspect.mark(rows, "hit", mark)
+    out = marked.where("hit").join(groups, F.col("digest") == F.col("of"), "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     kept = F.col("size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("best_points")))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "digest")
+    alone = marked.where("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return out.union(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
