@@ -5,6 +5,9 @@ and sorted within them, so a key in a third of all documents spreads over as man
 one hash is held back until its tenth document, then it is known to be frequent and flows on; shorter runs inside a range are dropped from the stream.  Only
 the first and the last run of a range can go on in another one; if they are short, their few records and the run's count go to a second look at
 the counts of all ranges.  What returns to a document is a compressed bitmap of the lines to keep, never text.
+
+Bitmaps of a proven total size go to all tasks and no text moves; beyond it a bitmap filter (KeyFilter) leaves the documents that lose nothing where they
+are, and only the others are shuffled to their bitmaps.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, shuffle_width, small_batches, stash
+from .common import ASCII_SPACE, KeyFilter, discard, free_name, parts_of, shipped, stash, tidy, width_for
 
 _SPACE = ASCII_SPACE.encode()
+#: Records of a range on average, rows of a text that are told from its repeats in a task, records that a run holds back, and bytes of bitmaps that are broadcast at most.
+RANGE_RECORDS, REMEMBERED, HELD, BROADCAST_BYTES = 2_000_000, 200_000, 100_000, 64 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -32,13 +37,20 @@ STREAMED = "h1 long, h2 long, doc long, print long, lines binary, sure boolean,
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, print, text) -> the records of each text, those of a row that repeats in the task once."""
+    done: set[tuple[int, int]] = set()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for lo, count in parts_of(batch.column(2)):
+            part = batch.slice(lo, count)
             docs, prints, texts = (part.column(c).to_pylist() for c in range(3))
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(3)]
             hashes: list[bytes] = []
             for doc, mark, text in zip(docs, prints, texts, strict=True):
+                if (doc, mark) in done:
+                    continue
+                if len(done) >= REMEMBERED:
+                    done.clear()
+                done.add((doc, mark))
                 places: dict[bytes, list[int]] = {}
                 for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
                     key = line_key(line)
@@ -54,14 +66,17 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stream(least: int):
-    """Sorted records -> records of frequent lines (sure), and for the first and last run of the range its count and, if it is short, its records (not sure)."""
+    """Sorted records -> records of frequent lines (sure), and for the first and last run of the range its count and, if it is short, its records (not sure).
+
+    A run of few documents with very many records (rows that repeat an id with other texts) is not held back: its records go out as not sure, with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, True
         count, last_doc, held = 0, None, []  # of the current run; held: slices until it is known to be frequent
+        waiting, owes = 0, False  # records held, and whether some have gone out as not sure
 
         def closing(edge: bool) -> Iterator[pa.RecordBatch]:
-            if key is None or not edge:
+            if key is None or not (edge or owes):
                 return
             if count < least:
                 for piece in held:
@@ -88,7 +103,7 @@ def _stream(least: int):
                 if key is None or key[0] != h1[lo] or key[1] != h2[lo]:
                     yield from closing(first)
                     first = key is None
-                    key, count, last_doc, held = (int(h1[lo]), int(h2[lo])), 0, None, []
+                    key, count, last_doc, held, waiting, owes = (int(h1[lo]), int(h2[lo])), 0, None, [], 0, False
                 new = int(seen[hi - 1] - seen[lo]) + int(last_doc != int(doc[lo]))
                 before, count, last_doc = count, count + new, int(doc[hi - 1])
                 if count >= least:
@@ -99,6 +114,11 @@ def _stream(least: int):
                     sure.append((lo, hi))
                 elif hi == n or first:
                     held.append(batch.slice(lo, hi - lo))
+                    waiting += hi - lo
+                    if waiting >= HELD:
+                        for piece in held:
+                            yield marked(piece, None)
+                        held, waiting, owes = [], 0, True
             for lo, hi in sure:
                 yield marked(batch.slice(lo, hi - lo), True)
         yield from closing(True)
@@ -134,41 +154,59 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     mark = F.xxhash64(text)
-    source = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), mark).alias("doc"), mark.alias("print"), text.alias("text"))
-    records = source.mapInArrow(_records, RECORDS)
+    source = shipped(docs).select(F.coalesce(F.col(id_col).cast("long"), mark).alias("doc"), mark.alias("print"), text.alias("text"))
+    # written down once: ranges are drawn from a sample of the records before they are shuffled
+    records = stash(source.mapInArrow(tidy(_records), RECORDS), "records")
     order = ["h1", "h2", "doc"]
-    ranges = records.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    ranges = records.repartitionByRange(width_for(spark, records.count(), RANGE_RECORDS), *order).sortWithinPartitions(*order)
     streamed = stash(ranges.mapInArrow(_stream(least), STREAMED), "runs")
+    discard(records)
     totals = streamed.where("count is not null").groupBy("h1", "h2").agg(F.sum("count").alias("total")).where(F.col("total") >= least).select("h1", "h2")
     unsure = streamed.where("count is null and sure is null").join(totals, ["h1", "h2"], "left_semi")
     found = streamed.where("sure").select("doc", "print", "lines").union(unsure.select("doc", "print", "lines"))
-    gathered = found.groupBy("doc", "print").agg(F.collect_list("lines").alias("lines"))
-    return gathered.mapInArrow(_bitmaps, "doc long, print long, keep_bitmap binary, n_dropped long")
+    gathered = found.groupBy("doc", "print").agg(F.collect_set("lines").alias("lines"))  # repeats of a row add nothing
+    out = stash(gathered.mapInArrow(_bitmaps, "doc long, print long, keep_bitmap binary, n_dropped long"), "bitmaps")
+    discard(streamed)
+    return out
 
 
-def drop_frequent_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(text, bitmap) -> the lines that stay; null without a bitmap."""
+    for texts, maps in batches:
+        done: list[pa.Array] = []
+        for at, count in parts_of(texts):
+            rows = zip(texts.slice(at, count).to_pylist(), maps.slice(at, count).to_pylist(), strict=True)
+            done.append(pa.array([None if m is None else kept_lines(t, m) for t, m in rows], pa.string()))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+def drop_frequent_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs, one row per row, its text without the lines whose key stands in at least `least` documents, and n_lines, n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case; empty keys are never frequent.  A null or empty text is one
-    empty line and comes back empty.  Documents are counted by id: rows that repeat an id are one document (rows without an id count by text).  Other columns pass through;
-    columns named n_lines or n_dropped are replaced."""
-    bitmaps = keep_bitmaps(docs, least, id_col, text_col).withColumnsRenamed({"doc": "_doc", "print": "_print", "keep_bitmap": "_bitmap", "n_dropped": "_n_dropped"}).hint("shuffle_hash")  # texts need no sort; a partition's bitmaps are small
+    empty line and comes back empty.  Documents are counted by id: rows that repeat an id are one document (rows without an id count by text).  Other columns, whatever their
+    names, pass through; columns named n_lines or n_dropped are replaced.  An empty table gives an empty result."""
+    maps = keep_bitmaps(docs, least, id_col, text_col)
     docs = docs.drop("n_lines", "n_dropped")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    mark = F.xxhash64(text)
     names = docs.columns
-    joined = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), mark), "_p": mark})
-    joined = joined.join(bitmaps, (F.col("_d") == F.col("_doc")) & (F.col("_p") == F.col("_print")), "left")
-    at, schema = names.index(text_col), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                columns = list(part.columns[: len(names)])
-                texts, maps = ([x or "" for x in part.column(at).to_pylist()], part.column(len(names)).to_pylist())
-                columns[at] = pa.array([kept_lines(t, m) for t, m in zip(texts, maps, strict=True)], pa.string())
-                columns += [pa.array([t.count("\n") + 1 for t in texts], pa.int64()), part.column(len(names) + 1).fill_null(0)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_dropped"])
-
-    return joined.select(*names, "_bitmap", "_n_dropped").mapInArrow(run, schema)
+    own: dict[str, str] = {}
+    for n in ("d", "p", "doc", "print", "keep_bitmap", "n_dropped", "hit"):
+        own[n] = free_name([*names, *own.values()], n)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    mark = F.xxhash64(text)
+    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), mark).alias(own["d"]), mark.alias(own["p"]))
+    size = maps.agg(F.sum(F.length("keep_bitmap") + 64)).first()[0] or 0
+    small = KeyFilter(maps, "doc", "print") if size > broadcast_bytes else None
+    maps = maps.withColumnsRenamed({n: own[n] for n in maps.columns})
+    same = (F.col(own["d"]) == F.col(own["doc"])) & (F.col(own["p"]) == F.col(own["print"]))
+    if small is None:
+        joined = keyed.join(F.broadcast(maps), same, "left")
+    else:
+        marked = small.mark(keyed, own["hit"], F.col(own["d"]), F.col(own["p"]))
+        joined = marked.where(F.col(own["hit"])).join(maps.hint("shuffle_hash"), same, "left")  # texts need no sort; a partition's bitmaps are small
+        joined = joined.unionByName(marked.where(~F.col(own["hit"])), allowMissingColumns=True)
+    bitmap = F.col(own["keep_bitmap"])
+    cut = F.arrow_udf(tidy(_cut), "string")(F.when(bitmap.isNotNull(), text), bitmap)  # other texts stay in the JVM
+    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    kept = [F.coalesce(cut, text).alias(n) if n == text_col else F.col(f"`{n}`") for n in names]
+    return joined.select(*kept, lines.cast("long").alias("n_lines"), F.coalesce(own["n_dropped"], F.lit(0).cast("long")).alias("n_dropped"))
