@@ -1,5 +1,9 @@
 """Byte-level BPE by corpus-level merge replay.
 
+Ranks are fixed and pieces independent, so a corpus is replayed in parts, one group of texts after another in each task, with the same ids as in one go: what a task has
+replayed it remembers, and nothing is shuffled.  Replaying the corpus's distinct pieces once would take a shuffle of all pieces and a join back of every occurrence,
+several times the corpus, to save the replay of pieces that several tasks meet.
+
 The distinct pieces of some thousand texts are laid end to end as linked token positions.  An inverted index holds, for
 each mergeable pair, the positions where it stands; it is keyed by the rank of the merged token, as two pairs
 that make the same token compete for the same merge.  Ranks leave a heap in order; each applies to all its positions
@@ -22,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, row_groups, small_batches
+from .common import PART_ROWS, row_groups, shipped, tidy
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,9 +71,9 @@ class PairRanks:
 
 
 class ByteBpe:
-    """encode() and decode() of one vocabulary; remembers the ids of up to `bound` pieces and those of the current group of texts."""
+    """encode() and decode() of one vocabulary; remembers the ids of up to about `bound` pieces and those of the current group of texts."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 400_000):
+    def __init__(self, path: str, pattern: str, bound: int = 200_000):
         self.ranks = read_ranks(path)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairRanks(self.ranks)
@@ -80,9 +84,9 @@ class ByteBpe:
         lengths[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
         self.token_ends = np.cumsum(lengths)
         self.token_bytes = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
@@ -180,7 +184,7 @@ class ByteBpe:
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text ends, with a 0 in front); null counts as empty."""
         if len(self.index) > self.bound:
-            self._forget()
+            self.forget()
         index, fresh, which = self.index, {}, []
         for text in texts:
             found = self.find(text) if text else []
@@ -211,7 +215,7 @@ def gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.
 
 @lru_cache(2)
 def vocabulary(path: str, pattern: str) -> ByteBpe:
-    """One per worker process."""
+    """One per worker process, without what a task has remembered."""
     return ByteBpe(path, pattern)
 
 
@@ -226,16 +230,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             flat, ends = bpe.encode_batch(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             whole = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "ids"])
-            for at in range(0, len(ids), BATCH_ROWS):
-                yield whole.slice(at, BATCH_ROWS)
+            for at in range(0, len(ids), PART_ROWS):
+                yield whole.slice(at, PART_ROWS)
+        bpe.forget()
 
-    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>")
+    out = shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """tokens with a column `decoded` (binary): the bytes of the ids; null ids give empty bytes."""
-    names = small_batches(tokens).columns
+    names = shipped(tokens).columns
     schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + ", decoded binary"
     at = names.index(ids_col)
 
@@ -250,4 +255,4 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
             decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*names, "decoded"])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(tidy(run), schema)

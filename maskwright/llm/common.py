@@ -19,12 +19,27 @@ from maskwright.session import clear_stashes, discard, free_name, shared_folder,
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of a batch between the JVM and Python, and Spark's own number.  Whole texts are large, and both sides hold a batch several times over.
+BATCH_ROWS, SPARKS_ROWS = 512, "10000"
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shipped(df: DataFrame) -> DataFrame:
-    """df, once the executors have this package."""
+    """df, once the executors have this package.
+
+    Lazy results read the batch size when they run, so it is set for the session, and only where that has Spark's own number: another one that the session was given stays."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_KEY) == SPARKS_ROWS:
+        df.sparkSession.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     return df
 
 
+def restore_batches(spark: SparkSession) -> None:
+    """Gives the session Spark's own batch size back, once the results of this folder's operators have been used."""
+    if spark.conf.get(_BATCH_KEY) == str(BATCH_ROWS):
+        spark.conf.unset(_BATCH_KEY)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -144,6 +159,3 @@ class KeyFilter:
 
     def discard(self) -> None:
         discard(self.table)
-
-
-small_batches, BATCH_ROWS = shipped, PART_ROWS  # names that other modules still use

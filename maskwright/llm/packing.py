@@ -8,7 +8,7 @@ sequence crosses documents and, lengths being powers of two, none is padded.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import gather
-from .common import BATCH_ROWS, GROUP_CHARS, GROUP_ROWS, small_batches, stash
+from .common import GROUP_CHARS, GROUP_ROWS, PART_ROWS, parts_of, shipped, stash, tidy
 
 
 class _Numbers(dict):
@@ -41,14 +41,14 @@ class WordTokens:
 
     Texts are cut at white space and their distinct words numbered outside Python.  A word of Latin letters and marks of punctuation behind
     them is the ids of its lower-case letters and those of its marks, which the tokenizer always parts; any other word is taken whole.  Each such piece is
-    encoded once by the tokenizers library.  Up to `word_bound` words and `piece_bound` pieces are remembered.
+    encoded once by the tokenizers library.  Up to about `word_bound` words and `piece_bound` pieces are remembered, for a task at most: a worker serves other stages too.
 
     With special_as_text the strings of special tokens are ordinary text, else they are their tokens, as by the library's default."""
 
     MARKS = ".,;:!?"
     LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
-    def __init__(self, path: str, word_bound: int = 400_000, piece_bound: int = 700_000, special_as_text: bool = True):
+    def __init__(self, path: str, word_bound: int = 200_000, piece_bound: int = 300_000, special_as_text: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -57,6 +57,10 @@ class WordTokens:
         self.word_bound, self.piece_bound = word_bound, piece_bound
         # the one character that stands for each byte in the model's alphabet, as its own byte-level step gives them
         self.byte_letters = {b: letter for c in map(chr, [*range(97, 123), *range(0xC0, 0x100)]) for b, letter in zip(c.encode(), ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0], strict=True)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all words and pieces."""
         self._forget_words()
         self._forget_pieces()
 
@@ -129,7 +133,7 @@ class WordTokens:
 
 @lru_cache(2)
 def word_tokens(path: str, special_as_text: bool = True) -> WordTokens:
-    """One per worker process."""
+    """One per worker process, without what a task has remembered."""
     return WordTokens(path, special_as_text=special_as_text)
 
 
@@ -139,16 +143,12 @@ def decompose(length: int, limit: int) -> list[int]:
     return [limit] * (length // limit) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they are large enough, of bounded size."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches: Iterator[pa.RecordBatch], done: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """The rows in groups of bounded size; done() after the last one."""
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= GROUP_ROWS or sum(b.nbytes for b in held) >= GROUP_CHARS:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+        for at, count in parts_of(batch.column(1), GROUP_ROWS, GROUP_CHARS):
+            yield batch.slice(at, count)
+    done()
 
 
 PIECES = "part int, local long, doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens, part, seen = word_tokens(path, special_as_text), TaskContext.get().partitionId(), {}
         end = int(end_id).to_bytes(4, "little")
-        for group in _groups(batches):
+        for group in _groups(batches, tokens.forget):
             ids, texts = group.column(0).to_pylist(), group.column(1)
             out: list[list] = [[] for _ in range(7)]
             for doc_id, raw in zip(ids, tokens.encode_batch(texts), strict=True):
@@ -178,10 +178,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, limit: int, id_col: str = "d
                     start += length
             kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
             whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                yield whole.slice(at, BATCH_ROWS)
+            for at in range(0, whole.num_rows, PART_ROWS):
+                yield whole.slice(at, PART_ROWS)
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, path: str, end_id: int, limit: int = 2048, payload: Column | None = None, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> DataFrame:
