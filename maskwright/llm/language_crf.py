@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import free_name, parts_of, shipped, texts_of, tidy
 
 TABLE_BITS, LONGEST, BLOCK = 16, 4, 32
 UNKNOWN = "und"
+#: Texts, and their bytes, that are labelled at once: forward-backward holds some hundred bytes a word.
+TEXTS, TEXT_BYTES = 256, 1 << 19
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~0123456789¡¿«»“”‘’…–—"
 _MASK = np.uint64((1 << TABLE_BITS) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,7 +164,7 @@ def _windows(width: int, count: int):
 def training_windows(labelled: DataFrame, per_lang: int, width: int = 25, windows: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """(language, window) of about per_lang labelled documents of each language, chosen by a hash of their ids, and at most
     `windows` windows of `width` words of each: the bounded sample that the model is fitted to."""
-    rows = small_batches(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = shipped(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return []
@@ -239,7 +241,7 @@ def fit(windows: list[tuple[str, str]], epochs: int = 2, rate: float = 0.25, see
 class Labeller:
     """Labels words; remembers the scores of up to `bound` distinct tokens."""
 
-    def __init__(self, model: Crf, bound: int = 200_000):
+    def __init__(self, model: Crf, bound: int = 100_000):
         self.model, self.bound = model, bound
         self._reset()
 
@@ -292,27 +294,26 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(shared.value)
-        for ids, texts in texts_of(batches, 256):
+        for ids, texts in texts_of(batches, TEXTS, TEXT_BYTES):
             found = label(texts)
             runs = pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in f[2]] for f in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), runs], names=["id", "lang_pred", "score", "runs"])
 
-    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, lang_pred string, score double, runs {RUNS}")
+    out = shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id long, lang_pred string, score double, runs {RUNS}")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is not `und` and has a score of at least `least`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at, schema = names.index(text_col), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    """The rows of docs, all columns, whatever their names, whose language is not `und` and has a score of at least `least`.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the texts go to Python and only a flag comes back.  Null, empty and letterless texts go, repeated rows stay or go together; an empty table gives an empty result."""
+    shared = shipped(docs).sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         label = Labeller(shared.value)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = label(part.column(at).to_pylist())
-                yield part.filter(pa.array([f[0] != UNKNOWN and f[1] >= least for f in found]))
+        for texts in batches:
+            found = (f for at, count in parts_of(texts, TEXTS, TEXT_BYTES) for f in label(texts.slice(at, count).to_pylist()))
+            yield pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_())
 
-    return small_batches(docs).mapInArrow(run, schema)
+    told = free_name(docs.columns, "told")
+    return docs.withColumn(told, F.arrow_udf(tidy(run), "boolean")(F.col(f"`{text_col}`"))).where(F.col(told)).drop(told)
