@@ -10,7 +10,7 @@ O(n + T log T) instead of O(n * T).
 Steps, all distributed:
 
 1. one pass over the texts: set size, 128-bit digest of the set, band keys, two bit planes of the sketch;
-2. equal sets collapse to one node (partial aggregation, so a huge group of copies is one row per task);
+2. equal sets collapse to one numbered node (partial aggregation, so a huge group of copies is one row per task);
 3. nodes that share a band key meet at their bucket's smallest node (a star, linear in the bucket, never
    all pairs); pairs pass if sizes and bit planes allow a similarity of the threshold, and are then verified on the full sets;
 4. connected components of the verified links (alternating large and small stars on tables);
@@ -21,7 +21,10 @@ Steps, all distributed:
 6. components of all links; each row gets the smallest doc_id of its component.
 
 A pair at exactly 0.8 is missed by all 32 bands of 4 rows with probability (1 - 0.8^4)^32 < 1e-7 and by the bit planes
-with a probability below 1e-6.  Node ids have 64 bits.
+with a probability below 1e-6.  A set is named by all 128 bits of its digest.
+
+Sets are only needed of nodes with a candidate: bitmap filters (KeyFilter) drop other texts where they are read, and members of buckets with a
+single node before they are joined.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, small_batches, stash, texts_of
+from .common import KeyFilter, WordHashes, discard, parts_of, shipped, stash, texts_of, tidy
 
 T, BANDS, ROWS = 128, 32, 4
 #: Members up to which a bucket's pairs are joined, and shingles of a block of larger buckets.
@@ -105,51 +108,55 @@ def set_digest(x: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(x.tobytes())
 
 
-SKETCHED = "doc_id long, n_shingles long, nid long, p0 long, p1 long, p2 long, p3 long, bands array<long>"
+SKETCHED = "doc_id long, n_shingles long, h1 long, h2 long, p0 long, p1 long, p2 long, p3 long, bands array<long>"
+PLANES = ("p0", "p1", "p2", "p3")
+
+
+def _halves(digests: list[bytes | None]) -> list[pa.Array]:
+    """Both 64-bit halves of digests."""
+    return [pa.array([None if d is None else int.from_bytes(d[lo : lo + 8], "big", signed=True) for d in digests], pa.int64()) for lo in (0, 8)]
 
 
 def _sketcher(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for ids, texts in texts_of(batches):
-            n, nid, planes, bands = [], [], [], []
+            n, digests, planes, bands = [], [], [], []
             for text in texts:
                 x = shingle_set(text, size, hashes)
                 n.append(len(x))
                 if len(x):
                     c = sketch(x)
-                    nid.append(int.from_bytes(set_digest(x)[:8], "big", signed=True))
+                    digests.append(set_digest(x))
                     planes.append(bit_planes(c).view(np.int64).tolist())
                     bands.append(band_keys(c).view(np.int64))
                 else:
-                    nid.append(None)
+                    digests.append(None)
                     planes.append([None] * 4)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nid, pa.int64())] + [pa.array([p[k] for p in planes], pa.int64()) for k in range(4)] + [pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "nid", "p0", "p1", "p2", "p3", "bands"],
-            )
+            columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *_halves(digests), *[pa.array([p[k] for p in planes], pa.int64()) for k in range(4)], pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SKETCHED.split(", ")])
 
-    return run
+    return tidy(run)
 
 
 def _full_sets(size: int):
-    """(doc_id, text, nid) -> (nid, shingles) for the rows whose set is really the one of nid."""
+    """(nid, text, digest) -> (nid, shingles) for the rows whose set is really the one of the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, count in parts_of(batch.column(1)):
+                part = batch.slice(at, count)
                 nids, sets = [], []
-                for nid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for nid, text, digest in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     x = shingle_set(text, size, hashes)
-                    if len(x) and int.from_bytes(set_digest(x)[:8], "big", signed=True) == nid:
+                    if len(x) and set_digest(x) == digest:
                         nids.append(nid)
                         sets.append(x.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "shingles"])
 
-    return run
+    return tidy(run)
 
 
 def _most_unequal(percent: int) -> int:
@@ -200,26 +207,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(nid, shingles) of the nodes of wanted (nid), from the whole text of one document each."""
-    wanted = nodes.select("nid", "rep").join(wanted.distinct(), "nid")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "text")
-    return stash(texts.mapInArrow(_full_sets(size), "nid long, shingles array<long>").dropDuplicates(["nid"]), "sets")
+    """(nid, shingles) of the nodes of wanted (nid), from the whole text of one document each; texts of other documents are dropped where they are read."""
+    wanted = stash(nodes.select("nid", "rep", "h1", "h2").join(wanted.distinct(), "nid"), "wanted")
+    ids = KeyFilter(wanted, "rep")
+    digest = F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")])
+    texts = ids.only(docs, F.col("doc_id")).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "text", digest.alias("digest"))
+    out = stash(texts.mapInArrow(_full_sets(size), "nid long, shingles array<long>").dropDuplicates(["nid"]), "sets")
+    discard(wanted)
+    ids.discard()
+    return out
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold; sets of no pair are dropped before they are shuffled."""
+    ids = KeyFilter(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")), "nid")
+    sets = ids.only(sets, F.col("nid"))
     one = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return stash(met.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"), "links")
+    out = stash(met.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"), "links")
+    ids.discard()
+    return out
+
+
+def _candidates(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and bit planes allow."""
+    met = pairs.distinct().join(marks.alias("m"), F.col("a") == F.col("m.nid")).join(marks.alias("h"), F.col("b") == F.col("h.nid"))
+    return stash(met.where(_allowed(percent, "m", "h")).select("a", "b"), "pairs")
 
 
 def _open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their component, their bucket's largest one, and its members and shingles."""
-    placed = shared.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("members"), F.sum("t").alias("weight")).where("parts > 1")
-    return stash(placed.join(main.select("bucket", F.col("top.component").alias("main"), "members", "weight"), "bucket"), "open")
+    """The members of buckets that hold several components, with their component, their bucket's largest one and how many members it has.
+
+    What is known of a bucket is a table of its own, so that the rows of a large bucket can be split over tasks as they are joined to it."""
+    placed = shared.select("bucket", "nid").join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    placed = stash(placed, "placed")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("members")).where("parts > 1")
+    main = stash(main.select("bucket", F.col("top.component").alias("main"), "members"), "main")
+    some = KeyFilter(main, "bucket")
+    out = stash(some.only(placed, F.col("bucket")).join(main, "bucket"), "open")
+    discard(placed, main)
+    some.discard()
+    return out
 
 
 def _block_links(percent: int):
@@ -270,14 +300,17 @@ def _block_links(percent: int):
 
 
 def _large_bucket_links(still: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links across components in buckets of many members.  A bucket is cut into blocks by its weight; each pair of blocks is one group that gets the full sets of its members and returns links alone, so pairs are compared but never sent."""
-    full = still.join(sets, "nid").join(nodes.select("nid", "bands"), "nid")
-    full = full.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")).withColumn("block", F.pmod("nid", F.col("blocks")).cast("int"))
+    """Links across components in buckets of many members.  A bucket is cut into blocks by its shingles; each pair of blocks is one group that gets the full sets of its members and returns links alone, so pairs are compared but never sent."""
+    full = still.join(nodes.select("nid", "n", *PLANES, "bands"), "nid")
+    weights = stash(full.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "blocks")
+    full = full.join(weights, "bucket").join(sets, "nid").withColumn("block", F.pmod("nid", F.col("blocks")).cast("int"))
     all_blocks = F.explode(F.expr("sequence(0, blocks - 1)"))
-    kept = ["bucket", "nid", "component", "n", "p0", "p1", "p2", "p3", "bands", "shingles"]
+    kept = ["bucket", "nid", "component", "n", *PLANES, "bands", "shingles"]
     x = full.where("component <> main").select(*kept, F.col("block").alias("i"), all_blocks.alias("j"))
     y = full.select(*[F.col(c).alias(c) for c in kept], F.col("block").alias("j"), all_blocks.alias("i"))
-    return x.groupBy("bucket", "i", "j").cogroup(y.groupBy("bucket", "i", "j")).applyInArrow(_block_links(percent), "a long, b long")
+    out = stash(x.groupBy("bucket", "i", "j").cogroup(y.groupBy("bucket", "i", "j")).applyInArrow(_block_links(percent), "a long, b long"), "links")
+    discard(weights)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,47 +319,60 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Null, empty and blank texts have an empty set and stay alone.  Rows of equal sets are one node, so repeated rows and ties
     share a component; rows that repeat one doc_id each get a row.  A null id never becomes a component's id unless all its
     ids are null.  Other columns, whatever their names, are ignored.  An empty table gives an empty result."""
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stash(docs.mapInArrow(_sketcher(size), SKETCHED), "sketches")
-    firsts = [F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "p0", "p1", "p2", "p3", "bands")]
-    nodes = stash(rows.where("nid is not null").groupBy("nid").agg(F.min("doc_id").alias("rep"), *firsts), "nodes")
-
-    member = nodes.select("nid", "n", "p0", "p1", "p2", "p3", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("nid").alias("head"), F.count("*").alias("c")).where("c > 1")
-    shared = stash(member.join(heads.select("bucket", "head"), "bucket"), "buckets")
-    marks = nodes.select("nid", "n", "p0", "p1", "p2", "p3")
-    star = shared.where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b")).distinct()
-    star = star.join(marks.alias("m"), F.col("a") == F.col("m.nid")).join(marks.alias("h"), F.col("b") == F.col("h.nid")).where(_allowed(percent, "m", "h"))
-    star = stash(star.select("a", "b"), "star")
-    star_sets = _sets_of(star.select(F.col("a").alias("nid")).union(star.select("b")), nodes, docs, size)
-    links = _linked(star, star_sets, percent)
-    discard(star_sets)
-    found = components(links)
+    docs = shipped(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketches = stash(docs.mapInArrow(_sketcher(size), SKETCHED), "sketches")
+    firsts = [F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", *PLANES, "bands")]
+    nodes = sketches.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *firsts)
+    nodes = stash(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # a number for each set, fixed by writing it down
+    marks = nodes.select("nid", "n", *PLANES)
+
+    # only bucket and node are exploded; members of buckets with one node are dropped before they are joined
+    member = nodes.select(F.explode("bands").alias("bucket"), "nid")
+    heads = stash(member.groupBy("bucket").agg(F.min("nid").alias("head"), F.count("*").alias("c")).where("c > 1").select("bucket", "head"), "heads")
+    several = KeyFilter(heads, "bucket")
+    shared = stash(several.only(member, F.col("bucket")).join(heads, "bucket"), "buckets")
+    discard(heads)
+    several.discard()
+    star = _candidates(shared.where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b")), marks, percent)
+    sets = _sets_of(star.select(F.col("a").alias("nid")).union(star.select("b")), nodes, docs, size)
+    links = _linked(star, sets, percent)
+    found = first = components(links)
+    discard(star, links)
 
     # copies of one text that differ from each other more than from it hold together only through a central one: the nodes
     # outside a bucket's largest component try several of its members before everything that is left is looked at
     joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    still = _open_buckets(shared.drop("head"), found)
-    sets = _sets_of(still.select("nid"), nodes, docs, size)
-    heads = still.where("component = main").groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in _SALTS])).alias("heads"))
-    tries = still.where("component <> main").join(heads, "bucket").select(F.col("nid").alias("a"), F.explode("heads").alias("b")).distinct()
-    tries = tries.join(marks.alias("m"), F.col("a") == F.col("m.nid")).join(marks.alias("h"), F.col("b") == F.col("h.nid")).where(_allowed(percent, "m", "h")).select("a", "b")
-    joined = joined.union(_linked(tries, sets, percent))
-    found = components(joined)
-
-    rest = _open_buckets(still.drop("component", "main", "members", "weight"), found)
+    still = _open_buckets(shared, found)
+    discard(shared)
+    middle = still.where("component = main").groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in _SALTS])).alias("heads"))
+    middle = stash(middle, "middle")
+    tries = _candidates(still.where("component <> main").join(middle, "bucket").select(F.col("nid").alias("a"), F.explode("heads").alias("b")), marks, percent)
+    discard(middle)
+    more = _sets_of(still.select("nid").distinct().join(sets.select("nid"), "nid", "left_anti"), nodes, docs, size)
+    all_sets = sets.union(more)
+    tried = _linked(tries, all_sets, percent)
+    discard(tries)
+    joined = joined.union(tried)
+    found = second = components(joined)
+
+    rest = _open_buckets(still, found)
     discard(still)
-    few = rest.where(F.col("members") <= FEW)
+    few = rest.where(F.col("members") <= FEW).join(marks, "nid")
     x, y = few.where("component <> main").alias("x"), few.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid")))
-    pairs = x.join(y, apart & _allowed(percent, "x", "y")).select(F.greatest("x.nid", "y.nid").alias("a"), F.least("x.nid", "y.nid").alias("b")).distinct()
-    more = stash(_linked(pairs, sets, percent).union(_large_bucket_links(rest.where(F.col("members") > FEW), sets, nodes, percent)), "links")
-    if not more.isEmpty():
-        found = components(joined.union(more))
-
-    in_part = nodes.select("nid", "rep").join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    least = in_part.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = in_part.join(least, "component").select("nid", "component_id")
-    out = rows.select("doc_id", "n_shingles", "nid").join(named, "nid", "left")
-    out = out.withColumn("component_id", F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    pairs = stash(x.join(y, apart & _allowed(percent, "x", "y")).select(F.greatest("x.nid", "y.nid").alias("a"), F.least("x.nid", "y.nid").alias("b")).distinct(), "pairs")
+    close = _linked(pairs, all_sets, percent)
+    discard(pairs)
+    large = _large_bucket_links(rest.where(F.col("members") > FEW), all_sets, nodes, percent)
+    last = close.union(large)
+    if not last.isEmpty():
+        found = components(joined.union(last))
+
+    in_part = nodes.select("nid", "rep", "h1", "h2").join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    least = stash(in_part.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    named = stash(in_part.join(least, "component").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "component_id"), "named")
+    rows = stash(sketches.select("doc_id", "n_shingles", "h1", "h2"), "rows")
+    discard(sketches, nodes, sets, more, rest, first, tried, second, close, large, least, None if found is second else found)
+    out = rows.join(named, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), "left")
+    out = out.withColumn("component_id", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
