@@ -1,24 +1,29 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests takes for generated.
 
 A candidate token is a run of 20 or more characters of the base64 alphabets in what the pattern matches leave of a text, and each of
-its parts between / _ - that is as long.  Its encoding is the smallest alphabet that holds it; against the hypothesis of uniform random symbols of that alphabet stand
+its parts between / _ - that is as long.  Its encoding is the smallest alphabet that holds it.  Three tests look at a candidate twice.
 
-* a chi-squared test of the symbol counts,
-* a runs test of symbols above and below the alphabet's middle,
-* a test of the lag-1 serial correlation,
+Against the null hypothesis that words and identifiers made it, as p-values that have the token's length and encoding in their null distribution:
 
-and a token is random if none rejects at 0.001 / 3 and prose does not explain it: short tokens pass such tests for want of power, so
-the likelihood of uniform symbols of its alphabet is compared with that of prose and identifiers (changes between lower case, upper case,
-digits and signs, and letter bigrams).  The ratio grows with the token's length, and its inverse bounds a p-value.  These p-values go through
-Benjamini-Hochberg over the candidates of a document, so the expected share of false spans stays below the chosen rate however many candidates
-a text has.
+* runs: the changes between signs, lower case, upper case and digits, as the likelihood ratio of uniform symbols against the steps of identifiers;
+* serial correlation of lag 1: the letters given the ones before them, as the likelihood ratio of uniform symbols against letter pairs of words;
+* chi-squared: the symbol counts, whose statistic has the exact mean and variance of that many letters of words.
+
+The two ratios belong to one factorisation of the token's likelihood, so their product is an e-value; the chi-squared p-value is calibrated to another
+one, and their mean's inverse is the candidate's p-value.  P-values go through Benjamini-Hochberg over the candidates of a document, separately for
+each encoding and weighted by length, as longer tokens are easier to tell: the expected share of false spans stays below the chosen rate however many candidates a text has.
+
+Against the null hypothesis of uniform random symbols of the encoding, as a check of what that leaves: a token that chi-squared (with exact mean and variance, as expected
+counts below one are common), the number of runs above and below the alphabet's middle or the lag-1 serial correlation rejects at 0.001 / 3 is no random token.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from math import erfc, log2, sqrt
 
 import numpy as np
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import parts_of, shipped, texts_of, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -76,21 +81,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _chi_tail(x: float, k: int) -> float:
-    """Both tails of a chi-squared variable, by the cube-root normal approximation."""
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k))
-    return erfc(abs(z) / sqrt(2))
+def _moments(n: int, size: int, squares: float, cubes: float) -> tuple[float, float]:
+    """Exact mean and variance of the chi-squared statistic against `size` equal cells for n independent symbols whose probabilities have these sums of squares and cubes."""
+    scale = size / n
+    mean = scale * (n + n * (n - 1) * squares) - n
+    variance = scale**2 * 2 * n * (n - 1) * (squares + 2 * (n - 2) * cubes - (2 * n - 3) * squares**2)
+    return mean, max(variance, 1e-9)
+
+
+def _chi_z(x: float, mean: float, variance: float) -> float:
+    """Standard normal score of a statistic with these moments, by the cube root of the gamma variable that shares them."""
+    k = 2 * mean**2 / variance
+    return ((max(x, 0.0) / mean) ** (1 / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k))
+
+
+def encoding_of(body: str) -> tuple[str, int, dict[str, int]]:
+    """(name, number of symbols, their places) of the smallest alphabet that holds a token."""
+    letters = set(body)
+    return next(((n, len(s), p) for n, s, p in _SETS if letters <= s), ("base64", 66, _SETS[-1][2]))
+
+
+def _chi_squared(body: str, size: int) -> float:
+    counts = np.unique(np.frombuffer(body.encode("latin-1", "replace"), np.uint8), return_counts=True)[1].astype(np.float64)
+    return float((counts**2).sum()) * size / len(body) - len(body)
 
 
 def randomness(token: str) -> tuple[str, float]:
-    """(encoding, p): the least p-value of the three tests, times three."""
+    """(encoding, p) under uniform random symbols of the encoding: the least p-value of the three tests, times three."""
     body = token.rstrip("=")
-    letters = set(body)
-    name, size, place = next(((n, len(s), p) for n, s, p in _SETS if letters <= s), ("base64", 66, _SETS[-1][2]))
+    name, size, place = encoding_of(body)
     x = np.fromiter(map(place.__getitem__, body), np.float64, len(body))
     n = len(x)
-    counts = np.bincount(x.astype(np.int64), minlength=size)
-    ps = [_chi_tail(float(((counts - n / size) ** 2).sum() * size / n), size - 1)]
+    ps = [erfc(abs(_chi_z(_chi_squared(body, size), *_moments(n, size, 1 / size, 1 / size**2))) / sqrt(2))]
     high = x >= size / 2
     above = int(high.sum())
     below = n - above
@@ -108,33 +130,73 @@ def randomness(token: str) -> tuple[str, float]:
     return name, min(1.0, 3 * min(ps))
 
 
-def prose_bits(token: str) -> float:
-    """Bits that the measured statistics of prose and identifiers take to write a token."""
-    total, last, row = 0.0, 0, 0
+def prose_parts(token: str) -> tuple[float, float]:
+    """Bits that the measured statistics of prose and identifiers take to write a token: for the kinds of its symbols, and for the symbols given their kinds."""
+    steps, symbols, last, row = 0.0, 0.0, 0, 0
     for c in token:
         kind = 1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 0
-        total += _STEPS[last][kind]
+        steps += _STEPS[last][kind]
         if kind == 1 or kind == 2:
             letter = ord(c) - (96 if kind == 1 else 64)
-            total += (ord(_BIGRAMS[0 if kind == 2 and last == 1 else row][letter - 1]) - 65) / 2
+            symbols += (ord(_BIGRAMS[0 if kind == 2 and last == 1 else row][letter - 1]) - 65) / 2
             row = letter
         else:
-            total += _DIGIT_BITS if kind else _SIGN_BITS
+            symbols += _DIGIT_BITS if kind else _SIGN_BITS
             row = 0
         last = kind
-    return total
+    return steps, symbols
+
+
+def prose_bits(token: str) -> float:
+    return sum(prose_parts(token))
 
 
 def uniform_bits(token: str) -> float:
     """Bits to write a token as uniform symbols of the smallest alphabet that holds it, and to name the alphabet."""
-    letters = set(token)
-    return len(token) * log2(next((len(s) for _, s, _ in _SETS if letters <= s), 66)) + log2(len(_SETS))
+    return len(token) * log2(encoding_of(token)[1]) + log2(len(_SETS))
 
 
-def prose_p(token: str) -> float:
-    """A bound on the chance that prose gives a token so much likelier to be random: the likelihood ratio's inverse, by Markov's inequality."""
+@lru_cache(1)
+def _letter_sums() -> tuple[float, float]:
+    """Sums of the squares and cubes of the letters' shares in words, by the letter pairs' stationary distribution."""
+    pairs = np.array([[2.0 ** (-(ord(c) - 65) / 2) for c in row] for row in _BIGRAMS[1:]])
+    share = np.full(26, 1 / 26)
+    for _ in range(200):
+        share = share @ (pairs / pairs.sum(axis=1, keepdims=True))
+    return float((share**2).sum()), float((share**3).sum())
+
+
+def battery(token: str) -> tuple[str, float, float, float]:
+    """(encoding, bits of runs, bits of serial correlation, p of chi-squared) against the hypothesis that words and identifiers made the token.
+
+    Bits are log likelihood ratios of uniform symbols: by Markov's inequality 2^-bits bounds each test's p-value, and 2^-sum that of both.  Uniform symbols take their kinds by the
+    kinds' shares of the alphabet and then a symbol of the kind; naming the alphabet is charged to the runs."""
     body = token.rstrip("=")
-    return 2.0 ** min(0.0, uniform_bits(body) - prose_bits(body))
+    name, size, _ = encoding_of(body)
+    steps, symbols = prose_parts(body)
+    kinds = [0, 0, 0, 0]
+    for c in body:
+        kinds[1 if "a" <= c <= "z" else 2 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 0] += 1
+    held = [(k, m) for k, m in zip(kinds, _kinds_of(name, size), strict=True) if k]
+    runs = steps - sum(k * log2(size / m) for k, m in held) - log2(len(_SETS))
+    serial = symbols - sum(k * log2(m) for k, m in held)
+    chi = erfc(-_chi_z(_chi_squared(body, size), *_moments(len(body), size, *_letter_sums())) / sqrt(2)) / 2
+    return name, runs, serial, chi
+
+
+@lru_cache(64)
+def _kinds_of(name: str, size: int) -> tuple[int, ...]:
+    """Signs, lower-case letters, upper-case letters and digits that tokens of these alphabets can hold, at least one each."""
+    letters = "".join(s for n, s in ALPHABETS if n == name and len(s) == size) or ALPHABETS[-1][1]
+    return tuple(max(1, len(set(letters) & set(x))) for x in ("+/-_", _LOWER, _UPPER, _DIGITS))
+
+
+def prose_p(token: str) -> float:
+    """The battery's p-value of a token against words and identifiers: the inverse of the mean of two e-values, the likelihood ratio of runs and serial correlation together and
+    half the inverse square root of chi-squared's p-value."""
+    _, runs, serial, chi = battery(token)
+    ratio = 2.0 ** min(1000.0, runs + serial)
+    return min(1.0, 2 / (ratio + 0.5 / sqrt(max(chi, 1e-6))))
 
 
 def _runs(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -182,9 +244,16 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = 0.0
         at = max(at, e)
     gaps.append((at, len(text)))
     runs = [(m.span(), _runs(text, *m.span())) for lo, hi in gaps for m in _CANDIDATE.finditer(text, lo, hi)]
-    found = sorted((prose_p(text[s:e]), s, e) for _, run in runs for s, e in run)
-    last = max((n for n, (p, _, _) in enumerate(found, 1) if p <= rate * n / len(found)), default=0)
-    good = {(s, e) for _, s, e in found[:last] if randomness(text[s:e])[1] >= 0.001}
+    by: dict[str, list[tuple[float, int, int]]] = defaultdict(list)
+    for _, run in runs:
+        for s, e in run:
+            by[encoding_of(text[s:e].rstrip("="))[0]].append((prose_p(text[s:e]), s, e))
+    good = set()
+    for found in by.values():  # an encoding's candidates are one family; weights have mean 1
+        mean = sum(e - s for _, s, e in found) / len(found)
+        weighed = sorted((p * mean / (e - s), s, e) for p, s, e in found)
+        last = max((n for n, (p, _, _) in enumerate(weighed, 1) if p <= rate * n / len(weighed)), default=0)
+        good |= {(s, e) for _, s, e in weighed[:last] if randomness(text[s:e])[1] >= 0.001}
     edges = {edge for s, _, e in taken for edge in (s, e)}
     out = []
     for (lo, hi), run in runs:
@@ -212,7 +281,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind)], names=["id", "spans"])
 
-    out = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, spans array<struct<kind: string, start: int, end: int>>")
+    out = shipped(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id long, spans array<struct<kind: string, start: int, end: int>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -233,14 +302,13 @@ def redact_text(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of text_col replaced; all columns stay, null texts stay null."""
-    names = docs.columns
-    at, schema = names.index(text_col), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    """docs with the secrets of text_col replaced; all columns, whatever their names, stay, null texts stay null, repeated rows get equal texts; an empty table gives an empty result.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[at] = pa.array([redact_text(t, mark) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    Only the texts go through Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = (redact_text(t, mark) for at, count in parts_of(texts) for t in texts.slice(at, count).to_pylist())
+            yield pa.array(found, pa.string())
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return shipped(docs).withColumn(text_col, F.arrow_udf(tidy(run), "string")(F.col(f"`{text_col}`")))
