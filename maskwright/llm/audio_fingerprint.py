@@ -5,8 +5,10 @@ rectangles over (frames, pitch classes) read from an integral image in four look
 code, so each frame gives one packed 32-bit integer.  Recordings are aligned by votes: equal integers vote for an offset, and
 every offset with enough votes is checked by the bit errors over the frames that then overlap.
 
-The search compares a set of query recordings with all recordings in blocks: a task gets one block of queries with its index of integers and
-one slice of the recordings, so its memory is bounded by the two sizes, whatever the integers' frequencies are.
+The search is a join over an inverted index: its keys are pairs of a recording's integers that stand STRIDE frames apart, which unrelated recordings hardly ever
+share, so candidates grow with the matches and not with queries times recordings.  A bitmap filter over the queries' keys drops most others before they are shuffled.
+Each candidate pair is then aligned on its whole prints, over all offsets that its integers vote for.  Keys that would still join more than FREQUENT pairs (a note held
+for long) are left out of the join; recordings that hold one are compared with the queries that hold one block by block, with memory bounded by the blocks, so no pair is lost to them.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import KeyFilter, discard, shipped, stash, tidy
 
 RATE, FRAME, HOP = 2000, 256, 64
 WINDOW = 8  # frames that one packed integer looks at
+STRIDE, FREQUENT = 4, 1_000_000
 QUERY_BLOCK, SLICE_ROWS, CHUNK_FRAMES = 256, 4096, 1 << 20
 
 
@@ -102,6 +106,13 @@ def melody(vector: np.ndarray, rate: int = RATE) -> np.ndarray:
     return (np.concatenate(notes) * 30000).astype("<i2")
 
 
+def take(pcm: np.ndarray, number: int) -> np.ndarray:
+    """Another take of a recording, by rule: it begins 3 + number % 29 frames later, is a fifth less loud and has white noise of 500 steps (one sixtieth of full scale), seeded by the number."""
+    noise = np.random.default_rng(number & 0xFFFFFFFF)
+    left = pcm[HOP * (3 + number % 29) :] * 0.8
+    return (left + noise.normal(0, 500, len(left))).clip(-32768, 32767).astype("<i2")
+
+
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     """(share of unequal bits, overlapping frames) with a[i] against b[i + offset]."""
     lo, hi = max(0, -offset), min(len(a), len(b) - offset)
@@ -162,26 +173,53 @@ class QueryIndex:
         return out
 
 
+def index_keys(print_: np.ndarray) -> np.ndarray:
+    """The distinct keys of a print: its integers with those STRIDE frames later; one of the whole print if it is shorter."""
+    if len(print_) <= STRIDE:
+        return np.array([xxhash.xxh3_64_intdigest(print_.tobytes())], np.uint64).view(np.int64) if len(print_) else np.empty(0, np.int64)
+    x = print_.astype(np.uint64)
+    return np.unique((x[:-STRIDE] << np.uint64(32)) | x[STRIDE:]).view(np.int64)
+
+
 def fingerprints(recordings: DataFrame, rate: int = RATE, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
-    """(id, print binary): the packed integers, little-endian, of each recording; null, empty and too short ones have none."""
+    """(id, print binary): the packed integers, little-endian, of each recording; null, empty and too short ones have none. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = [fingerprint(np.frombuffer(x, "<i2"), rate).astype("<u4").tobytes() if x and len(x) % 2 == 0 else b"" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "print"])
 
-    return small_batches(recordings).select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).alias("pcm")).mapInArrow(run, "id long, print binary")
+    return shipped(recordings).select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).alias("pcm")).mapInArrow(tidy(run), "id long, print binary")
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, few at a time: recordings are large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield batch.slice(at, 64)
 
 
 def recordings_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, pcm): a media column made of a column of vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = [melody(np.array([x or 0.0 for x in v])).tobytes() if v else None for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "pcm"])
 
-    return small_batches(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, pcm binary")
+    return shipped(vectors).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(tidy(run), "id long, pcm binary")
+
+
+def takes_of(recordings: DataFrame, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
+    """(id, pcm): take() of each recording with an id and samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            found = [take(np.frombuffer(x, "<i2"), n).tobytes() for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "pcm"])
+
+    rows = shipped(recordings).select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).alias("pcm"))
+    return rows.where("id is not null and length(pcm) > 0 and length(pcm) % 2 = 0").mapInArrow(tidy(run), "id long, pcm binary")
 
 
 def print_class():
@@ -189,60 +227,104 @@ def print_class():
     return F.sha2("print", 256)
 
 
-def _compare(own: DataFrame, queries: DataFrame, slices: int, least_votes: int, most_error: float) -> DataFrame:
-    """(row, own_id, query_class, query_id, offset_frames, votes, overlap, bit_error): every pair of a row of own and one of queries that align.
+FOUND = "class string, query_class string, offset_frames long, votes long, overlap long, bit_error double"
+
+
+def _keys(prints: DataFrame) -> DataFrame:
+    """(class, print) -> (class, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            found = [index_keys(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["class", "key"])
+
+    return prints.select("class", "print").mapInArrow(tidy(run), "class string, key long")
+
+
+def _table(rows: list[tuple]) -> dict[str, pa.Array]:
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 3, pa.float64()]
+    return {c.split()[0]: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(FOUND.split(", "), kinds, strict=True))}
+
+
+def _check_pairs(pairs: DataFrame, own: DataFrame, queries: DataFrame, least_votes: int, most_error: float) -> DataFrame:
+    """FOUND of the candidate pairs (class, query_class) that align."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            out = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                out += [(a, b, *f[1:]) for f in QueryIndex([0], [np.frombuffer(y, "<u4")]).align(np.frombuffer(x, "<u4"), least_votes, most_error)]
+            yield pa.RecordBatch.from_pydict(_table(out))
 
-    own is (row, lo, hi, print), queries (class, lo, hi, print), where lo and hi are the least and greatest id that have the print.  The ids of a pair are the least
-    that differ; where both sides are one and the same id there is no pair.  Both sides are dealt out by (block of queries, slice of own)."""
-    blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
-    q = queries.select("class", "lo", "hi", "print", F.pmod(F.xxhash64("print", "lo"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    r = own.select("row", "lo", "hi", "print", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-    row_type = own.schema["row"].dataType.simpleString()
+    both = pairs.join(own.select("class", "print"), "class").join(queries.select(F.col("class").alias("query_class"), F.col("print").alias("query")), "query_class")
+    return both.select("class", "query_class", "print", "query").mapInArrow(tidy(run), FOUND)
+
+
+def _check_blocks(own: DataFrame, queries: DataFrame, least_votes: int, most_error: float) -> DataFrame:
+    """FOUND of all pairs of own and queries that align.  Both sides are dealt out by (block of queries, slice of own)."""
+    slices, blocks = (max(1, ceil(x.count() / most)) for x, most in ((own, SLICE_ROWS), (queries, QUERY_BLOCK)))
+    q = queries.select("class", "print", F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    r = own.select("class", "print", F.pmod(F.xxhash64("class"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
 
     def run(own: pa.Table, block: pa.Table) -> pa.Table:
-        q_lo, q_hi = block.column("lo").to_pylist(), block.column("hi").to_pylist()
-        index = QueryIndex(list(range(block.num_rows)), [np.frombuffer(x, "<u4") for x in block.column("print").to_pylist()])
-        out: list[list] = [[] for _ in range(8)]
-        for n, (lo, hi, raw) in enumerate(zip(own.column("lo").to_pylist(), own.column("hi").to_pylist(), own.column("print").to_pylist(), strict=True)):
-            for k, *found in index.align(np.frombuffer(raw, "<u4"), least_votes, most_error):
-                ids = next(((a, b) for a, b in ((lo, q_lo[k]), (lo, q_hi[k]), (hi, q_lo[k])) if a != b), None)
-                if ids:
-                    for column, value in zip(out, (n, k, *ids, *found), strict=True):
-                        column.append(value)
-        at, of = pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())
-        numbers = [pa.array(c, t) for c, t in zip(out[2:], (*[pa.int64()] * 5, pa.float64()), strict=True)]
-        return pa.table([own.column("row").take(at), numbers[0], block.column("class").take(of), *numbers[1:]], names=["row", "own_id", "query_class", "query_id", "offset_frames", "votes", "overlap", "bit_error"])
-
-    schema = f"row {row_type}, own_id long, query_class string, query_id long, offset_frames long, votes long, overlap long, bit_error double"
-    return r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(run, schema)
-
-
-def align(prints: DataFrame, queries: DataFrame, least_votes: int = 3, most_error: float = 0.2, best: bool = False) -> DataFrame:
+        index = QueryIndex(block.column("class").to_pylist(), [np.frombuffer(x, "<u4") for x in block.column("print").to_pylist()])
+        return pa.table(_table([(a, *f) for a, x in zip(own.column("class").to_pylist(), own.column("print").to_pylist(), strict=True) for f in index.align(np.frombuffer(x, "<u4"), least_votes, most_error)]))
+
+    return r.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(run, FOUND)
+
+
+def _search(own: DataFrame, queries: DataFrame, least_votes: int, most_error: float, frequent: int) -> DataFrame:
+    """FOUND of the pairs of own and queries, both (class, print) of distinct prints, that share a key and align."""
+    asked = stash(_keys(queries), "asked")
+    wanted = stash(asked.groupBy("key").agg(F.count("*").alias("n")), "wanted")
+    some = KeyFilter(wanted, "key")
+    held = stash(some.only(_keys(own), F.col("key")), "held")
+    often = stash(held.groupBy("key").agg(F.count("*").alias("m")).join(wanted, "key").where(F.col("n") * F.col("m") > frequent).select("key"), "often")
+    discard(wanted)
+    some.discard()
+    rare = lambda keys: keys.join(often, "key", "left_anti")
+    pairs = stash(rare(held).join(rare(asked).withColumnRenamed("class", "query_class"), "key").select("class", "query_class").distinct(), "pairs")
+    out = stash(_check_pairs(pairs, own, queries, least_votes, most_error), "found")
+    if not often.isEmpty():
+        common = lambda prints, keys: stash(prints.join(keys.join(often, "key", "left_semi").select("class").distinct(), "class", "left_semi"), "common")
+        blocks = _check_blocks(common(own, held), common(queries, asked), least_votes, most_error)
+        out = stash(out.union(blocks).dropDuplicates(["class", "query_class"]), "found")
+    discard(asked, held, often, pairs)
+    return out
+
+
+def align(prints: DataFrame, queries: DataFrame, least_votes: int = 3, most_error: float = 0.2, best: bool = False, same_id: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """All alignments of the recordings of prints with queries: id, n_frames, print_class, query_id, query_class, offset_frames, votes, overlap, bit_error.
 
     Equal prints are compared once: print_class is shared by the recordings of equal prints, and there is one row per pair of a print_class and a query_class that align, for
     one recording (its least id, where that is not the query itself) and one query of the classes.  It stands for all their members: every recording of print_class aligns
-    with every query of query_class but itself, so no link is lost and no copies are multiplied.  A query's class is print_class() of its print.  Recordings without such a row
-    have one with nulls, so every row of prints occurs.  offset_frames is the recording's frame at the query's first one.  Rows without an id or without frames have no class and
-    align with nothing; rows that repeat an id and a print have equal rows.
+    with every query of query_class but itself, so no link is lost and no copies are multiplied.  With same_id a recording and a query of one id are different recordings (queries are other
+    takes, say) and align too.  A query's class is print_class() of its print.  Recordings without such a row
+    have one with nulls, so every row of prints occurs.  offset_frames is the recording's frame at the query's first one; of offsets of equal error and votes the smallest counts.  Rows without an id or
+    without frames have no class and align with nothing; rows that repeat an id and a print have equal rows.  Other columns are ignored; an empty table gives an empty result.
 
     With best, there is one row per row of prints, with the query that aligns best with it: least bit error, then most votes, then smallest id.
 
-    Work is queries times recordings, as in any full search, but memory is not."""
+    A pair is found if it shares a key of the index (see index_keys); it then needs least_votes equal integers at one offset, an overlap of half the shorter print and a bit error of at most most_error there."""
     prints = stash(prints.select("id", "print").withColumn("row", F.monotonically_increasing_id()), "prints")
-    slices = max(1, ceil(prints.count() / SLICE_ROWS))
     live = F.col("id").isNotNull() & (F.length("print") > 0)
-    queries = queries.where(live & F.col("print").isNotNull()).select("id", "print")
-    named = prints.select("row", "id", "print", F.coalesce(F.expr("length(print) div 4"), F.lit(0)).alias("n_frames"), F.when(live, print_class()).alias("print_class"))
+    ends = F.min("id").alias("lo"), F.max("id").alias("hi")
+    classes = lambda rows: rows.groupBy("print").agg(*ends).select(print_class().alias("class"), "lo", "hi", "print")
+    own, asked = stash(classes(prints.where(live)), "classes"), stash(classes(queries.where(live).select("id", "print")), "queries")
+    found = _search(own, asked, least_votes, most_error, frequent)
+    asked_ends = asked.select(F.col("class").alias("query_class"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    found = found.withColumnRenamed("class", "print_class").join(asked_ends, "query_class")
+    named = prints.select("row", "id", F.coalesce(F.expr("length(print) div 4"), F.lit(0)).alias("n_frames"), F.when(live, print_class()).alias("print_class"))
+    columns = ["id", "n_frames", "print_class", "query_id", "query_class", "offset_frames", "votes", "overlap", "bit_error"]
     if best:
-        single = stash(queries.distinct().select(print_class().alias("class"), F.col("id").alias("lo"), F.col("id").alias("hi"), "print"), "queries")
-        found = _compare(prints.where(live).select("row", F.col("id").alias("lo"), F.col("id").alias("hi"), "print"), single, slices, least_votes, most_error)
+        other = F.col("q_lo") if same_id else F.when(F.col("q_lo") != F.col("id"), F.col("q_lo")).when(F.col("q_hi") != F.col("id"), F.col("q_hi"))
+        pairs = named.join(found, "print_class").withColumn("query_id", other).where("query_id is not null")
         first = F.min(F.struct("bit_error", (-F.col("votes")).alias("v"), "query_id", "query_class", "offset_frames", "overlap"))
-        out = named.join(found.groupBy("row").agg(first.alias("b")), "row", "left")
+        out = named.join(pairs.groupBy("row").agg(first.alias("b")), "row", "left")
         return out.select("id", "n_frames", "print_class", "b.query_id", "b.query_class", "b.offset_frames", (-F.col("b.v")).alias("votes"), "b.overlap", "b.bit_error")
-    ends = F.min("id").alias("lo"), F.max("id").alias("hi")
-    own = prints.where(live).groupBy("print").agg(*ends).select(print_class().alias("row"), "lo", "hi", "print")
-    classes = stash(queries.groupBy("print").agg(*ends).select(print_class().alias("class"), "lo", "hi", "print"), "queries")
-    found = _compare(own, classes, slices, least_votes, most_error).withColumnsRenamed({"row": "print_class", "own_id": "id"})
-    out = named.drop("print").join(found, ["print_class", "id"], "left")
-    return out.select("id", "n_frames", "print_class", "query_id", "query_class", "offset_frames", "votes", "overlap", "bit_error")
+    pair = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("query_id"))
+    differ = [F.when(F.col(a) != F.col(b), pair(a, b)) for a, b in (("lo", "q_lo"), ("lo", "q_hi"), ("hi", "q_lo"))]
+    found = found.join(own.select(F.col("class").alias("print_class"), "lo", "hi"), "print_class").withColumn("ids", pair("lo", "q_lo") if same_id else F.coalesce(*differ))
+    found = found.where("ids is not null").select("print_class", "ids.*", "query_class", "offset_frames", "votes", "overlap", "bit_error")
+    return named.join(found, ["print_class", "id"], "left").select(*columns)

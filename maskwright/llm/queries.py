@@ -39,10 +39,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio: every embedding is played as a melody, and each recording is aligned with all recordings whose id is divisible by 50, equal ones as one class."""
+    """The tables hold no audio: every embedding is played as a melody.  Other takes (shifted, less loud, with noise, see audio_fingerprint.take) of the recordings whose id is divisible
+    by 50 are aligned with all recordings, equal ones as one class: each take should find the print_class of its own recording, 3 + id % 29 frames into it."""
     recordings = audio_fingerprint.recordings_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
-    prints = stash(audio_fingerprint.fingerprints(recordings), "melodies")
-    found = audio_fingerprint.align(prints, prints.where("id % 50 = 0"))
+    takes = audio_fingerprint.takes_of(recordings.where("id % 50 = 0"))
+    found = audio_fingerprint.align(audio_fingerprint.fingerprints(recordings), audio_fingerprint.fingerprints(takes), same_id=True)
     return found.withColumnRenamed("id", "vec_id")
 
 
@@ -72,7 +73,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.fit(toxicity.training_samples(docs.where(~is_held_out()), labels(spark, sf_dir).where(~is_held_out())))
+    model = toxicity.fit_calibrated(spark, toxicity.training_samples(docs.where(~is_held_out()), labels(spark, sf_dir).where(~is_held_out())))
     return toxicity.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
