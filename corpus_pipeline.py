@@ -6,7 +6,7 @@
 4. secrets: secrets in the remaining texts are replaced by [SECRET]; no document goes.
 5. packing: the remaining texts are packed into sequences of up to 2048 tokens.
 
-Stages 1 to 4 return the columns of documents; n_chars follows the text.
+Stages 1 to 4 return the columns of documents, whatever others come in; n_chars follows the text.  An empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import language_crf
-from maskwright.llm.common import is_held_out, shared_folder
+from maskwright.llm.common import KeyFilter, is_held_out, shared_folder, stash
 from maskwright.llm.line_dedup import drop_frequent_lines
 from maskwright.llm.minhash_dedup import near_duplicates
 from maskwright.llm.packing import pack
@@ -41,20 +41,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, without its shared lines; null and empty texts come back empty, rows that repeat an id count as one document."""
     return _with_length(drop_frequent_lines(docs.select(*COLUMNS), least=10))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are joined to the ids that stay; rows that repeat an id all stay or go together."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group stays.  Rows that repeat an id (or have none) stay together if one of them does, and go together else.
+
+    A bitmap filter over the ids that go leaves most texts where they are; only the others are joined to those ids."""
+    found = near_duplicates(docs, size=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stash(found.where("not kept").select(F.col("doc_id").alias("gone")), "gone")
+    marked = KeyFilter(gone, "gone").mark(docs.select(*COLUMNS), "hit", F.col("doc_id"))
+    rest = marked.where("hit").join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return marked.where("not hit").union(rest).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; null texts stay null, repeated rows get equal texts."""
     return _with_length(redact(docs.select(*COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document in one piece; null and empty texts are their end token alone, repeated rows and rows without an id are packed each."""
     packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limit=2048, payload=F.crc32("ids").alias("ids_crc32"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

@@ -9,7 +9,7 @@ import pytest
 
 from maskwright.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode
 from maskwright.llm.minhash_dedup import BANDS, ROWS, T, near_duplicates, shingle_set, sketch
-from maskwright.llm.common import WordHashes
+from maskwright.llm.common import KeyFilter, WordHashes, clear_stashes, parts_of, shared_folder
 
 SCHEMA = "n_chars long, doc_id long, text string, size int, digest string, component string"
 
@@ -127,3 +127,67 @@ def test_exact_duplicates_match_brute_force(spark):
 def test_exact_duplicates_with_repeated_and_missing_ids(spark):
     got = exact_duplicates(frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b")])).collect()
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
+
+
+def test_only_suspect_texts_are_shuffled(spark, tmp_path):
+    """Texts leave the task that reads them only behind the filter, once they are grouped."""
+    import maskwright.llm.exact_dedup as m
+
+    plans = []
+    stash = m.stash
+
+    def noted(df, tag):
+        if tag == "groups":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(df, tag)
+
+    frame(spark, [(n, f"text {n} " * 20) for n in range(300)] + [(900, "text 1 " * 20)]).write.parquet(f"{tmp_path}/d")
+    m.stash = noted
+    try:
+        got = exact_duplicates(spark.read.parquet(f"{tmp_path}/d")).where("group_size > 1").collect()
+    finally:
+        m.stash = stash
+    assert sorted(r.doc_id for r in got) == [1, 900] and len(plans) == 1
+    below = plans[0][plans[0].index("hashpartitioning(norm") :]
+    assert "BroadcastHashJoin" in below and below.count("hashpartitioning") == 1 and "SortMergeJoin" not in below
+
+
+def test_key_filters_lose_no_key(spark):
+    keys = spark.range(0, 3000, 3)
+    rows = spark.range(3000).withColumnRenamed("id", "slot").selectExpr("slot", "slot as word", "slot as bits")
+    some = KeyFilter(keys, "id")
+    kept = {r.slot for r in some.only(rows, rows.slot).collect()}
+    assert set(range(0, 3000, 3)) <= kept and len(kept) < 1300
+    marked = some.mark(rows, "hit", rows.slot)
+    assert marked.columns == ["slot", "word", "bits", "hit"] and {r.slot for r in marked.where("hit").collect()} == kept
+    tight = KeyFilter(keys, "id", most_bits=1024)
+    assert set(range(0, 3000, 3)) <= {r.slot for r in tight.only(rows, rows.slot).collect()}
+    full = KeyFilter(keys, "id", most_bits=512)
+    assert full.table is None and full.only(rows, rows.slot).count() == 3000
+    assert KeyFilter(keys.limit(0), "id").only(rows, rows.slot).count() == 0
+
+
+def test_parts_are_bounded():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "", "b" * 100, "c" * 5, "d" * 5], pa.string())
+    assert list(parts_of(texts, rows=3, size=20)) == [(0, 3), (3, 1), (4, 2)] and list(parts_of(texts.slice(6), 3, 20)) == []
+
+
+def test_tables_of_an_application_can_be_cleared(spark):
+    import glob
+
+    near_duplicates(frame(spark, near_rows()[:30]), 2).collect()
+    folder = f"{shared_folder(spark).removeprefix('file://')}/maskwright/{spark.sparkContext.applicationId}"
+    assert {x.rsplit("/", 1)[1].split("-")[0] for x in glob.glob(f"{folder}/*")} >= {"rows", "named"}
+    clear_stashes(spark)
+    assert glob.glob(f"{folder}/*") == []
+
+
+def test_near_duplicates_leave_only_what_the_result_reads(spark):
+    import glob
+
+    clear_stashes(spark)
+    near_duplicates(frame(spark, near_rows()[:60]), 2).collect()
+    folder = f"{shared_folder(spark).removeprefix('file://')}/maskwright/{spark.sparkContext.applicationId}"
+    assert {x.rsplit("/", 1)[1].split("-")[0] for x in glob.glob(f"{folder}/*")} == {"rows", "named"}

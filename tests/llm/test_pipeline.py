@@ -75,3 +75,25 @@ def test_run_is_the_stages_in_turn(spark, folder):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_long_repeated_and_extra(spark, tmp_path):
+    """Very long texts, rows that repeat an id or have none, and columns with clashing names, through all stages."""
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice(SYLLABLES[k]) for _ in range(rng.randint(1, 4)))
+    text = lambda n, k="aa": " ".join(word(k) for _ in range(n))
+    long, twice = text(60_000), text(40)
+    rows = [(n, text(30, "aa" if n % 2 else "bb"), "aa" if n % 2 else "bb") for n in range(40)]
+    rows += [(100, long, "aa"), (101, long, "aa"), (7, rows[7][1], "aa"), (8, text(30), "aa"), (None, text(30), None), (None, twice, "aa"), (200, twice, "aa")]
+    docs = spark.createDataFrame([(i, t, k, "s", len(t), 5, 6, 7, 8) for i, t, k in rows], f"{SCHEMA}, hit int, told int, d int, gone int")
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        out = run(spark, docs, None)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}").selectExpr("*", "1 as hit", "2 as told", "3 as d", "4 as gone")
+        ids = sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect())
+        both = {"near_dedup", "secrets"} & {name}
+        # 101 goes for 100; of the two rows without an id one stays by itself, so both do, and 200 leads the group of the other
+        assert ids == sorted([*range(40), 7, 8, 100, -1, -1, 200] + ([] if both else [101])), name
+    packed = corpus_pipeline.packing(spark, docs, None)
+    assert packed.where("doc_id = 100").agg({"length": "sum"}).first()[0] == packed.where("doc_id = 100").first().doc_tokens > 60_000

@@ -283,3 +283,121 @@ def test_the_right_offset_is_found_behind_many_with_as_many_votes():
     own[35:55] = 7
     found = audio.QueryIndex([5], [query]).align(own, 3, 0.2)
     assert [(x[0], x[1], x[2], x[3]) for x in found] == [(5, 0, 10, 100)] and found[0][4] == audio.bit_error(query, own, 0)[0]
+
+
+CLASHING = ["_d", "_p", "d", "p", "doc", "print", "_doc", "_print", "_bitmap", "keep_bitmap", "_n_dropped", "hit", "_hit", "told", "slot", "word", "bits", "id", "spans"]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_columns_of_any_name_pass_through(spark, broadcast_bytes):
+    rows = [(n, f"shared\nown {n} token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", *range(900 + n, 900 + n + len(CLASHING))) for n in range(14)] + [(50, "alone", *range(len(CLASHING)))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *CLASHING])
+    model = language_crf.fit([("aa", "alone shared"), ("bb", "thing own")])
+    out = drop_frequent_lines(docs, 10, broadcast_bytes=broadcast_bytes)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted(tuple(r)[2:-2] for r in out.collect()) == sorted(r[2:] for r in rows)
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == sorted((r[0], r[1].removeprefix("shared\n"), r[1].count("\n") + 1, r[1].count("\n")) for r in rows)
+    kept, clean = language_crf.keep_identified(docs, model, 0.1), redact(docs)
+    assert kept.columns == clean.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(rows) and sorted(tuple(r)[2:] for r in clean.collect()) == sorted(r[2:] for r in rows)
+    assert all("24be" not in r.text for r in clean.collect())
+    assert sorted(r.doc_id for r in scan(docs).collect()) == sorted(r[0] for r in rows)
+
+
+def test_repeated_rows_get_equal_results(spark):
+    text = "x password=hunter22 y " * 3 + "Zq8Rt3Kx7Lm2Vb9Nc4Wd6Hf1"
+    rows = spark.createDataFrame([(1, text), (1, text), (2, text), (1, "other words")], "doc_id long, text string")
+    assert len({str(r.spans) for r in scan(rows).collect() if r.spans}) == 1
+    model = language_crf.Crf(["aa", "bb"], np.zeros((1 << 16, 2), np.float32), np.zeros((2, 2)), frozenset())  # all ties, which go to the first name
+    assert {(r.lang_pred, round(r.score, 6)) for r in language_crf.identify(rows.where("text = 'other words'"), model).collect()} == {("aa", 0.5)}
+    samples = toxicity.training_samples(rows, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int"))
+    assert sorted(y for y, _ in samples) == [0, 1, 1]
+    assert toxicity.training_samples(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), most_features=3) == []
+    scores = [r.score for r in toxicity.score(spark.createDataFrame([(1, "w " * 400_000), (1, "w " * 400_000)], "doc_id long, text string"), toxicity.fit(samples)).collect()]
+    assert scores[0] == scores[1]
+
+
+def test_a_run_of_few_documents_is_not_held_back():
+    import pyarrow as pa
+
+    from maskwright.llm import line_dedup
+
+    def batch(keys):
+        h, doc = zip(*keys, strict=True)
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(doc, pa.int64()), pa.array(range(n), pa.int64()), pa.array([b"\0" * 4] * n)], names=["h1", "h2", "doc", "print", "lines"])
+
+    own = [(5, 7)] * 300_000
+    parts = [batch([(1, 1), (1, 2)]), batch(own), *[batch([(5, 7 + d)]) for d in range(1, 3)], batch([(6, 1), (9, 2)])]
+    sure = unsure = 0
+    totals = {}
+    for out in line_dedup._stream(3)(iter(parts)):
+        for h, s, c in zip(out.column(0).to_pylist(), out.column(5).to_pylist(), out.column(6).to_pylist(), strict=True):
+            sure, unsure = sure + (h == 5 and bool(s)), unsure + (h == 5 and s is None and c is None)
+            if c is not None:
+                totals[h] = c
+    assert unsure == 300_000 and sure == 2 and totals[5] == 3 and set(totals) == {1, 5, 9}
+
+
+def test_ftrl_is_the_plain_per_coordinate_rule():
+    rng = np.random.default_rng(4)
+    samples = [(int(rng.random() < 0.4), np.unique(rng.integers(0, 40, rng.integers(1, 12)).astype(np.uint32))) for _ in range(60)]
+    alpha, beta, l1, l2, seed = 0.7, 1.0, 0.4, 0.3, 9
+    z, n, bias = defaultdict(float), defaultdict(float), "bias"
+
+    def weight(i):
+        pull = 0.0 if i == bias else l1
+        if abs(z[i]) <= pull:
+            return 0.0
+        return -(z[i] - (pull if z[i] > 0 else -pull)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(3):
+        for at in order.permutation(len(samples)):
+            label, x = samples[at]
+            x = [*x.tolist(), bias]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in x:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    model = toxicity.fit(samples, epochs=3, least=1, alpha=alpha, beta=beta, l1=l1, l2=l2, seed=seed)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want) and model.bias == pytest.approx(weight(bias)) and 0 < len(want) < 40
+
+
+def test_the_threshold_with_the_best_f1():
+    rng = np.random.default_rng(2)
+    truth = rng.random(400) < 0.3
+    scores = np.round(rng.normal(size=400) + 1.5 * truth, 1)  # with ties
+
+    def f1(t):
+        hit = ((scores > t) & truth).sum()
+        return 2 * hit / ((scores > t).sum() + truth.sum())
+
+    t = toxicity.best_threshold(scores, truth)
+    assert f1(t) == max(f1(x - 0.05) for x in np.unique(scores)) and toxicity.best_threshold(scores[:10], truth[:10]) == 0.0
+
+
+def test_takes_are_found_through_the_index_as_by_brute_force(spark):
+    rng = np.random.default_rng(21)
+    songs = [audio.melody(rng.normal(size=64)) for _ in range(240)]
+    songs += [(songs[n] + rng.normal(0, 300, len(songs[n]))).clip(-32768, 32767).astype("<i2") for n in range(20)]  # near copies
+    songs += [audio.melody(np.tile(rng.normal(size=64), 40))]  # a long recording
+    docs = spark.createDataFrame([(n, x.tobytes(), "x", 1) for n, x in enumerate(songs)], "id long, pcm binary, class string, lo int")
+    heard = audio.fingerprints(audio.takes_of(docs.where("id % 4 = 0")))
+    prints = audio.fingerprints(docs)
+    want = set()
+    own = [audio.fingerprint(x) for x in songs]
+    for q in range(0, len(songs), 4):
+        p = audio.fingerprint(audio.take(songs[q], q))
+        for n, x in enumerate(own):
+            least = min(len(p), len(x)) // 2
+            if any(e <= 0.2 and m >= least for e, m in (audio.bit_error(p, x, o) for o in range(-(len(p) - least), len(x) - least + 1))):
+                want.add((n, q))
+    got = {(r.id, r.query_id): r.offset_frames for r in audio.align(prints, heard, same_id=True).collect() if r.query_id is not None}
+    assert len(want) > 60 and len(want & set(got)) >= 0.98 * len(want) and not set(got) - want
+    assert all(got[q, q] == 3 + q % 29 for q in range(0, 260, 4))  # any round of the loop is as good
+    blocks = {(r.id, r.query_id): r.offset_frames for r in audio.align(prints, heard, same_id=True, frequent=0).collect() if r.query_id is not None}
+    assert blocks == got
