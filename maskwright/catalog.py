@@ -15,7 +15,7 @@ from .functions.fake import draws, fake, fake_currency, fnv_seed
 from .operators.header_row import SHEET, detect_header_row, to_table
 from .operators.profile import profile
 from .operators.pseudonym import alias_table, consistent_fake, digest
-from .operators.redact import change_counts, preview, redact
+from .operators.redact import SheetResult, audit_report, audit_summary, change_counts, preview, redact, write_redacted
 from .plans.lexicon import HEADER_LEXICON, column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
 from .session import shared_folder
@@ -147,7 +147,6 @@ cellwise("valid_date", "orders", "o_orderkey", f"CASE WHEN o_orderkey % 5 = 0 TH
 cellwise("valid_currency", "customer", "c_custkey", "CASE WHEN c_custkey % 4 = 0 THEN concat('Rp ', c_custkey, '.000') WHEN c_custkey % 4 = 1 THEN concat('$', c_custkey, ',5') WHEN c_custkey % 4 = 2 THEN c_name ELSE concat(c_custkey, ' usd') END", lambda v: validators.is_currency(v, v, S), q.is_currency_text("v"))
 cellwise("valid_name", "customer", "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN 'Budi Santoso' WHEN c_custkey % 3 = 1 THEN c_name ELSE concat('Ágnes ', substr('abcdefgh', 1, CAST(c_custkey % 8 AS INT)), ' Ödön') END", validators.looks_like_name, q.looks_like_name("v"))
 cellwise("valid_address", "supplier", "s_suppkey", f"CASE WHEN s_suppkey % 3 = 0 THEN concat('Jakartast ', s_suppkey) ELSE {ADDRESSES} END", validators.looks_like_address, q.looks_like_address("v"))
-_TOKENS = r"regexp_extract_all(text, '[0-9]{16}', 0)"
 add(
     "luhn_count",
     lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.expr(r"regexp_extract_all(text, '[0-9]{16}', 0)")).alias("t")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(validators.is_card(F.col("t"))).alias("cards")),
@@ -186,6 +185,25 @@ b AS (SELECT idx, header, CAST(max(score) AS DOUBLE) AS score, arg_min(kind, (-s
 SELECT CAST(idx AS INTEGER) AS idx, chr(65 + idx) AS label, header, CASE WHEN score > 0 THEN kind ELSE 'unknown' END AS semantic, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM b
 """,
 )
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def _table_headers(s: SparkSession, d: str) -> DataFrame:
+    """The header scores of all columns of all tables."""
+    rows = [(t, c, *score_header(c), confidence_band(score_header(c)[1])) for t in TABLES for c in table(s, d, t).columns]
+    return s.createDataFrame(rows, "source string, header string, semantic string, score double, band string")
+
+
+add(
+    "header_scores_tables", _table_headers,
+    rf"""
+WITH lex(o, kind, word) AS (VALUES {_LEXICON}), h AS (SELECT table_name AS source, column_name AS header FROM information_schema.columns WHERE table_name IN ({", ".join(map(q.quoted, TABLES))})),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(header), '[_\-.]+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM h),
+s AS (SELECT source, header, kind, o, CASE WHEN name = '' THEN 0.0 WHEN name = word THEN 1.0 WHEN regexp_matches(name, '\b' || word || '\b') THEN 0.85 WHEN length(word) >= 4 AND contains(name, word) THEN 0.6 ELSE 0.0 END AS score FROM n, lex),
+b AS (SELECT source, header, CAST(max(score) AS DOUBLE) AS score, arg_min(kind, (-score, o)) AS kind FROM s GROUP BY source, header)
+SELECT source, header, CASE WHEN score > 0 THEN kind ELSE 'unknown' END AS semantic, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM b
+""",
+)
 _PROFILED = {
     "customer": ("c_custkey", {"c_name": "s", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "s"}),
     "orders": ("o_orderkey", {"o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderdate": "d", "o_orderpriority": "s"}),
@@ -229,6 +247,29 @@ add("audit_counts", _audit, _AUDIT)
 add("audit_rollup", lambda s, d: _audit(s, d).rollup("mode", "header").agg(F.sum("cells_changed").cast("bigint").alias("cells_changed")), f"SELECT mode, header, CAST(sum(cells_changed) AS BIGINT) AS cells_changed FROM ({_AUDIT}) GROUP BY ROLLUP (mode, header)")
 
 
+def _audit_rows(s: SparkSession, d: str) -> DataFrame:
+    """The audit of a redacted table that is written by the executors, as rows: one for each column, with its sheet's action, rows and the report's total."""
+    t = table(s, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).alias("s_acctbal"))
+    plan = _plan(s_name=("hash", "name", {}), s_acctbal=("partial", "currency", {}))(t)
+    done = write_redacted(t, plan, f"{shared_folder(s)}/maskwright/redacted-{uuid.uuid4().hex}", "supplier", "parquet", SALT)
+    report = audit_report("supplier.parquet", "", "", "whole-workbook", "parquet", [done, SheetResult("region", "passed-through", table(s, d, "region").count(), []), SheetResult("nation", "dropped", 25, [])])
+    brief = audit_summary(report)
+    rows = [(x["name"], x["action"], x["rowCount"], c["header"], c["cellsChanged"], brief["cells_changed"], ",".join(brief["untouched"])) for x in report["sheets"] for c in x["columns"] or [{"header": "", "cellsChanged": 0}]]
+    return s.createDataFrame(rows, "sheet string, action string, row_count long, header string, cells_changed long, total long, untouched string")
+
+
+_AUDITED = "(SELECT count(*) AS n, count(*) FILTER (s_suppkey % 3 > 0) AS filled FROM supplier)"
+add(
+    "audit_report", _audit_rows,
+    f"""
+SELECT 'supplier' AS sheet, 'redacted' AS action, n AS row_count, 's_name' AS header, n AS cells_changed, n + filled AS total, 'region' AS untouched FROM {_AUDITED}
+UNION ALL SELECT 'supplier', 'redacted', n, 's_acctbal', filled, n + filled, 'region' FROM {_AUDITED}
+UNION ALL SELECT 'region', 'passed-through', (SELECT count(*) FROM region), '', 0, n + filled, 'region' FROM {_AUDITED}
+UNION ALL SELECT 'nation', 'dropped', 0, '', 0, n + filled, 'region' FROM {_AUDITED}
+""",
+)
+
+
 def _audit_texts(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "supplier").select("s_suppkey", F.expr(f"CASE WHEN s_suppkey % 2 = 0 THEN 'Jalan Merdeka' WHEN s_suppkey % 5 = 0 THEN NULL ELSE {ADDRESSES} END").alias("address"), F.lit("").alias("note"))
     return change_counts(t, _plan(address=("partial", "address", {}), note=("blank", "text", {"blank_with": "x"}))(t), SALT)

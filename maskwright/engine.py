@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import replace
 from pathlib import Path
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from .operators.header_row import cell_text, detect_header_row, headers_of
 from .operators.profile import profile
 from .operators.pseudonym import random_salt
-from .operators.redact import SheetResult, audit_report, change_counts, preview, redact
+from .operators.redact import SheetResult, audit_report, preview, write_redacted
 from .operators.redact import file_hash as hash_bytes
 from .plans.plan import RedactionPlan, SheetJob
+from .session import shared_folder
 from .sources.xlsx import accepts, build_workbook, csv_bytes, output_names, read_xlsx, sheet_rows, summarise
 
 HEADER_ROWS_READ = 12
@@ -83,7 +85,7 @@ class WorkbookSession:
     def export(self, jobs: list[SheetJob], out_dir: str, scope: str = "selected-only", fmt: str = "xlsx") -> dict:
         """Writes the redacted file and its audit into out_dir and returns the audit.
 
-        Sheets keep their order.  With scope whole-workbook the other sheets are copied as they are; CSV holds the first job's sheet alone, and the audit says so."""
+        A workbook is one zip of at most 1,048,576 rows a sheet, so its rows come through the driver one at a time; larger tables are written by redact.write_redacted.  Sheets keep their order.  With scope whole-workbook the other sheets are copied as they are; CSV holds the first job's sheet alone, and the audit says so."""
         by_sheet = {j.sheet: j for j in jobs}
         order = [s["name"] for s in self.sheets()]
         written: list[tuple[str, object]] = []
@@ -94,10 +96,10 @@ class WorkbookSession:
                 results.append(SheetResult(name, "dropped", 0, []))
             elif job:
                 table, plan = self.table(name, job.header_row), self._shifted(job.plans)
-                counts = [r.asDict() for r in change_counts(table, plan, self.salt, "row_idx").collect()] if plan.active else []
-                columns = [{"header": c["header"], "mode": c["mode"], "semantic": c["semantic"], "cellsChanged": c["cells_changed"]} for c in counts]
-                out = redact(table, plan, self.salt, "row_idx").orderBy("row_idx").drop("row_idx")
-                results.append(SheetResult(name, "redacted", table.count(), columns))
+                kept = f"{shared_folder(self.spark)}/maskwright/export-{uuid.uuid4().hex}"
+                results.append(write_redacted(table, plan, kept, name, "parquet", self.salt, "row_idx"))  # one pass: rows, counts and the cells
+                results[-1].action = "redacted"
+                out = self.spark.read.parquet(kept).orderBy("row_idx").drop("row_idx")
                 written.append((name, self._with_header(self._raw_header(name, job.header_row), out)))
             elif scope == "whole-workbook":
                 table = self.table(name, -1).orderBy("row_idx").drop("row_idx")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.session import free_name, stash
+
 from ..functions.cells import display_of, is_empty, is_number, text_of
 from ..functions.masks import apply_partial
 from ..plans.plan import PREVIEW_ROWS, ColumnPlan, RedactionPlan
@@ -45,23 +47,33 @@ def redact(df: DataFrame, plan: RedactionPlan, salt: str | None = None, order_co
     """df with the plan's columns redacted and the others as they are.
 
     plan[i].index is the column's position in df.  One salt serves the whole run, so equal values get equal hashes in all columns;
-    order_col gives the row order that sequential aliases need.  counts, if given, observes the changed cells by column position (`c0`, `c1`, ...) while
-    the result is being written."""
-    salt = salt or random_salt()
+    order_col gives the row order that sequential aliases need.  counts, if given, observes the changed cells by column position
+    (`c0`, `c1`, ...) while the result is being written.  Columns may have any names."""
+    after, joined = _redacted(df, plan, salt or random_salt(), order_col)
+    names, types = df.columns, [f.dataType for f in df.schema.fields]
+    if counts is not None and after:
+        joined = joined.observe(counts, *[F.count_if(changed(F.col(f"`{names[i]}`"), F.col(r), types[i])).alias(f"c{i}") for i, r in after.items()])
+    return joined.select(*[(F.col(after[i]) if i in after else F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)])
+
+
+def _redacted(df: DataFrame, plan: RedactionPlan, salt: str, order_col: str | None) -> tuple[dict[int, str], DataFrame]:
+    """Column positions -> names of their redacted columns, which stand beside the ones of df under names that are free there."""
     names, types = df.columns, [f.dataType for f in df.schema.fields]
     active = {p.index: p for p in plan if p.mode}
-    out = df.select("*", *[redact_column(df[names[i]], types[i], p, salt).alias(f"_r{i}") for i, p in active.items() if not _is_alias(p)])
+    after: dict[int, str] = {}
+    for i in active:
+        after[i] = free_name([*names, *after.values()], f"r{i}")
+    out = df.select("*", *[redact_column(df[f"`{names[i]}`"], types[i], p, salt).alias(after[i]) for i, p in active.items() if not _is_alias(p)])
     for i, p in active.items():
         if _is_alias(p):
             if order_col is None:
                 raise ValueError("sequential aliases go by first appearance: name the column that orders the rows")
-            key = text_of(F.col(f"`{names[i]}`"), types[i])
-            aliases = alias_table(df, text_of(df[names[i]], types[i]), order_col, p.options.alias_prefix or "ID").select(F.col("key").alias(f"_k{i}"), F.col("alias").alias(f"_r{i}"))
-            out = out.join(aliases, key == F.col(f"_k{i}"), "left").drop(f"_k{i}")
-            out = out.withColumn(f"_r{i}", F.when(is_empty(F.col(f"`{names[i]}`"), types[i]), F.col(f"`{names[i]}`").cast("string")).otherwise(F.coalesce(f"_r{i}", F.lit(""))))
-    if counts is not None and active:
-        out = out.observe(counts, *[F.count_if(changed(F.col(f"`{names[i]}`"), F.col(f"_r{i}"), types[i])).alias(f"c{i}") for i in active])
-    return out.select(*[(F.col(f"_r{i}") if i in active else F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)])
+            of = free_name([*out.columns, *after.values()], "key")
+            here, key = F.col(f"`{names[i]}`"), text_of(F.col(f"`{names[i]}`"), types[i])
+            aliases = alias_table(df, key, order_col, p.options.alias_prefix or "ID").select(F.col("key").alias(of), F.col("alias").alias(after[i]))
+            out = out.join(aliases, key == F.col(of), "left").drop(of)
+            out = out.withColumn(after[i], F.when(is_empty(here, types[i]), here.cast("string")).otherwise(F.coalesce(after[i], F.lit(""))))
+    return after, out
 
 
 def _is_alias(p: ColumnPlan) -> bool:
@@ -79,17 +91,15 @@ def change_counts(df: DataFrame, plan: RedactionPlan, salt: str, order_col: str
 
 
 def preview(df: DataFrame, plan: RedactionPlan, order_col: str, rows: int = PREVIEW_ROWS, salt: str | None = None) -> DataFrame:
-    """(row, before, after): display texts of the first rows; aliases are those of the slice alone."""
-    part = df.orderBy(order_col).limit(rows)
-    after = redact(part, plan, salt, order_col)
-    types = dict(zip(df.columns, [f.dataType for f in df.schema.fields], strict=True))
-    kinds = dict(zip(after.columns, [f.dataType for f in after.schema.fields], strict=True))
-    shown = lambda d, kind: F.array(*[display_of(d[c], kind[c]) for c in df.columns])
-    left = part.select(F.col(order_col).alias("row"), shown(part, types).alias("before"))
-    # the order column is matched as it was before redaction
-    keyed = redact(part.withColumn("_order", F.col(order_col)), plan, salt, "_order")
-    right = keyed.select(F.col("_order").alias("row"), shown(keyed, kinds).alias("after"))
-    return left.join(right, "row").orderBy("row")
+    """(row, before, after): display texts of the first rows, one row for each, rows of one place too; aliases are those of the slice alone.
+
+    The slice is written down once, so that ties at its end fall the same way for aliases and rows; before and after come from one projection."""
+    part = stash(df.orderBy(order_col).limit(rows), "preview")
+    after, both = _redacted(part, plan, salt or random_salt(), order_col)
+    types = {n: f.dataType for n, f in zip(part.columns, part.schema.fields, strict=True)}
+    before = [display_of(F.col(f"`{n}`"), types[n]) for n in part.columns]
+    shown = [display_of(F.col(after[i]), T.StringType()) if i in after else before[i] for i in range(len(before))]
+    return both.select(F.col(f"`{order_col}`").alias("row"), F.array(*before).alias("before"), F.array(*shown).alias("after")).orderBy("row")
 
 
 @dataclass
@@ -100,6 +110,17 @@ class SheetResult:
     columns: list[dict]
 
 
+def write_redacted(df: DataFrame, plan: RedactionPlan, path: str, name: str, fmt: str = "parquet", salt: str | None = None, order_col: str | None = None) -> SheetResult:
+    """Writes df, redacted, as Parquet or CSV (with a header) into the folder `path`, by the executors, and counts its rows and changed cells in the same pass."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError("tables are written as parquet or csv")
+    seen, rows = Observation(), Observation()
+    out = (redact(df, plan, salt, order_col, seen) if plan.active else df).observe(rows, F.count("*").alias("n"))
+    out.write.mode("errorifexists").options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
+    columns = [{"header": p.header, "mode": p.mode, "semantic": p.semantic, "cellsChanged": seen.get[f"c{p.index}"]} for p in plan.active]
+    return SheetResult(name, "redacted" if plan.active else "passed-through", rows.get["n"], columns)
+
+
 def audit_report(file_name: str, source_hash: str, output_hash: str, scope: str, fmt: str, sheets: list[SheetResult]) -> dict:
     """What was done to which sheet and column; only sheets that were written count as redacted or passed through."""
     done = [{"name": s.name, "action": s.action, "rowCount": 0 if s.action == "dropped" else s.row_count, "columns": s.columns} for s in sheets]

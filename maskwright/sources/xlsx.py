@@ -91,7 +91,7 @@ def _cell(c: ET.Element, shared: list[str], dates: set[int], from_1904: bool) ->
     return NO_CELL | {"t": "n", "n": float(value)}
 
 
-def read_workbook(data: bytes, only: str | None = None) -> Iterator[tuple[str, int, int, list[dict]]]:
+def read_workbook(data: bytes, only: str | None = None, limit: int = 0) -> Iterator[tuple[str, int, int, list[dict]]]:
     """(sheet, sheet_idx, row_idx, cells) of all rows from a sheet's first used one to its last, blank ones between them too; rows are as wide as the sheet."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
@@ -116,7 +116,7 @@ def read_workbook(data: bytes, only: str | None = None) -> Iterator[tuple[str, i
             left = min(min(v) for v in used.values())
             right = max(max(v) for v in used.values())
             top = min(used)
-            for at in range(top, max(used) + 1):
+            for at in range(top, min(max(used), top + limit - 1 if limit else max(used)) + 1):
                 own = rows.get(at, {})
                 yield name, n, at - top, [own.get(c, NO_CELL) for c in range(left, right + 1)]
 
@@ -143,9 +143,8 @@ class XlsxReader(DataSourceReader):
     def read(self, partition: _File):
         with open(partition.path, "rb") as f:
             data = f.read()
-        for sheet, n, at, cells in read_workbook(data, self.sheet):
-            if not self.limit or at < self.limit:
-                yield sheet, n, at, [tuple(c.values()) for c in cells]
+        for sheet, n, at, cells in read_workbook(data, self.sheet, self.limit):
+            yield sheet, n, at, [tuple(c.values()) for c in cells]
 
 
 class XlsxSource(DataSource):
@@ -227,6 +226,8 @@ def _xml_cell(value, at: str) -> str:
     return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{_escape(str(value))}</t></is></c>'
 
 
+#: The format's own limits.
+MOST_ROWS, MOST_CHARS = 1_048_576, 32_767
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 
 
@@ -248,6 +249,8 @@ def build_workbook(sheets: list[tuple[str, Iterator[list]]]) -> bytes:
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
                 f.write(f'{_HEAD}<worksheet xmlns="{main}"><sheetData>'.encode())
                 for r, row in enumerate(rows, 1):
+                    if r > MOST_ROWS or any(isinstance(v, str) and len(v) > MOST_CHARS for v in row):
+                        raise ValueError(f"a sheet holds {MOST_ROWS} rows and a cell {MOST_CHARS} characters at most; write such tables with write_redacted")
                     f.write(f'<row r="{r}">{"".join(_xml_cell(v, f"{_label(c)}{r}") for c, v in enumerate(row))}</row>'.encode())
                 f.write(b"</sheetData></worksheet>")
     return out.getvalue()

@@ -12,7 +12,7 @@ from maskwright.engine import WorkbookSession
 from maskwright.operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
 from maskwright.operators.profile import profile
 from maskwright.operators.pseudonym import alias_table, digest, random_salt
-from maskwright.operators.redact import audit_summary, change_counts, preview, redact
+from maskwright.operators.redact import audit_summary, change_counts, preview, redact, write_redacted
 from maskwright.plans.lexicon import column_label, normalise_header, score_header
 from maskwright.plans.plan import ColumnPlan, RedactionPlan, RedactOptions, SheetJob, build_jobs, confidence_band, default_sheets, is_low_cardinality
 from maskwright.sources.xlsx import accepts, build_workbook, csv_bytes, file_hashes, output_names, read_workbook, register, safe_sheet_names, serial_date
@@ -190,7 +190,7 @@ def test_workbook_round_trip(spark, tmp_path):
 
 def test_sheet_and_file_names():
     assert safe_sheet_names(["a/b", "a:b", "", "x" * 40, "x" * 33]) == ["a_b", "a_b~2", "Sheet1", "x" * 31, "x" * 29 + "~2"]
-    assert output_names("/tmp/hr.data.xlsx", "csv") == ("hr.data-redacted.csv", "hr.data-redacted-audit.json")
+    assert output_names("/tmp/staff.2024.xlsx", "csv") == ("staff.2024-redacted.csv", "staff.2024-redacted-audit.json")
     assert accepts("A.XLSX") and accepts("b.xlsm") and not accepts("c.xls")
     assert serial_date(44000).date().isoformat() == "2020-06-18" and serial_date(1).date().isoformat() == "1900-01-01"
     assert csv_bytes(iter([["é", 1.0, None, True]])) == b"\xef\xbb\xbf" + "é,1,,TRUE\n".encode()
@@ -235,3 +235,28 @@ def test_streams(spark, tmp_path):
     assert sorted(r.c1 for r in spark.table("counts").collect()) == [10, 10, 10]
     with pytest.raises(ValueError):
         redact_stream(stream, plan_of(rows, v=("hash", "unknown", {"hash_style": "sequential"})), "s")
+
+
+def test_columns_of_any_name_and_ties_in_previews(spark):
+    rows = [(1, "Ann", "x", "k", 5), (1, "Bob", "y", "l", 6), (1, "Cid", "z", "m", 7), (2, "Ann", "w", "n", 8)]
+    df = spark.createDataFrame(rows, "_r0 long, r1 string, _k1 string, key string, alias int")
+    plan = RedactionPlan([ColumnPlan(0, "_r0", "text", "hash", RedactOptions()), ColumnPlan(1, "r1", "name", "hash", RedactOptions(hash_style="sequential")), ColumnPlan(3, "key", "text", "blank", RedactOptions())])
+    out = redact(df, plan, "s", "_r0")
+    assert out.columns == df.columns and sorted((r["r1"], r["_k1"], r["key"], r["alias"]) for r in out.collect()) == [("ID_0001", "w", "", 8), ("ID_0001", "x", "", 5), ("ID_0002", "y", "", 6), ("ID_0003", "z", "", 7)]
+    seen = preview(df, plan, "_r0", 3, "s").collect()
+    assert sorted((r.before[1], r.before[2], r.after[1], r.after[3]) for r in seen) == [("Ann", "x", "ID_0001", ""), ("Bob", "y", "ID_0002", ""), ("Cid", "z", "ID_0003", "")]
+
+
+def test_tables_are_written_and_counted_in_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(n, None if n % 3 else f"name {n}", "z") for n in range(30)], "id long, name string, other string")
+    plan = RedactionPlan([ColumnPlan(1, "name", "name", "hash", RedactOptions()), ColumnPlan(2, "other", "text", "blank", RedactOptions(blank_with="z"))])
+    for fmt in ("parquet", "csv"):
+        got = write_redacted(df, plan, f"{tmp_path}/{fmt}", "people", fmt, "s")
+        assert (got.action, got.row_count, [c["cellsChanged"] for c in got.columns]) == ("redacted", 30, [10, 0])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/parquet").collect())) == sorted(map(tuple, redact(df, plan, "s").collect()))
+    assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == df.columns
+    assert write_redacted(df, RedactionPlan(), f"{tmp_path}/plain", "people").action == "passed-through"
+    with pytest.raises(ValueError):
+        write_redacted(df, plan, f"{tmp_path}/x", "people", "xlsx")
+    with pytest.raises(ValueError):
+        build_workbook([("a", iter([["x" * 40_000]]))])
