@@ -164,6 +164,16 @@ _EMB = ", ".join(f"count(*) FILTER ({q.embedded(k, 'text')}) AS n_{k}" for k in
 add("embedded_pii_counts", lambda s, d: _embedded(s, d, "documents"), f"SELECT count(*) AS n, {_EMB} FROM documents")
 add("embedded_conversations", lambda s, d: _embedded(s, d, "conversations", "role"), f"SELECT role, count(*) AS n, {_EMB} FROM conversations GROUP BY role")
 add("embedded_by_lang", lambda s, d: _embedded(s, d, "documents", "lang"), f"SELECT lang, count(*) AS n, {_EMB} FROM documents GROUP BY lang")
+add(
+    "embedded_strict_names",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.array_contains(validators.find_embedded(F.col("text"), strict_names=True), "name").alias("strict"), F.array_contains(validators.find_embedded(F.col("text")), "name").alias("loose")).where("strict or loose"),
+    f"SELECT * FROM (SELECT doc_id, {q.embedded('strict', 'text')} AS strict, {q.embedded('name', 'text')} AS loose FROM documents) WHERE strict OR loose",
+)
+add(
+    "fake_card_invalid_luhn",
+    lambda s, d: redact(t := table(s, d, "customer").select("c_custkey", F.col("c_name").alias("out")), _plan(out=("fake", "card", {"force_invalid_luhn": True}))(t), SALT),
+    f"SELECT c_custkey, CASE WHEN {q.luhn('out')} THEN left(out, 15) || CAST((CAST(right(out, 1) AS INTEGER) + 1) % 10 AS VARCHAR) ELSE out END AS out FROM ({_fake_sql('customer', 'c_custkey', 'card', 'id', 'c_name')})",
+)
 
 # --- headers, profiles, plans
 HEADERS = ["Nama Lengkap", "email_address", "No. HP (Aktif)", "NIK", "tgl_lahir", "Tanggal Lahir", "dinamakan", "Gaji", "c_name", "order ref", "Customer", "kode pos", "", "no_ktp", "e-mail", "pan", "expand", "ADDRESS", "npwp pribadi", "contact"]

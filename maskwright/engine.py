@@ -15,7 +15,7 @@ from .operators.profile import profile
 from .operators.pseudonym import random_salt
 from .operators.redact import SheetResult, audit_report, preview, write_redacted
 from .operators.redact import file_hash as hash_bytes
-from .plans.plan import RedactionPlan, SheetJob
+from .plans.plan import RedactionPlan, SheetJob, opening_step
 from .session import shared_folder
 from .sources.xlsx import accepts, build_workbook, csv_bytes, output_names, read_xlsx, sheet_rows, summarise
 
@@ -46,6 +46,11 @@ class WorkbookSession:
         """The guessed header row, the first row if there is no guess."""
         return self.header_guess(sheet)["header_index"] or 0
 
+    def opening_step(self, auto: bool = True) -> tuple[str, str]:
+        """The step and the sheet to begin with, see plans.plan.opening_step."""
+        summary = self.sheets()
+        return opening_step(summary, {s["name"]: self.header_guess(s["name"])["header_index"] for s in summary} if auto and len(summary) == 1 else {}, auto)
+
     def headers(self, sheet: str, header_row: int) -> list[str]:
         return headers_of(sheet_rows(self.rows, sheet), header_row)
 

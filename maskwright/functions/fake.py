@@ -111,6 +111,12 @@ _KINDS: dict[str, tuple[int, Callable[[_Draws, str], Column]]] = {
 }
 
 
+def break_luhn(card: Column) -> Column:
+    """The card number if its checksum is wrong, else with its last digit raised by one (9 becomes 0), which makes it wrong."""
+    end = lambda c: ((F.right(c, F.lit(1)).cast("int") + 1) % 10).cast("string")
+    return let(card, lambda c: F.when(F.call_function("luhn_check", c), F.concat(F.substring(c, F.lit(1), F.length(c) - 1), end(c))).otherwise(c))
+
+
 def fake(semantic: str, locale: str, seed: Column) -> Column:
     """A synthetic text of a type; text and unknown get a name.  seed is a bigint from 0 to 2^32 - 1."""
     if semantic == "currency":

@@ -126,11 +126,15 @@ EMBEDDED: list[tuple[str, str]] = [
     ("name", rf"(?i){_B}(?:{NAME_LEADS})(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))[:{SPACES}]+[A-Z][a-z]+{WS}+[A-Z][a-z]+"),
 ]
 
+#: A name after a leading word in any case, with two capitalised words.
+STRICT_NAME = dict(EMBEDDED)["name"].replace("(?i)", "").replace(f"(?:{NAME_LEADS})", f"(?i:{NAME_LEADS})")
 
-def find_embedded(text: Column) -> Column:
-    """The kinds of personal data inside a text of 12 or more units, as an array; empty for null."""
+
+def find_embedded(text: Column, strict_names: bool = False) -> Column:
+    """The kinds of personal data inside a text of 12 or more units, as an array; empty for null.  With strict_names both words of a name must be capitalised."""
     # an address needs an @, and looking for one is much cheaper than the pattern
-    hits = {kind: text.contains("@") & text.rlike(pattern) if kind == "email" else text.rlike(pattern) for kind, pattern in EMBEDDED}
+    patterns = {**dict(EMBEDDED), **({"name": STRICT_NAME} if strict_names else {})}
+    hits = {kind: text.contains("@") & text.rlike(pattern) if kind == "email" else text.rlike(pattern) for kind, pattern in patterns.items()}
     found = F.array_compact(F.array(*[F.when(hit, F.lit(kind)) for kind, hit in hits.items()]))
     return F.when(text.isNull() | (units(text) < 12), F.array().cast("array<string>")).otherwise(found)
 

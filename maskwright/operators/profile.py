@@ -34,12 +34,12 @@ def cells(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
     return tall.where(F.col("text").isNotNull() & (trim(F.col("text")) != ""))
 
 
-def votes(sample: DataFrame) -> DataFrame:
+def votes(sample: DataFrame, strict_names: bool = False) -> DataFrame:
     """Hits of every value test, embedded kinds and long texts of the sampled cells, by column."""
     text = F.col("text")
     by_kind = {kind: value_tests(F.col("num") if kind == "n" else text, text, {"n": T.DoubleType(), "d": T.TimestampNTZType(), "s": T.StringType()}[kind]) for kind in "nds"}
     hit = {t: F.when(F.col("kind") == "n", by_kind["n"][t]).when(F.col("kind") == "d", by_kind["d"][t]).otherwise(by_kind["s"][t]) for t in _TYPES}
-    marked = sample.select("idx", "rn", "text", "day", *[hit[t].alias(f"is_{t}") for t in _TYPES], find_embedded(text).alias("found"), (units(text) > 40).alias("long"))
+    marked = sample.select("idx", "rn", "text", "day", *[hit[t].alias(f"is_{t}") for t in _TYPES], find_embedded(text, strict_names).alias("found"), (units(text) > 40).alias("long"))
     shown = F.coalesce(F.col("day"), F.col("text"))
     short = F.when(units(shown) > 18, F.concat(F.substring(shown, 1, 15), F.lit("…"))).otherwise(shown)
     kinds = ("email", "phone", "nik", "name")
@@ -58,11 +58,11 @@ def _percent(ratio):
     return F.floor(ratio * 100 + 0.5).cast("int").cast("string")
 
 
-def profile(df: DataFrame, order_col: str, columns: list[str] | None = None, headers: list[str] | None = None, approximate: bool = False) -> DataFrame:
+def profile(df: DataFrame, order_col: str, columns: list[str] | None = None, headers: list[str] | None = None, approximate: bool = False, strict_names: bool = False) -> DataFrame:
     """One row per column: index, header, semantic, score, reason, distinct_count, filled_count, samples, suggested_mode, low_cardinality.
 
     order_col orders the rows (the sample is the first 200 filled cells); it is not profiled unless columns names it.  headers are the texts to judge, by default the
-    columns' names.  Distinct counts are exact unless approximate is set.  A column without filled cells has counts of 0 and no samples; a table without rows gives its columns all the same."""
+    columns' names.  Distinct counts are exact unless approximate is set; strict_names asks for capitals in names inside texts.  A column without filled cells has counts of 0 and no samples; a table without rows gives its columns all the same."""
     spark = df.sparkSession
     columns = columns or [c for c in df.columns if c != order_col]
     headers = headers or columns
@@ -73,7 +73,7 @@ def profile(df: DataFrame, order_col: str, columns: list[str] | None = None, hea
     sample = tall.withColumn("rn", F.row_number().over(Window.partitionBy("idx").orderBy("row", "text"))).where(F.col("rn") <= SAMPLE_SIZE)
     scored = [(i, h, *score_header(h)) for i, h in enumerate(headers)]
     heads = spark.createDataFrame(scored, "idx int, header string, h_type string, h_score double")
-    joined = heads.join(counts, "idx", "left").join(votes(sample), "idx", "left").fillna(0, ["filled", "distinct", "sampled"])
+    joined = heads.join(counts, "idx", "left").join(votes(sample, strict_names), "idx", "left").fillna(0, ["filled", "distinct", "sampled"])
     return judge(joined, rows)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from maskwright.session import free_name, stash
 
 from ..functions.cells import display_of, is_empty, is_number, text_of
+from ..functions.fake import break_luhn
 from ..functions.masks import apply_partial
 from ..plans.plan import PREVIEW_ROWS, ColumnPlan, RedactionPlan
 from .pseudonym import alias_table, consistent_fake, digest, fresh_fake, random_salt
@@ -32,6 +33,7 @@ def redact_column(col: Column, dtype: T.DataType, plan: ColumnPlan, salt: str) -
         out = digest(text, salt, o.digest_length)
     elif plan.mode == "fake":
         out = consistent_fake(text, plan.semantic, locale, salt, o.digest_length, amount if o.keep_magnitude else None) if o.consistent else text_of(fresh_fake(plan.semantic, locale, amount), T.DoubleType() if plan.semantic == "currency" else T.StringType())
+        out = break_luhn(out) if plan.semantic == "card" and o.force_invalid_luhn else out
     else:
         return col
     return F.when(is_empty(col, dtype), col.cast("string")).otherwise(out)

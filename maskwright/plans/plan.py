@@ -24,6 +24,7 @@ class RedactOptions:
     locale: str | None = None  # None or empty: id
     consistent: bool = True
     keep_magnitude: bool = False  # fake amounts keep the size of their original
+    force_invalid_luhn: bool = False  # fake card numbers never pass the checksum
 
     @property
     def mark(self) -> str:
@@ -106,6 +107,17 @@ def default_sheets(summary: list) -> list[str]:
     return [s["name"] for s in summary if s["row_count"] > 1]
 
 
+def opening_step(summary: list, guesses: dict[str, int | None], auto: bool = True) -> tuple[str, str]:
+    """(step, sheet) to begin with: with auto, choices that have one sensible answer are passed over, and stay open to change.
+
+    guesses: sheet -> guessed header row, None where there is no guess.  One sheet with a guess begins at its columns, one without at its header, several at the
+    choice of sheets, as all do without auto.  The sheet is the first with more than one row, or the first; empty where there is none."""
+    first = next(iter([*default_sheets(summary), *(s["name"] for s in summary)]), "")
+    if not auto or len(summary) != 1:
+        return "sheets", first
+    return ("columns" if guesses.get(first) is not None else "header"), first
+
+
 def build_jobs(selected: dict[str, tuple[int, RedactionPlan]], locale: str = "id") -> list[SheetJob]:
     """sheet -> (header row, plan), as jobs with the locale in every plan."""
     return [SheetJob(sheet, header, plans.with_locale(locale)) for sheet, (header, plans) in selected.items()]

@@ -200,6 +200,8 @@ EMBEDDED = {
     "name": f"(?i)\\b(?:{NAME_LEADS})\\b[:{WS[1:-1]}]+[A-Z][a-z]+{WS}+[A-Z][a-z]+",
 }
 
+EMBEDDED["strict"] = EMBEDDED["name"].replace("(?i)", "").replace(f"(?:{NAME_LEADS})", f"(?i:{NAME_LEADS})")
+
 
 def embedded(kind: str, v: str) -> str:
     return f"(length({v}) >= 12 AND regexp_matches({v}, '{EMBEDDED[kind]}'))"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import cells, masks, validators
-from maskwright.functions.fake import draws, fake, fake_currency, fnv_seed
+from maskwright.functions.fake import break_luhn, draws, fake, fake_currency, fnv_seed
 from maskwright.functions.wordlists import CARRIERS, CITIES, FIRST_NAMES, LAST_NAMES, REGION_CODES, STREETS
 
 S, D, TS = T.StringType(), T.DoubleType(), T.TimestampNTZType()
@@ -80,6 +80,17 @@ def test_embedded(spark):
     assert run(spark, values, S, validators.find_embedded) == [["name"], ["phone"], ["email"], ["nik"], [], [], [], ["name"], []]
 
 
+def test_strict_names_need_capitals(spark):
+    values = ["approved BY Budi Santoso i", "approved by the manager", "approved by Budi santoso", None]
+    assert run(spark, values, S, lambda v: validators.find_embedded(v, strict_names=True)) == [["name"], [], [], []]
+
+
+def test_broken_checksums(spark):
+    values = ["4539578763621486", "4539578763621487", "4111111111111111", "79927398713", None]
+    assert run(spark, values, S, break_luhn) == ["4539578763621487", "4539578763621487", "4111111111111112", "79927398714", None]
+    assert run(spark, ["0000000000000000", "4000000000000259"], S, lambda v: validators.luhn(break_luhn(v))) == [False, False]
+
+
 MASKS = [
     ("mask_email", "budi.santoso@doku.com", "b***********@doku.com"), ("mask_email", "a@b.com", "*@b.com"), ("mask_email", "@b.com", "@*****"), ("mask_email", "x@y@z.com", "x**@z.com"),
     ("mask_phone", "+628123456789", "+6281****6789"), ("mask_phone", "0812-3456-7890", "0812****7890"), ("mask_phone", "12345", "*****"), ("mask_phone", "12-34", "*****"),

@@ -14,7 +14,7 @@ from maskwright.operators.profile import profile
 from maskwright.operators.pseudonym import alias_table, digest, random_salt
 from maskwright.operators.redact import audit_summary, change_counts, preview, redact, write_redacted
 from maskwright.plans.lexicon import column_label, normalise_header, score_header
-from maskwright.plans.plan import ColumnPlan, RedactionPlan, RedactOptions, SheetJob, build_jobs, confidence_band, default_sheets, is_low_cardinality
+from maskwright.plans.plan import ColumnPlan, RedactionPlan, RedactOptions, SheetJob, build_jobs, confidence_band, default_sheets, is_low_cardinality, opening_step
 from maskwright.sources.xlsx import accepts, build_workbook, csv_bytes, file_hashes, output_names, read_workbook, register, safe_sheet_names, serial_date
 from maskwright.streaming.redact_stream import change_counts_by_window, redact_stream
 
@@ -41,6 +41,9 @@ def test_plan_edits():
     assert (is_low_cardinality(2, 10000), is_low_cardinality(9000, 10000), is_low_cardinality(2, 10)) == (True, False, False)
     assert [confidence_band(x) for x in (0.8, 0.5, 0.49)] == ["high", "medium", "low"]
     assert default_sheets([{"name": "x", "row_count": 1}, {"name": "y", "row_count": 2}]) == ["y"]
+    one, two = [{"name": "y", "row_count": 2}], [{"name": "x", "row_count": 1}, {"name": "y", "row_count": 2}]
+    assert [opening_step(one, {"y": 0}), opening_step(one, {"y": None}), opening_step(one, {"y": 0}, auto=False)] == [("columns", "y"), ("header", "y"), ("sheets", "y")]
+    assert opening_step(two, {"x": 0, "y": 0}) == ("sheets", "y") and opening_step([], {}) == ("sheets", "") and opening_step(two[:1], {})[1] == "x"
     with pytest.raises(ValueError):
         ColumnPlan(0, "a", mode="erase")
 
