@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.session import shuffle_width, stash
+from maskwright.session import discard, stash, width_for
 
 from ..functions.fake import fake, fake_currency, fnv_seed
 
@@ -35,20 +35,24 @@ def fresh_fake(semantic: str, locale: str, original: Column | None = None) -> Co
     return fake_currency(seed, original) if semantic == "currency" else fake(semantic, locale, seed)
 
 
-def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, *order: str, name: str = "rank", rows_each: int = 2_000_000) -> DataFrame:
     """df with its 1-based position in a total order.
 
-    Rows are range-partitioned and sorted, written down, and numbered inside their partition; only the partitions' counts are
-    summed up in one place.  A window without partitions would put all rows into one task."""
-    parts = shuffle_width(df.sparkSession)
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    Rows are written down and counted, range-partitioned by that count (never more than about rows_each to a partition), sorted, written down again, and numbered inside
+    their partition; only the partitions' counts are summed up in one place.  A window without partitions would put all rows into one task.  The result is a stashed table: discard() it when it is used up."""
+    known = stash(df, "unranked")
+    parts = width_for(df.sparkSession, known.count(), rows_each)
+    placed = known.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
     placed = stash(placed.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranked")
+    discard(known)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     ranked = placed.join(F.broadcast(shifts), "_part")  # a row per partition
-    return ranked.withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
+    out = stash(ranked.withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift"), "numbered")
+    discard(placed)
+    return out
 
 
 def alias_table(df: DataFrame, key: Column, order_col: str, prefix: str = "ID") -> DataFrame:
