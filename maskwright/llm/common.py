@@ -53,6 +53,12 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def ascii_words(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text that is not null, as an array."""
+    bare = F.btrim(text, F.lit(ASCII_SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \t\n\x0B\f\r]+"))
+
+
 class WordHashes(dict):
     """64-bit hashes of byte strings, remembered up to a bound."""
 
