@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +12,17 @@ from pyspark.sql import types as T
 from . import sqltwins as q
 from .functions import cells, masks, validators
 from .functions.fake import draws, fake, fake_currency, fnv_seed
-from .operators.header_row import SHEET, detect_header_row, to_table
+from .functions.sql import register_sql, sql_predicate
+from .operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
 from .operators.profile import profile
 from .operators.pseudonym import alias_table, consistent_fake, digest
-from .operators.redact import SheetResult, audit_report, audit_summary, change_counts, preview, redact, write_redacted
+from .operators.redact import SheetResult, audit_report, audit_summary, change_counts, preview, redact, write_parts, write_redacted
+from .plans import registry
 from .plans.lexicon import HEADER_LEXICON, column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
-from .session import shared_folder
-from .sources.xlsx import build_workbook, read_xlsx, sheet_rows, summarise
+from .session import run_path
+from .sources.xlsx import read_xlsx, sheet_rows, summarise
+from .sources.xlsx_sink import as_sheet, header_sheet, write_book
 from .streaming.redact_stream import redact_stream
 
 SALT = "fixed-salt"
@@ -261,7 +264,7 @@ def _audit_rows(s: SparkSession, d: str) -> DataFrame:
     """The audit of a redacted table that is written by the executors, as rows: one for each column, with its sheet's action, rows and the report's total."""
     t = table(s, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).alias("s_acctbal"))
     plan = _plan(s_name=("hash", "name", {}), s_acctbal=("partial", "currency", {}))(t)
-    done = write_redacted(t, plan, f"{shared_folder(s)}/maskwright/redacted-{uuid.uuid4().hex}", "supplier", "parquet", SALT)
+    done = write_redacted(t, plan, run_path(s, "redacted"), "supplier", "parquet", SALT)
     report = audit_report("supplier.parquet", "", "", "whole-workbook", "parquet", [done, SheetResult("region", "passed-through", table(s, d, "region").count(), []), SheetResult("nation", "dropped", 25, [])])
     brief = audit_summary(report)
     rows = [(x["name"], x["action"], x["rowCount"], c["header"], c["cellsChanged"], brief["cells_changed"], ",".join(brief["untouched"])) for x in report["sheets"] for c in x["columns"] or [{"header": "", "cellsChanged": 0}]]
@@ -361,18 +364,14 @@ SELECT sheet, CASE WHEN best >= 0.55 AND least(1.0, best * CASE WHEN best - coal
 
 
 def _workbook(s: SparkSession, d: str) -> DataFrame:
-    """Two small dimension tables written as one workbook, in the shared folder through Spark's file system, and read back."""
+    """Two dimension tables written by executors as the sheets of one workbook, in the shared folder, and read back."""
     sheets = []
-    for name in ("nation", "region"):
+    for n, name in enumerate(("nation", "region")):
         t = table(s, d, name)
-        sheets.append((name, iter([t.columns, *map(list, t.orderBy(t.columns[0]).toLocalIterator())])))
-    path = f"{shared_folder(s)}/maskwright/tables-{uuid.uuid4().hex}.xlsx"
-    jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
-    out = jvm.org.apache.hadoop.fs.Path(path)
-    stream = out.getFileSystem(conf).create(out)
-    stream.write(bytearray(build_workbook(sheets)))
-    stream.close()
-    return read_xlsx(s, path)
+        sheets += [header_sheet(s, name, n, t.columns), as_sheet(t, name, n, t.columns[0], t.columns)]
+    folder = run_path(s, "book")
+    write_book(reduce(DataFrame.union, sheets), folder, "tables.xlsx")
+    return read_xlsx(s, f"{folder}/tables.xlsx")
 
 
 def _xlsx_round_trip(s: SparkSession, d: str) -> DataFrame:
@@ -384,11 +383,90 @@ add("xlsx_round_trip", _xlsx_round_trip, "SELECT CAST(n_nationkey AS INTEGER) AS
 add("xlsx_summary", lambda s, d: summarise(_workbook(s, d)), "SELECT 'nation' AS name, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS col_count FROM nation UNION ALL SELECT 'region', CAST(count(*) + 1 AS INTEGER), 2 FROM region")
 
 
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    """supplier, redacted, as part workbooks by the executors, read back by a streaming reader whose filters stop it."""
+    t = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(4)
+    folder = run_path(s, "parts")
+    write_parts(t, _plan(s_name=("hash", "name", {}))(t), folder, "supplier", "xlsx", SALT)
+    rows = s.read.format("xlsx").load(folder).where("sheet = 'supplier' and row_idx > 0")
+    at = lambda i: F.get("cells", F.lit(i))
+    return rows.select(at(0)["n"].cast("bigint").alias("s_suppkey"), at(1)["s"].alias("s_name"), at(2)["n"].alias("s_acctbal"))
+
+
+add("xlsx_parts", _parts, f"SELECT s_suppkey, {q.digest('s_name', SALT)} AS s_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier")
+
+
+def _sheet_previews(s: SparkSession, d: str) -> DataFrame:
+    """The candidates for a header row of a sheet that was written from a table: its first ten rows with their previews, and the labels under each."""
+    sheet = sheet_rows(_workbook(s, d), "nation")
+    labels = F.array_join(F.lit(headers_of(sheet, 0)), "|")
+    return header_scores(sheet).select("row_idx", F.array_join("preview", "|").alias("preview"), labels.alias("labels"))
+
+
+add(
+    "sheet_previews", _sheet_previews,
+    "SELECT CAST(0 AS INTEGER) AS row_idx, 'n_nationkey|n_name|n_regionkey' AS preview, 'n_nationkey|n_name|n_regionkey' AS labels UNION ALL SELECT CAST(n AS INTEGER), concat_ws('|', n_nationkey, n_name, n_regionkey), 'n_nationkey|n_name|n_regionkey' FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) WHERE n < 10",
+)
+
+
+# --- SQL text and the registry
+def _sql_text(s: SparkSession, d: str) -> DataFrame:
+    """The library's functions called by name from SQL text."""
+    register_sql(s)
+    return s.sql(
+        f"""
+        SELECT c_custkey, mw_digest(c_name, '{SALT}') AS digest, mw_mask_generic(c_mktsegment, 6, 6) AS segment, mw_mask_phone(phone) AS phone, mw_is_phone(phone) AS is_phone, mw_fake_name(c_name, '{SALT}', 'en') AS fake,
+               mw_mask_email(email) AS email, mw_is_email(email) AS is_email
+        FROM (SELECT *, {PHONES} AS phone, {EMAILS} AS email FROM {{customer}})""",
+        customer=table(s, d, "customer"),
+    )
+
+
+_sql_n, _sql_fake = q.fake("name", "en")
+add(
+    "sql_functions", _sql_text,
+    f"SELECT c_custkey, {q.digest('c_name', SALT)} AS digest, {q.generic('c_mktsegment', 6, 6)} AS segment, {q.phone_mask('phone')} AS phone, {q.is_phone('phone')} AS is_phone, {_sql_fake} AS fake, {q.email_mask('email')} AS email, {q.is_email('email')} AS is_email FROM {q.with_draws(f"SELECT *, {PHONES} AS phone, {EMAILS} AS email, {q.fnv(q.digest('c_name', SALT))} AS seed FROM customer", _sql_n)}",
+)
+
+
+def _own_type(s: SparkSession, d: str) -> DataFrame:
+    """A type of value and a mode that are registered at run time: seen by the profile, planned and redacted."""
+    t = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    register_sql(s)
+    registry.register_mode("tail", lambda text, plan, salt: F.concat(F.lit("#"), F.right(text, F.lit(3))))
+    try:
+        with registry.registered("supplier_code", sql_predicate(s, "supplier_code", r"rlike(mw_trim(t), r'^Supplier#[0-9]{9}\z')"), before="name", mode="tail"):
+            found = profile(t, "s_suppkey", ["s_name", "s_acctbal"]).orderBy("index").collect()
+        plan = RedactionPlan.from_profile([r.asDict() | {"index": r["index"] + 1} for r in found])
+        return redact(t, plan, SALT).select("s_suppkey", "s_name", F.lit(found[0]["semantic"]).alias("semantic"), F.lit(found[0]["reason"]).alias("reason"))
+    finally:
+        registry.unregister("tail")
+
+
+add("registered_type", _own_type, "SELECT s_suppkey, '#' || right(s_name, 3) AS s_name, 'supplier_code' AS semantic, '100% of sampled values match supplier_code' AS reason FROM supplier")
+
+
+def _planned(s: SparkSession, d: str) -> DataFrame:
+    """The flagship's tables under the plan that their profile proposes."""
+    t = _flagship_input(s, d)
+    names = [c for c in t.columns if c != "o_orderkey"]
+    found = profile(t, "o_orderkey", names).orderBy("index").collect()
+    return redact(t, RedactionPlan.from_profile([r.asDict() | {"index": r["index"] + 1} for r in found]), SALT)
+
+
+_both_n, _both_e = q.fake("name", "id")
+_PLANNED = f"SELECT o_orderkey, {_both_e} AS c_name, n_name, o_orderpriority, o_orderdate, o_totalprice, c_mktsegment FROM {q.with_draws(f"SELECT *, {q.fnv(q.digest('c_name', SALT))} AS seed FROM ({_FLAG})", _both_n)}"
+add(
+    "redact_orders_planned", _planned,
+    f"SELECT o_orderkey, c_name, {_both_e} AS n_name, o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) || '-**-**' AS o_orderdate, {q.digest(q.number_text('o_totalprice'), SALT)} AS o_totalprice, c_mktsegment FROM {q.with_draws(f"SELECT *, {q.fnv(q.digest('n_name', SALT))} AS seed FROM ({_PLANNED})", _both_n)}",
+)
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """customer as a stream, redacted into a table until all of it has been seen."""
     t = table(s, d, "customer")
     stream = s.readStream.schema(t.schema).option("pathGlobFilter", "customer.parquet").parquet(d)
-    base = f"{shared_folder(s)}/maskwright/stream-{uuid.uuid4().hex}"
+    base = run_path(s, "stream")
     out = redact_stream(stream, _plan(c_name=("hash", "name", {}), c_mktsegment=("partial", "text", {}))(t), SALT)
     out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows").awaitTermination()
     return s.read.schema(out.schema).parquet(f"{base}/rows")

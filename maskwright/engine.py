@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +14,10 @@ from .operators.header_row import cell_text, detect_header_row, headers_of
 from .operators.profile import profile
 from .operators.pseudonym import random_salt
 from .operators.redact import SheetResult, audit_report, preview, write_redacted
-from .operators.redact import file_hash as hash_bytes
 from .plans.plan import RedactionPlan, SheetJob, opening_step
-from .session import shared_folder
-from .sources.xlsx import accepts, build_workbook, csv_bytes, output_names, read_xlsx, sheet_rows, summarise
+from .session import discard, run_path
+from .sources.xlsx import SCHEMA, accepts, file_hashes, output_names, read_xlsx, safe_sheet_names, sheet_rows, summarise
+from .sources.xlsx_sink import as_sheet, parts_of, write_book
 
 HEADER_ROWS_READ = 12
 
@@ -39,8 +39,8 @@ class WorkbookSession:
         return [r.asDict() for r in summarise(self.rows).collect()]
 
     def header_guess(self, sheet: str) -> dict:
-        """The guess for a sheet's header row, from its first rows alone."""
-        return detect_header_row(sheet_rows(self.rows, sheet).where(F.col("row_idx") < HEADER_ROWS_READ)).first().asDict(recursive=True)
+        """The guess for a sheet's header row, from its first rows alone: no others are parsed."""
+        return detect_header_row(sheet_rows(read_xlsx(self.spark, self.path, sheet, HEADER_ROWS_READ), sheet)).first().asDict(recursive=True)
 
     def header_row(self, sheet: str) -> int:
         """The guessed header row, the first row if there is no guess."""
@@ -83,50 +83,44 @@ class WorkbookSession:
         found = preview(self.table(job.sheet, job.header_row), self._shifted(job.plans), "row_idx", rows, self.salt)
         return [{"before": r["before"][1:], "after": r["after"][1:]} for r in found.collect()]
 
-    def _raw_header(self, sheet: str, header_row: int) -> list:
-        row = sheet_rows(self.rows, sheet).where(F.col("row_idx") == header_row).select(F.transform("cells", cell_text).alias("h")).first()
-        return list(row[0]) if row else []
-
     def export(self, jobs: list[SheetJob], out_dir: str, scope: str = "selected-only", fmt: str = "xlsx") -> dict:
-        """Writes the redacted file and its audit into out_dir and returns the audit.
+        """Writes the redacted file and its audit into out_dir, a folder that executors mount too, and returns the audit.
 
-        A workbook is one zip of at most 1,048,576 rows a sheet, so its rows come through the driver one at a time; larger tables are written by redact.write_redacted.  Sheets keep their order.  With scope whole-workbook the other sheets are copied as they are; CSV holds the first job's sheet alone, and the audit says so."""
+        A workbook is one zip archive of at most 1,048,576 rows a sheet, so one task streams it to its file and no row comes through the driver; larger tables are written in parts, by redact.write_redacted or
+        write_parts.  Sheets keep their order.  With scope whole-workbook the other sheets are copied as they are; CSV holds the first job's sheet alone, and the audit says so."""
         by_sheet = {j.sheet: j for j in jobs}
         order = [s["name"] for s in self.sheets()]
-        written: list[tuple[str, object]] = []
+        safe = dict(zip(order, safe_sheet_names(order), strict=True))
+        written: list[DataFrame] = []
         results: list[SheetResult] = []
-        for name in order:
-            job = by_sheet.get(name)
+        kept: list[DataFrame] = []
+        for n, name in enumerate(order):
+            job, rows = by_sheet.get(name), sheet_rows(self.rows, name)
+            as_is = lambda df, n=n, name=name: df.select(F.lit(safe[name]).alias("sheet"), F.lit(n).alias("sheet_idx"), "row_idx", "cells")
             if fmt == "csv" and (not jobs or name != jobs[0].sheet):
                 results.append(SheetResult(name, "dropped", 0, []))
             elif job:
                 table, plan = self.table(name, job.header_row), self._shifted(job.plans)
-                kept = f"{shared_folder(self.spark)}/maskwright/export-{uuid.uuid4().hex}"
-                results.append(write_redacted(table, plan, kept, name, "parquet", self.salt, "row_idx"))  # one pass: rows, counts and the cells
+                path = run_path(self.spark, "export")
+                results.append(write_redacted(table, plan, path, name, "parquet", self.salt, "row_idx"))  # one pass: rows, counts and the cells
                 results[-1].action = "redacted"
-                out = self.spark.read.parquet(kept).orderBy("row_idx").drop("row_idx")
-                written.append((name, self._with_header(self._raw_header(name, job.header_row), out)))
+                kept.append(self.spark.read.parquet(path))
+                written += [as_is(rows.where(F.col("row_idx") == job.header_row)), as_sheet(kept[-1], safe[name], n, "row_idx", [c for c in kept[-1].columns if c != "row_idx"])]
             elif scope == "whole-workbook":
-                table = self.table(name, -1).orderBy("row_idx").drop("row_idx")
-                results.append(SheetResult(name, "passed-through", table.count(), []))
-                written.append((name, self._with_header(None, table)))
+                results.append(SheetResult(name, "passed-through", rows.count(), []))
+                written.append(as_is(rows))
             else:
                 results.append(SheetResult(name, "dropped", 0, []))
-        data = csv_bytes(written[0][1]) if fmt == "csv" else build_workbook(written)
         out_name, audit_name = output_names(self.path, fmt)
         Path(out_dir).mkdir(parents=True, exist_ok=True)
-        (Path(out_dir) / out_name).write_bytes(data)
-        source = bytes(self.spark.read.format("binaryFile").load(self.path).select("content").first()[0])
-        audit = audit_report(Path(self.path).name, hash_bytes(source), hash_bytes(data), scope, fmt, results)
+        book = reduce(DataFrame.union, written) if written else self.spark.createDataFrame([], SCHEMA)
+        write_book(book, str(out_dir), out_name)
+        discard(*kept)
+        source = file_hashes(self.spark, self.path).first().sha256
+        output = next(p["sha256"] for p in parts_of(str(out_dir)) if p["name"] == out_name)
+        audit = audit_report(Path(self.path).name, source, output, scope, fmt, results)
         (Path(out_dir) / audit_name).write_text(json.dumps(audit, indent=2))
         return audit
 
-    @staticmethod
-    def _with_header(header: list | None, table: DataFrame):
-        if header is not None:
-            yield header
-        for row in table.toLocalIterator():
-            yield list(row)
-
 
 __all__ = ["HEADER_ROWS_READ", "WorkbookSession"]

@@ -98,7 +98,7 @@ def looks_like_address(text: Column) -> Column:
     return (units(s) >= 10) & s.rlike(f"(?i){_B}({ADDRESS_WORDS})" + r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
-#: (type, predicate over (cell, text, dtype), whether the header has to agree), most specific first; ties go to the earlier type.
+#: (type, predicate over (cell, text, dtype), whether the header has to agree), most specific first; ties go to the earlier type.  plans.registry adds to it.
 VALUE_TESTS: list[tuple[str, Callable[[Column, Column, T.DataType], Column], bool]] = [
     ("email", lambda c, t, d: is_email(t), False),
     ("nik", lambda c, t, d: is_nik(t), False),
@@ -118,7 +118,7 @@ def value_tests(col: Column, text: Column, dtype: T.DataType) -> dict[str, Colum
     return {kind: (F.coalesce(test(col, text, dtype), F.lit(False)) if kind == "date" or not only_date else F.lit(False)) for kind, test, _ in VALUE_TESTS}
 
 
-#: Personal data inside running text, in the order in which ties are settled within one cell.
+# Patterns of personal data inside running text, in the order in which ties are settled within one cell.
 EMBEDDED: list[tuple[str, str]] = [
     ("email", rf"(?i)[^{SPACES}@]+@[^{SPACES}@.]+\.[a-z]{{2,}}"),
     ("phone", rf"(?:\+?62|0)8[0-9]{{2}}[{SPACES}.-]?[0-9]{{3,4}}[{SPACES}.-]?[0-9]{{3,5}}"),

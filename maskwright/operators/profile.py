@@ -16,7 +16,6 @@ from ..plans.lexicon import MODE_FOR_TYPE, score_header
 from ..plans.plan import LOW_CARDINALITY
 
 SAMPLE_SIZE = 200
-_TYPES = [kind for kind, _, _ in VALUE_TESTS]
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -38,14 +37,15 @@ def votes(sample: DataFrame, strict_names: bool = False) -> DataFrame:
     """Hits of every value test, embedded kinds and long texts of the sampled cells, by column."""
     text = F.col("text")
     by_kind = {kind: value_tests(F.col("num") if kind == "n" else text, text, {"n": T.DoubleType(), "d": T.TimestampNTZType(), "s": T.StringType()}[kind]) for kind in "nds"}
-    hit = {t: F.when(F.col("kind") == "n", by_kind["n"][t]).when(F.col("kind") == "d", by_kind["d"][t]).otherwise(by_kind["s"][t]) for t in _TYPES}
-    marked = sample.select("idx", "rn", "text", "day", *[hit[t].alias(f"is_{t}") for t in _TYPES], find_embedded(text, strict_names).alias("found"), (units(text) > 40).alias("long"))
+    types = [kind for kind, _, _ in VALUE_TESTS]
+    hit = {t: F.when(F.col("kind") == "n", by_kind["n"][t]).when(F.col("kind") == "d", by_kind["d"][t]).otherwise(by_kind["s"][t]) for t in types}
+    marked = sample.select("idx", "rn", "text", "day", *[hit[t].alias(f"is_{t}") for t in types], find_embedded(text, strict_names).alias("found"), (units(text) > 40).alias("long"))
     shown = F.coalesce(F.col("day"), F.col("text"))
     short = F.when(units(shown) > 18, F.concat(F.substring(shown, 1, 15), F.lit("…"))).otherwise(shown)
     kinds = ("email", "phone", "nik", "name")
     return marked.groupBy("idx").agg(
         F.count("*").alias("sampled"),
-        *[F.count_if(F.col(f"is_{t}")).alias(f"hits_{t}") for t in _TYPES],
+        *[F.count_if(F.col(f"is_{t}")).alias(f"hits_{t}") for t in types],
         *[F.count_if(F.array_contains("found", k)).alias(f"in_{k}") for k in kinds],
         # ties between embedded kinds go to the one that shows up first
         *[F.min(F.when(F.array_contains("found", k), F.col("rn") * 8 + F.array_position("found", k))).alias(f"at_{k}") for k in kinds],

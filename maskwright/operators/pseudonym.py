@@ -22,11 +22,11 @@ def digest(text: Column, salt: str, length: int = 12) -> Column:
 
 
 def consistent_fake(text: Column, semantic: str, locale: str, salt: str, length: int = 12, original: Column | None = None) -> Column:
-    """The synthetic value that belongs to a text under a salt; with original, amounts keep its magnitude."""
+    """The synthetic value that belongs to a text under a salt, null for null; with original, amounts keep its magnitude."""
     seed = fnv_seed(digest(text, salt, length))
     if semantic == "currency" and original is not None:
         return fake_currency(seed, original).cast("decimal(38,0)").cast("string")
-    return fake(semantic, locale, seed)
+    return F.when(text.isNotNull(), fake(semantic, locale, seed))  # a seed is never null inside
 
 
 def fresh_fake(semantic: str, locale: str, original: Column | None = None) -> Column:

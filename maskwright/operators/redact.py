@@ -16,6 +16,7 @@ from ..functions.cells import display_of, is_empty, is_number, text_of
 from ..functions.fake import break_luhn
 from ..functions.masks import apply_partial
 from ..plans.plan import PREVIEW_ROWS, ColumnPlan, RedactionPlan
+from ..plans.registry import OWN_MODES
 from .pseudonym import alias_table, consistent_fake, digest, fresh_fake, random_salt
 
 
@@ -34,6 +35,8 @@ def redact_column(col: Column, dtype: T.DataType, plan: ColumnPlan, salt: str) -
     elif plan.mode == "fake":
         out = consistent_fake(text, plan.semantic, locale, salt, o.digest_length, amount if o.keep_magnitude else None) if o.consistent else text_of(fresh_fake(plan.semantic, locale, amount), T.DoubleType() if plan.semantic == "currency" else T.StringType())
         out = break_luhn(out) if plan.semantic == "card" and o.force_invalid_luhn else out
+    elif plan.mode in OWN_MODES:
+        out = OWN_MODES[plan.mode](text, plan, salt)
     else:
         return col
     return F.when(is_empty(col, dtype), col.cast("string")).otherwise(out)
@@ -123,8 +126,25 @@ def write_redacted(df: DataFrame, plan: RedactionPlan, path: str, name: str, fmt
     return SheetResult(name, "redacted" if plan.active else "passed-through", rows.get["n"], columns)
 
 
-def audit_report(file_name: str, source_hash: str, output_hash: str, scope: str, fmt: str, sheets: list[SheetResult]) -> dict:
-    """What was done to which sheet and column; only sheets that were written count as redacted or passed through."""
+def write_parts(df: DataFrame, plan: RedactionPlan, path: str, name: str, fmt: str = "xlsx", salt: str | None = None, order_col: str | None = None) -> tuple[SheetResult, list[dict]]:
+    """Writes df, redacted, as part workbooks or CSV files with a byte order mark ("csv_bom") into the folder `path`, one or more from each task, and counts as write_redacted does.
+
+    The second result is the list of parts: name, rows and sha256 of each file.  The folder must be mounted by all executors."""
+    from ..sources.xlsx import register
+    from ..sources.xlsx_sink import parts_of
+
+    if fmt not in ("xlsx", "csv_bom"):
+        raise ValueError("parts are written as xlsx or csv_bom")
+    register(df.sparkSession)
+    seen, rows = Observation(), Observation()
+    out = (redact(df, plan, salt, order_col, seen) if plan.active else df).observe(rows, F.count("*").alias("n"))
+    out.write.mode("overwrite").option("sheet", name).format(fmt).save(path)
+    columns = [{"header": p.header, "mode": p.mode, "semantic": p.semantic, "cellsChanged": seen.get[f"c{p.index}"]} for p in plan.active]
+    return SheetResult(name, "redacted" if plan.active else "passed-through", rows.get["n"], columns), parts_of(path)
+
+
+def audit_report(file_name: str, source_hash: str, output_hash: str, scope: str, fmt: str, sheets: list[SheetResult], parts: list[dict] | None = None) -> dict:
+    """What was done to which sheet and column; only sheets that were written count as redacted or passed through.  parts, if given, are the output's files with their hashes."""
     done = [{"name": s.name, "action": s.action, "rowCount": 0 if s.action == "dropped" else s.row_count, "columns": s.columns} for s in sheets]
     return {
         "fileName": file_name,
@@ -135,6 +155,7 @@ def audit_report(file_name: str, source_hash: str, output_hash: str, scope: str,
         "format": fmt,
         "sheets": done,
         "totalCellsChanged": sum(c["cellsChanged"] for s in done if s["action"] == "redacted" for c in s["columns"]),
+        **({"parts": parts} if parts is not None else {}),
     }
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 SEMANTIC_TYPES = ("email", "phone", "nik", "npwp", "card", "date", "name", "address", "currency", "text", "unknown")
-MODES = ("blank", "partial", "hash", "fake")
+#: plans.registry adds to it.
+MODES = ["blank", "partial", "hash", "fake"]
 
 # Header keywords by type.  The order settles ties; keywords with signs in them can only match through their synonyms,
 # since headers lose their signs first.

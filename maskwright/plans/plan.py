@@ -48,7 +48,7 @@ class ColumnPlan:
 
     def __post_init__(self) -> None:
         if self.mode is not None and self.mode not in MODES:
-            raise ValueError(f"{self.mode!r} is no mode; there are {', '.join(MODES)}")
+            raise ValueError(f"{self.mode!r} is no mode; there are {', '.join(MODES)}; plans.registry adds others")
 
 
 class RedactionPlan(tuple):

@@ -48,6 +48,14 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/maskwright/{spark.sparkContext.applicationId}"
 
 
+def run_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the application's folder; what is written there goes with clear_stashes()."""
+    if not getattr(spark.sparkContext, "_maskwright_clears", False):
+        atexit.register(clear_stashes, spark)
+        spark.sparkContext._maskwright_clears = True
+    return f"{_run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, so a
     lost executor costs a re-read, and later steps all see the very same rows and row order.
@@ -55,10 +63,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     Operators discard() the tables that their result no longer reads.  Those that a lazy result still reads stay until
     clear_stashes(), which also runs when the driver's Python ends with its session still up."""
     spark = df.sparkSession
-    if not getattr(spark.sparkContext, "_maskwright_clears", False):
-        atexit.register(clear_stashes, spark)
-        spark.sparkContext._maskwright_clears = True
-    path = f"{_run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = run_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -212,3 +212,53 @@ def test_fake_amounts_keep_their_size(spark):
     out = run(spark, [5e6, 999.99, 12.0, 0.5, -70000.0], D, lambda v: fake_currency(F.lit(5).cast("bigint"), v))
     assert [len(str(int(x))) - 1 for x in out] == [6, 2, 1, 1, 4]
     assert run(spark, [5], T.LongType(), lambda v: fake("currency", "id", v))[0].endswith("000000")
+
+
+# --- SQL text
+def _sql_cases():
+    from maskwright.functions import fake, masks, validators
+    from maskwright.functions.cells import digits, trim, units
+    from maskwright.operators.pseudonym import consistent_fake, digest
+
+    one = {"trim": trim, "units": units, "digits": digits, "seed": fake.fnv_seed, "find_embedded": validators.find_embedded, "is_currency_text": lambda t: validators.is_currency(t, t, T.StringType())}
+    one |= {n: getattr(validators, n) for n in ("is_email", "is_phone", "is_nik", "is_npwp", "is_card", "is_date_text", "looks_like_name", "looks_like_address")}
+    out = {f"mw_{n}(v)": f for n, f in one.items()}
+    for n in ("generic", "email", "phone", "card", "nik", "npwp", "name", "address", "whole"):
+        out[f"mw_mask_{n}(v)"] = getattr(masks, f"mask_{n}")
+        out[f"mw_mask_{n}(v, mark => '#$')"] = lambda t, n=n: getattr(masks, f"mask_{n}")(t, mark="#$")
+    out["mw_mask_generic(v, 6, 3)"] = lambda t: masks.mask_generic(t, 6, 3)
+    out["mw_mask_generic(v, 2, 5)"] = lambda t: masks.mask_generic(t, 2, 5)
+    out["mw_mask_date_text(v)"] = lambda t: masks.mask_date(t, t, T.StringType())
+    out["mw_digest(v, 's')"] = lambda t: digest(t, "s")
+    out["mw_digest(v, 's', 99)"] = lambda t: digest(t, "s", 99)
+    out["mw_draws(mw_seed(v), 4)"] = lambda t: fake.draws(fake.fnv_seed(t), 4)
+    for kind in ("name", "address", "phone", "email", "nik", "npwp", "card", "date"):
+        for locale in ("id", "en"):
+            out[f"mw_fake_{kind}(v, 's', '{locale}')"] = lambda t, k=kind, loc=locale: consistent_fake(t, k, loc, "s")
+    return out
+
+
+SQL_TEXTS = [
+    "", " ", "a", "ab@c.de", " budi.santoso@example.com\t", "x@y", "+628123456789", "0812-3456-7890", "62 812 345", "3175023112900001", "3175027112900001", "4111 1111 1111 1111", "4111111111111112", "01.234.567.8-901.000", "1990-13-25", "1990-12-25", "31/12/1999", "13/13/1999", "25 January 1990",
+    "Rp 5.000", "$12,5 usd", "Budi Santoso", "budi", "Ágnes Ödön", "Jl. Merdeka No. 5", "Jalan", "call 0812 3456 7890 or mail x@y.org", "Approved by Budi Santoso in May", " Budi　", "Budi\U0001f600 Joy", "it's a 'quoted' \\ text", "line\nbreak 1987", "abcdefghijklmnop", None,
+]
+
+
+@pytest.mark.parametrize("call", sorted(_sql_cases()))
+def test_sql_text_gives_what_the_column_gives(spark, call):
+    from maskwright.functions.sql import register_sql
+
+    if not spark.catalog.functionExists("mw_mask_whole"):
+        register_sql(spark)
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(SQL_TEXTS)], "n int, v string")
+    df.createOrReplaceTempView("sql_texts")
+    want = df.select("n", _sql_cases()[call](F.col("v")).alias("out")).orderBy("n").collect()
+    got = spark.sql(f"SELECT n, {call} AS out FROM sql_texts ORDER BY n")
+    assert got.collect() == want
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_sql_function_is_covered():
+    from maskwright.functions.sql import FUNCTIONS
+
+    assert {f.name for f in FUNCTIONS} - {"times"} == {c.split("(")[0].removeprefix("mw_") for c in _sql_cases()}

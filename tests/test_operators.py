@@ -1,6 +1,9 @@
 """Plans, pseudonyms, redaction, profiles, header rows, workbooks and streams."""
 
+import hashlib
+import io
 import json
+import os
 import re
 from datetime import datetime
 
@@ -12,10 +15,13 @@ from maskwright.engine import WorkbookSession
 from maskwright.operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
 from maskwright.operators.profile import profile
 from maskwright.operators.pseudonym import alias_table, digest, random_salt
-from maskwright.operators.redact import audit_summary, change_counts, preview, redact, write_redacted
+from maskwright.functions.sql import register_sql, sql_predicate
+from maskwright.operators.redact import audit_report, audit_summary, change_counts, preview, redact, write_parts, write_redacted
+from maskwright.plans import registry
 from maskwright.plans.lexicon import column_label, normalise_header, score_header
 from maskwright.plans.plan import ColumnPlan, RedactionPlan, RedactOptions, SheetJob, build_jobs, confidence_band, default_sheets, is_low_cardinality, opening_step
-from maskwright.sources.xlsx import accepts, build_workbook, csv_bytes, file_hashes, output_names, read_workbook, register, safe_sheet_names, serial_date
+from maskwright.sources.xlsx import Book, accepts, build_workbook, csv_bytes, file_hashes, output_names, read_workbook, read_xlsx, register, safe_sheet_names, serial_date, sheet_rows
+from maskwright.sources.xlsx_sink import parts_of
 from maskwright.streaming.redact_stream import change_counts_by_window, redact_stream
 
 
@@ -263,3 +269,141 @@ def test_tables_are_written_and_counted_in_one_pass(spark, tmp_path):
         write_redacted(df, plan, f"{tmp_path}/x", "people", "xlsx")
     with pytest.raises(ValueError):
         build_workbook([("a", iter([["x" * 40_000]]))])
+
+
+def _big_book(path, rows):
+    """A workbook of shared texts with a dimension, as other programs write it, of one sheet and a small second one."""
+    import zipfile
+
+    from maskwright.sources.xlsx import WorkbookFile
+
+    book = WorkbookFile(str(path))
+    book.add("Data")
+    for n in range(3):
+        book.row([n])
+    book.add("Small")
+    book.row(["x", 1.0])
+    book.close()
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = "".join(f"<si><t>text {n}</t></si>" for n in range(rows))
+    data = "".join(f'<row r="{n + 1}"><c r="B{n + 1}" t="s"><v>{n}</v></c><c r="C{n + 1}"><v>{n}</v></c></row>' for n in range(rows))
+    with zipfile.ZipFile(path) as old:
+        parts = {i.filename: old.read(i.filename) for i in old.infolist()}
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet {main}><dimension ref="B1:D{rows}"/><sheetData>{data}</sheetData></worksheet>'.encode()
+    parts["xl/sharedStrings.xml"] = f"<sst {main}>{shared}</sst>".encode()
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+
+
+class _Counting(io.FileIO):
+    """A file that counts what is read of it."""
+
+    def __init__(self, path):
+        super().__init__(path)
+        self.total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.total += len(out)
+        return out
+
+
+def test_reading_stops_at_the_last_row_asked_for(spark, tmp_path):
+    path = tmp_path / "big.xlsx"
+    _big_book(path, 500_000)
+    size = path.stat().st_size
+    with _Counting(path) as f, Book(f) as book:
+        rows = list(book.rows(book.sheets[0], 12))
+        assert len(rows) == 12 and [c["s"] or c["n"] for c in rows[11][1]] == ["text 11", 11.0, None]
+        assert size > 4_000_000 and f.total < 400_000
+    register(spark)
+    df = spark.read.format("xlsx").load(str(path))
+    assert df.rdd.getNumPartitions() == 2
+    first = df.where("sheet = 'Data' and row_idx < 12")
+    assert first.rdd.getNumPartitions() == 1 and first.count() == 12
+    assert "Filter (" not in first._jdf.queryExecution().executedPlan().toString()
+    assert [r.row_idx for r in df.where("sheet = 'Data' and row_idx = 3 and cells[0].s = 'text 3'").collect()] == [3]
+    assert df.where("sheet = 'No'").count() == 0 and df.where("row_idx < 0").count() == 0
+    assert read_xlsx(spark, str(path), "Data", 5).count() == 5 and read_xlsx(spark, str(path), "Data").count() == 500_000
+
+
+def test_sheets_that_say_nothing_of_their_size(tmp_path):
+    data = build_workbook([("a", iter([[None, "x"], [None, None], [None, "y", 3], [None, "z"]])), ("b", iter([]))])
+    rows = [(at, [c["s"] or c["n"] for c in cells]) for _, _, at, cells in read_workbook(data)]
+    assert rows == [(0, ["x", None]), (1, [None, None]), (2, ["y", 3.0]), (3, ["z", None])]
+    assert [len(c) for _, _, _, c in read_workbook(data, limit=2)] == [1, 1]  # as wide as the rows that are read
+
+
+def test_part_workbooks_by_the_executors(spark, tmp_path):
+    register(spark)
+    df = spark.range(1000).select("id", F.concat(F.lit("é "), "id").alias("name"), (F.col("id") / 4).alias("x"), (F.col("id") % 2 == 0).alias("even"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int))").alias("at")).repartition(3)
+    df.write.format("xlsx").mode("append").option("sheet", "T/1").option("maxRows", 200).save(f"{tmp_path}/x")
+    parts = parts_of(f"{tmp_path}/x")
+    assert len(parts) >= 6 and sum(p["rows"] for p in parts) == 1000 and all(hashlib.sha256((tmp_path / "x" / p["name"]).read_bytes()).hexdigest() == p["sha256"] for p in parts)
+    assert sorted(os.listdir(f"{tmp_path}/x")) == sorted(["_parts.json", *[p["name"] for p in parts]])
+    back = to_table(sheet_rows(read_xlsx(spark, f"{tmp_path}/x/*.xlsx"), "T_1"), 0, df.columns)
+    want = {(str(r.id), r.name, str(r.x).removesuffix(".0"), str(r.even).lower(), r["at"].strftime("%Y-%m-%dT%H:%M:%S.000Z")) for r in df.collect()}
+    assert {tuple(r)[1:] for r in back.collect()} == want
+    df.limit(10).coalesce(1).write.format("xlsx").mode("overwrite").save(f"{tmp_path}/x")
+    assert [p["rows"] for p in parts_of(f"{tmp_path}/x")] == [10] and len(os.listdir(f"{tmp_path}/x")) == 2
+    df.where("id < 0").write.format("csv_bom").mode("append").save(f"{tmp_path}/none")
+    assert [open(f"{tmp_path}/none/{p['name']}", "rb").read() for p in parts_of(f"{tmp_path}/none")] == [b"\xef\xbb\xbfid,name,x,even,at\n"]
+    df.write.format("csv_bom").mode("append").save(f"{tmp_path}/c")
+    files = [open(f"{tmp_path}/c/{p['name']}", "rb").read() for p in parts_of(f"{tmp_path}/c")]
+    assert len(files) == 3 and all(f.startswith(b"\xef\xbb\xbfid,name") for f in files) and sorted(int(x.split(",")[0]) for f in files for x in f.decode("utf-8-sig").splitlines()[1:]) == list(range(1000))
+
+
+def test_a_failed_write_leaves_no_half_file(spark, tmp_path):
+    register(spark)
+    bad = spark.range(100).select("id", F.when(F.col("id") == 77, F.repeat(F.lit("x"), 40_000)).otherwise("y").alias("v")).repartition(4)
+    with pytest.raises(Exception, match="32767 characters"):
+        bad.write.format("xlsx").mode("append").save(f"{tmp_path}/x")
+    assert os.listdir(f"{tmp_path}/x") == []
+    spark.range(5).write.format("xlsx").mode("append").save(f"{tmp_path}/x")
+    with pytest.raises(Exception, match="32767 characters"):
+        bad.write.format("xlsx").mode("overwrite").save(f"{tmp_path}/x")
+    assert sum(p["rows"] for p in parts_of(f"{tmp_path}/x")) == 5 and len(os.listdir(f"{tmp_path}/x")) == 1 + len(parts_of(f"{tmp_path}/x"))  # what was there stays
+    # a task that was killed leaves its file in a hidden folder, which readers pass over
+    os.makedirs(f"{tmp_path}/x/_writing-1")
+    open(f"{tmp_path}/x/_writing-1/part.xlsx", "wb").write(b"half")
+    assert spark.read.format("xlsx").load(f"{tmp_path}/x").where("row_idx > 0").count() == 5
+    with pytest.raises(Exception, match="nested"):
+        spark.range(1).select(F.array("id").alias("a")).write.format("xlsx").mode("append").save(f"{tmp_path}/y")
+
+
+def test_redacted_parts_and_their_audit(spark, tmp_path):
+    df = spark.createDataFrame([(n, None if n % 3 else f"name {n}", "z") for n in range(30)], "id long, name string, other string").repartition(2)
+    plan = RedactionPlan([ColumnPlan(1, "name", "name", "hash", RedactOptions())])
+    for fmt in ("xlsx", "csv_bom"):
+        done, parts = write_parts(df, plan, f"{tmp_path}/{fmt}", "people", fmt, "s")
+        assert (done.action, done.row_count, done.columns[0]["cellsChanged"], sum(p["rows"] for p in parts)) == ("redacted", 30, 10, 30)
+        assert audit_report("t", "a", "b", "selected-only", fmt, [done], parts)["parts"] == parts
+    got = to_table(sheet_rows(read_xlsx(spark, f"{tmp_path}/xlsx/*.xlsx"), "people"), 0, df.columns).select("id", "name", "other")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((str(r.id), r.name, r.other) for r in redact(df, plan, "s").collect()), key=str)
+
+
+def test_registered_detectors_and_modes(spark):
+    rows = [(n, f"B {1000 + n} XY", f"n{n}") for n in range(50)]
+    df = spark.createDataFrame(rows, "id long, plat string, note string")
+    before = [r.semantic for r in profile(df, "id").orderBy("index").collect()]
+    registry.register_mode("tail", lambda text, plan, salt: F.concat(F.lit("."), F.right(text, F.lit(plan.options.keep_end or 2))))
+    try:
+        test = sql_predicate(spark, "plate", r"rlike(mw_trim(t), r'^[A-Z]{1,2} [0-9]{1,4} [A-Z]{1,3}\z')") if register_sql(spark) else None
+        with registry.registered("plate", test, before="name", headers=["plat"], mode="tail"):
+            assert registry.detectors().index("plate") == registry.detectors().index("name") - 1
+            found = [r.asDict() for r in profile(df, "id").orderBy("index").collect()]
+            with pytest.raises(ValueError):
+                registry.register_detector("plate", test)
+        plan = RedactionPlan.from_profile([p | {"index": p["index"] + 1} for p in found])
+        assert found[0]["semantic"] == "plate" and found[0]["reason"] == "Header and values both look like plate" and plan[0].mode == "tail" and plan[1].mode is None
+        assert [tuple(r) for r in redact(df, plan, "s").orderBy("id").limit(2).collect()] == [(0, ".XY", "n0"), (1, ".XY", "n1")]
+        with registry.registered("strict", lambda t: t.isNotNull(), requires_header=True):
+            assert [r.semantic for r in profile(df, "id").orderBy("index").collect()] == before
+    finally:
+        registry.unregister("tail")
+    assert [r.semantic for r in profile(df, "id").orderBy("index").collect()] == before and "tail" not in registry.MODES
+    with pytest.raises(ValueError):
+        ColumnPlan(0, "x", "text", "tail")
+    with pytest.raises(ValueError):
+        registry.register_detector("email", test)
