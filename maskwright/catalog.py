@@ -14,13 +14,13 @@ from .functions import cells, masks, validators
 from .functions.fake import draws, fake, fake_currency, fnv_seed
 from .functions.sql import register_sql, sql_predicate
 from .operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
-from .operators.profile import profile
+from .operators.profile import merge, profile, profile_of, sketch
 from .operators.pseudonym import alias_table, consistent_fake, digest
 from .operators.redact import SheetResult, audit_report, audit_summary, change_counts, preview, redact, write_parts, write_redacted
 from .plans import registry
 from .plans.lexicon import HEADER_LEXICON, column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
-from .session import run_path
+from .session import run_path, stash
 from .sources.xlsx import read_xlsx, sheet_rows, summarise
 from .sources.xlsx_sink import as_sheet, header_sheet, write_book
 from .streaming.redact_stream import redact_stream
@@ -231,6 +231,20 @@ for _t in ("customer", "orders"):
     add(f"precheck_plan_{_t}", lambda s, d, t=_t, k=_key, c=_cols: profile(table(s, d, t), k, list(c)).select("header", "semantic", F.when(F.col("score") >= 0.5, F.col("suggested_mode")).alias("mode")), f"SELECT header, semantic, CASE WHEN score >= 0.5 THEN suggested_mode END AS mode FROM ({q.profile(_t, _key, _cols)})")
     add(f"low_cardinality_{_t}", lambda s, d, t=_t, k=_key, c=_cols: profile(table(s, d, t), k, list(c)).select("header", "distinct_count", "low_cardinality"), f"SELECT header, distinct_count, low_cardinality FROM ({q.profile(_t, _key, _cols)})")
 
+
+
+def _merged_profile(s: SparkSession, d: str) -> DataFrame:
+    """orders profiled in two halves, each by one pass, whose saved sketches are merged; distinct counts are estimates, so only whether they are within 2 % is told."""
+    t, (key, cols) = table(s, d, "orders"), _PROFILED["orders"]
+    halves = [stash(sketch(t.where(F.col(key) % 2 == n), key, list(cols)), "sketch") for n in (0, 1)]
+    found = profile_of(stash(merge(*halves), "sketch"), list(cols))
+    exact = t.agg(*[F.count_distinct(c).alias(c) for c in cols]).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*cols))).alias("header", "exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.02
+    return found.join(exact, "header").select("index", "header", "semantic", "score", "reason", "filled_count", F.array_join("samples", "|").alias("samples"), near.alias("near"))
+
+
+add("profile_merged_orders", _merged_profile, f"SELECT index, header, semantic, score, reason, filled_count, samples, true AS near FROM ({q.profile('orders', *_PROFILED['orders'])})")
+
 # --- redaction, audit, preview
 FLAGSHIP = {"c_name": ("hash", "name", {}), "n_name": ("partial", "name", {}), "o_orderpriority": ("partial", "text", {"keep_start": 2}), "o_orderdate": ("partial", "date", {}), "o_totalprice": ("partial", "currency", {})}
 

@@ -1,16 +1,22 @@
 """Column profiles: what a table's columns seem to hold, from their headers, counts over all rows and the first values of each.
 
-Cells of all columns become rows of one narrow table (column, row, text, kind, number), so any number of columns is profiled by two
-jobs: one aggregate for the counts, and one window that keeps 200 filled cells of each column before they are shuffled.
+Everything but the exact distinct counts is a sketch that one pass over the table makes: a row for each column with its filled cells, a HyperLogLog sketch of its values and its first 200 filled
+cells, which the aggregate holds in a sorted buffer of that size, so nothing is sorted and no text but the sampled ones is moved.  Sketches can be kept as a table and merged, so appended data is
+profiled without reading the old again.  Exact distinct counts are a second aggregate over (column, value), values longer than 32 characters by their 128-bit digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
+
+from maskwright.session import stash
 
-from ..functions.cells import is_date_type, is_number, text_of, trim, units
+from ..functions.cells import NOT_WS, is_date_type, is_number, text_of, units
 from ..functions.validators import VALUE_TESTS, find_embedded, is_currency, is_date, value_tests
 from ..plans.lexicon import MODE_FOR_TYPE, score_header
 from ..plans.plan import LOW_CARDINALITY
@@ -22,15 +28,17 @@ def _kind(dtype: T.DataType) -> str:
     return "d" if is_date_type(dtype) else "n" if is_number(dtype) else "s"
 
 
-def cells(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
-    """(idx, row, text, kind, num, day) for every filled cell of the columns."""
+def cells(df: DataFrame, columns: list[str], order_col: str, count_rows: bool = False) -> DataFrame:
+    """(idx, row, text, kind, num, day) for every filled cell of the columns; with count_rows, one of idx -1 for every row too."""
     types = {f.name: f.dataType for f in df.schema.fields}
     made = []
     for i, c in enumerate(columns):
         kind = _kind(types[c])
         made.append(F.struct(F.lit(i).alias("idx"), text_of(df[c], types[c]).alias("text"), F.lit(kind).alias("kind"), (df[c].cast("double") if kind == "n" else F.lit(None).cast("double")).alias("num"), (F.date_format(df[c].cast("timestamp_ntz"), "yyyy-MM-dd") if kind == "d" else F.lit(None).cast("string")).alias("day")))
-    tall = df.select(F.col(order_col).alias("row"), F.explode(F.array(*made)).alias("c")).select("row", "c.*")
-    return tall.where(F.col("text").isNotNull() & (trim(F.col("text")) != ""))
+    if count_rows:
+        made.append(F.struct(F.lit(ROWS).alias("idx"), F.lit("-").alias("text"), F.lit("s").alias("kind"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("day")))
+    tall = df.select(F.col(f"`{order_col}`").alias("row"), F.explode(F.array(*made)).alias("c")).select("row", "c.*")
+    return tall.where(F.col("text").isNotNull() & ((F.col("kind") != "s") | F.col("text").rlike(NOT_WS)))  # anything but white space: found at once, where trimming reads the whole text
 
 
 def votes(sample: DataFrame, strict_names: bool = False) -> DataFrame:
@@ -58,23 +66,62 @@ def _percent(ratio):
     return F.floor(ratio * 100 + 0.5).cast("int").cast("string")
 
 
+def _first_cells(cell, most: int):
+    """The least `most` cells of a group, in order: an aggregate with a bounded buffer, merged from the tasks' own."""
+    return F.sort_array(InternalFunction.collect_top_k(cell, most, True))
+
+
+#: The pseudo-column that counts a table's rows.
+ROWS = -1
+
+
+def sketch(df: DataFrame, order_col: str, columns: list[str] | None = None) -> DataFrame:
+    """(idx, column, filled, distinct_sketch, first): what one pass over df tells of its columns, and its number of rows as filled of idx -1.
+
+    first are the first 200 filled cells by (order_col, text).  A column without filled cells has no row."""
+    columns = columns or [c for c in df.columns if c != order_col]
+    tall = cells(df, columns, order_col, count_rows=True)
+    cell = F.when(F.col("idx") >= 0, F.struct("row", "text", "kind", "num", "day"))
+    made = tall.groupBy("idx").agg(F.count("*").alias("filled"), F.hll_sketch_agg("text", F.lit(14)).alias("distinct_sketch"), _first_cells(cell, SAMPLE_SIZE).alias("first"))
+    names = F.array(*map(F.lit, columns)) if columns else F.array(F.lit(""))
+    return made.select("idx", F.when(F.col("idx") >= 0, F.get(names, F.col("idx"))).alias("column"), "filled", "distinct_sketch", "first")
+
+
+def merge(*sketches: DataFrame) -> DataFrame:
+    """One sketch of the rows of several, of tables of the same columns: counts add up, the first cells are the first of all."""
+    union = reduce(DataFrame.unionByName, sketches)
+    ends = union.groupBy("idx", "column").agg(F.sum("filled").alias("filled"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"))
+    first = union.select("idx", F.explode("first").alias("cell")).groupBy("idx").agg(_first_cells(F.col("cell"), SAMPLE_SIZE).alias("first"))
+    return ends.join(first, "idx", "left").select("idx", "column", "filled", "distinct_sketch", F.coalesce("first", F.array().cast(union.schema["first"].dataType)).alias("first"))
+
+
+def profile_of(made: DataFrame, columns: list[str], headers: list[str] | None = None, strict_names: bool = False, distinct: DataFrame | None = None) -> DataFrame:
+    """The profile of a sketch, see profile().  made is read several times: a table, that is.  Distinct counts are those of `distinct` (idx, distinct), by default estimates of the sketch (within 2 %)."""
+    spark = made.sparkSession
+    headers = headers or columns
+    rows = made.where(F.col("idx") == ROWS).select("filled").first()
+    heads = spark.createDataFrame([(i, h, *score_header(h)) for i, h in enumerate(headers)], "idx int, header string, h_type string, h_score double")
+    live = made.where(F.col("idx") != ROWS)
+    counts = live.select("idx", "filled", F.hll_sketch_estimate("distinct_sketch").alias("distinct"))
+    counts = counts.drop("distinct").join(distinct, "idx", "left") if distinct is not None else counts
+    sample = live.select("idx", F.posexplode("first").alias("at", "cell")).select("idx", "cell.*", (F.col("at") + 1).alias("rn"))
+    joined = heads.join(counts, "idx", "left").join(votes(sample, strict_names), "idx", "left").fillna(0, ["filled", "distinct", "sampled"])
+    return judge(joined, rows[0] if rows else 0)
+
+
 def profile(df: DataFrame, order_col: str, columns: list[str] | None = None, headers: list[str] | None = None, approximate: bool = False, strict_names: bool = False) -> DataFrame:
     """One row per column: index, header, semantic, score, reason, distinct_count, filled_count, samples, suggested_mode, low_cardinality.
 
     order_col orders the rows (the sample is the first 200 filled cells); it is not profiled unless columns names it.  headers are the texts to judge, by default the
-    columns' names.  Distinct counts are exact unless approximate is set; strict_names asks for capitals in names inside texts.  A column without filled cells has counts of 0 and no samples; a table without rows gives its columns all the same."""
-    spark = df.sparkSession
+    columns' names.  Distinct counts are exact, by a second pass, unless approximate is set; strict_names asks for capitals in names inside texts.  A column without filled cells has counts of 0 and no
+    samples; a table without rows gives its columns all the same."""
     columns = columns or [c for c in df.columns if c != order_col]
-    headers = headers or columns
-    rows = df.count()
-    tall = cells(df, columns, order_col)
-    distinct = F.approx_count_distinct("text") if approximate else F.count_distinct("text")
-    counts = tall.groupBy("idx").agg(F.count("*").alias("filled"), distinct.alias("distinct"))
-    sample = tall.withColumn("rn", F.row_number().over(Window.partitionBy("idx").orderBy("row", "text"))).where(F.col("rn") <= SAMPLE_SIZE)
-    scored = [(i, h, *score_header(h)) for i, h in enumerate(headers)]
-    heads = spark.createDataFrame(scored, "idx int, header string, h_type string, h_score double")
-    joined = heads.join(counts, "idx", "left").join(votes(sample, strict_names), "idx", "left").fillna(0, ["filled", "distinct", "sampled"])
-    return judge(joined, rows)
+    made = stash(sketch(df, order_col, columns), "profile")
+    distinct = None
+    if not approximate:
+        value = F.when(F.char_length("text") <= 32, F.col("text")).otherwise(F.concat(F.lit("\x01"), F.md5("text")))
+        distinct = cells(df, columns, order_col).select("idx", value.alias("value")).distinct().groupBy("idx").agg(F.count("*").alias("distinct"))
+    return profile_of(made, columns, headers, strict_names, distinct)
 
 
 def judge(v: DataFrame, rows: int) -> DataFrame:
@@ -108,4 +155,4 @@ def judge(v: DataFrame, rows: int) -> DataFrame:
     )
 
 
-__all__ = ["SAMPLE_SIZE", "cells", "judge", "profile", "votes", "is_currency", "is_date"]
+__all__ = ["SAMPLE_SIZE", "cells", "judge", "merge", "profile", "profile_of", "sketch", "votes", "is_currency", "is_date"]
