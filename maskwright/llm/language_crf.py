@@ -26,6 +26,11 @@ from .common import free_name, parts_of, shipped, texts_of, tidy
 
 TABLE_BITS, LONGEST, BLOCK = 16, 4, 32
 UNKNOWN = "und"
+#: The state of words that are of no language; it sorts after all language codes.
+OTHER = "~other"
+# First letters of alphabets and how many to take of each, and the rows of a keyboard.
+ALPHABETS = {"greek": (0x3B1, 24), "cyrillic": (0x430, 32), "armenian": (0x561, 38), "hebrew": (0x5D0, 27), "arabic": (0x627, 28), "devanagari": (0x905, 50), "thai": (0xE01, 46), "georgian": (0x10D0, 33), "kana": (0x3041, 83), "han": (0x4E00, 5000), "hangul": (0xAC00, 5000)}
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: Texts, and their bytes, that are labelled at once: forward-backward holds some hundred bytes a word.
 TEXTS, TEXT_BYTES = 256, 1 << 19
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~0123456789¡¿«»“”‘’…–—"
@@ -238,11 +243,45 @@ def fit(windows: list[tuple[str, str]], epochs: int = 2, rate: float = 0.25, see
     return model
 
 
+def with_other(windows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str, str]]:
+    """windows, and as many of no language (OTHER) as a language has on average, made of theirs by a fixed rule: their words with shuffled letters, or as long words of hexadecimal digits, of random letters, of one
+    keyboard row, or of an alphabet that none of the languages uses (one letter in a thousand at most)."""
+    if not windows:
+        return []
+    windows = sorted(windows)
+    rng = np.random.default_rng(seed)
+    letters = Counter(ord(c) for _, text in windows for c in text)
+    total = sum(letters.values())
+    foreign = [(first, n) for first, n in ALPHABETS.values() if sum(k for c, k in letters.items() if first <= c < first + n) * 1000 <= total]
+    of = lambda letters, n: "".join(letters[k] for k in rng.integers(0, len(letters), n))
+
+    def other(word: str, kind: int, alphabet: tuple[int, int] | None, row: str) -> str:
+        n = len(word)
+        if kind == 0:
+            return "".join(rng.permutation(list(word)))
+        if kind == 1:
+            return of("0123456789abcdef", n + int(rng.integers(3, 24)))
+        if kind == 2 or (kind == 4 and alphabet is None):
+            return of("abcdefghijklmnopqrstuvwxyz", n)
+        if kind == 3:
+            return of(row, n)
+        return "".join(chr(alphabet[0] + k) for k in rng.integers(0, alphabet[1], max(1, n - 1)))
+
+    out = list(windows)
+    for i in range(len(windows) // max(1, len({lang for lang, _ in windows}))):
+        words = windows[int(rng.integers(len(windows)))][1].split()
+        alphabet = foreign[int(rng.integers(len(foreign)))] if foreign else None
+        row = KEYBOARD[i % len(KEYBOARD)]
+        out.append((OTHER, " ".join(other(w, i % 5, alphabet, row) for w in words)))
+    return out
+
+
 class Labeller:
     """Labels words; remembers the scores of up to `bound` distinct tokens."""
 
     def __init__(self, model: Crf, bound: int = 100_000):
         self.model, self.bound = model, bound
+        self.other = model.langs.index(OTHER) if OTHER in model.langs else None
         self._reset()
 
     def _reset(self) -> None:
@@ -250,8 +289,9 @@ class Labeller:
         self.scores = np.empty((0, len(self.model.langs)), np.float32)
         self.worded = np.empty(0, bool)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """For each text its language, the mean marginal of that language, and the runs of words of one language (first, last, counted over tokens that hold a letter)."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """For each text its language, the mean marginal of that language, the runs of words of one language (first, last, counted over tokens that hold a letter), and what tells that it is of some
+        language: the mean marginals of all languages together, in a model without OTHER that of the best."""
         if len(self.index) > self.bound:
             self._reset()
         tokens = [(t or "").lower().split() for t in texts]
@@ -266,7 +306,7 @@ class Labeller:
         which = [w[self.worded[w]] for w in which]
         lengths = np.array([len(w) for w in which])
         full = np.flatnonzero(lengths)
-        out: list[tuple[str, float, list[tuple[int, int, str]]]] = [(UNKNOWN, 0.0, [])] * len(texts)
+        out: list[tuple[str, float, list[tuple[int, int, str]], float]] = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         if not len(full) or not self.model.langs:
             return out
         post = marginals(self.scores[np.concatenate([which[n] for n in full])].astype(np.float64), lengths[full], self.model.moves)
@@ -277,7 +317,8 @@ class Labeller:
             own = word[lo : lo + lengths[n]]
             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
             runs = [(a, b - 1, self.model.langs[own[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            out[n] = (self.model.langs[best[at]], float(min(1.0, mean[at, best[at]])), runs)
+            score = float(min(1.0, mean[at, best[at]]))
+            out[n] = (self.model.langs[best[at]], score, runs, score if self.other is None else 1 - float(mean[at, self.other]))
         return out
 
 
@@ -304,7 +345,8 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whatever their names, whose language is not `und` and has a score of at least `least`.
+    """The rows of docs, all columns, whatever their names, whose words are of some language: with a share of at least `least` of all languages together (so code-switched texts stay), in a model without
+    OTHER of the best one.
 
     Only the texts go to Python and only a flag comes back.  Null, empty and letterless texts go, repeated rows stay or go together; an empty table gives an empty result."""
     shared = shipped(docs).sparkSession.sparkContext.broadcast(model)
@@ -313,7 +355,7 @@ def keep_identified(docs: DataFrame, model: Crf, least: float, text_col: str = "
         label = Labeller(shared.value)
         for texts in batches:
             found = (f for at, count in parts_of(texts, TEXTS, TEXT_BYTES) for f in label(texts.slice(at, count).to_pylist()))
-            yield pa.array([f[0] != UNKNOWN and f[1] >= least for f in found], pa.bool_())
+            yield pa.array([f[0] != UNKNOWN and f[3] >= least for f in found], pa.bool_())
 
     told = free_name(docs.columns, "told")
     return docs.withColumn(told, F.arrow_udf(tidy(run), "boolean")(F.col(f"`{text_col}`"))).where(F.col(told)).drop(told)

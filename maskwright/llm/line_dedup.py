@@ -203,7 +203,7 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id"
         joined = keyed.join(F.broadcast(maps), same, "left")
     else:
         marked = small.mark(keyed, own["hit"], F.col(own["d"]), F.col(own["p"]))
-        joined = marked.where(F.col(own["hit"])).join(maps.hint("shuffle_hash"), same, "left")  # texts need no sort; a partition's bitmaps are small
+        joined = marked.where(F.col(own["hit"])).join(maps, same, "left")  # a join that can spill: a partition's bitmaps may be many
         joined = joined.unionByName(marked.where(~F.col(own["hit"])), allowMissingColumns=True)
     bitmap = F.col(own["keep_bitmap"])
     cut = F.arrow_udf(tidy(_cut), "string")(F.when(bitmap.isNotNull(), text), bitmap)  # other texts stay in the JVM

@@ -1,10 +1,12 @@
 """The pipeline over a folder of its own documents, every stage against a plain version fed with the stage before."""
 
+import os
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskwright.llm.packing import WordTokens, decompose
@@ -97,3 +99,31 @@ def test_stages_take_long_repeated_and_extra(spark, tmp_path):
         assert ids == sorted([*range(40), 7, 8, 100, -1, -1, 200] + ([] if both else [101])), name
     packed = corpus_pipeline.packing(spark, docs, None)
     assert packed.where("doc_id = 100").agg({"length": "sum"}).first()[0] == packed.where("doc_id = 100").first().doc_tokens > 60_000
+
+
+def test_language_stage_rejects_what_is_no_language(spark):
+    """Other alphabets, hexadecimal, keyboard rows and shuffled letters go; documents of the four languages and texts that switch between them stay."""
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clean = [r.text for r in docs.where("length(text) > 200 and length(text) < 3000").orderBy("doc_id").limit(300).collect()]
+    cyrillic = lambda t: "".join(chr(0x430 + ord(c) % 32) if c.isalpha() else c for c in t)
+    han = lambda t: "".join(chr(0x4E00 + (ord(c) * 7919 + n) % 5000) if c.isalpha() else c for n, c in enumerate(t))
+    shuffled = lambda t: " ".join("".join(rng.sample(w, len(w))) for w in t.split())
+    junk = [f(t) for f in (cyrillic, han, shuffled) for t in clean[:40]]
+    junk += [" ".join(f"{rng.getrandbits(64):x}" for _ in range(30)) for _ in range(40)] + [" ".join("".join(rng.choice("asdfghjkl") for _ in range(7)) for _ in range(30)) for _ in range(40)]
+    switched = [" ".join(" ".join(t.split()[:25]) for t in rng.sample(clean, 3)) for _ in range(40)]
+    rows = [(10**6 + n, t, None, "junk", len(t)) for n, t in enumerate(junk)] + [(2 * 10**6 + n, t, None, "switched", len(t)) for n, t in enumerate(switched)]
+    kept = stage("language")(spark, docs.union(spark.createDataFrame(rows, docs.schema)), None)
+    counts = {r["kind"]: r["count"] for r in kept.groupBy(F.when(F.col("doc_id") < 10**6, "clean").otherwise(F.col("source")).alias("kind")).count().collect()}
+    assert counts.get("junk", 0) <= 0.01 * len(junk) and counts["switched"] == len(switched) and counts["clean"] >= 0.99 * docs.where("text is not null").count()
+
+
+def test_a_run_leaves_only_its_result(spark, folder):
+    from maskwright.session import _run_folder, clear_stashes
+
+    clear_stashes(spark)
+    corpus_pipeline.run(spark, folder)
+    left = os.listdir(_run_folder(spark).removeprefix("file://"))
+    assert [x for x in left if x.startswith("stage-")] == [x for x in left if x.startswith("stage-packing")]
+    clear_stashes(spark)
+    assert not os.path.exists(_run_folder(spark).removeprefix("file://"))
