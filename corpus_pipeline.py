@@ -1,6 +1,7 @@
 """A corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-1. language: documents whose language cannot be told (no letter, or no language with a third of the words' weight) go.
+1. language: documents that are of no language go: those without a letter, and those whose words belong to all languages of the corpus together with a fifth of their weight at most (other alphabets,
+   hexadecimal, shuffled or random letters).  Code-switched texts stay.
 2. lines: lines that ten or more of the remaining documents share go from all of them.
 3. near_dedup: of every group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays.
 4. secrets: secrets in the remaining texts are replaced by [SECRET]; no document goes.
@@ -11,22 +12,20 @@ Stages 1 to 4 return the columns of documents, whatever others come in; n_chars
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import language_crf
-from maskwright.llm.common import KeyFilter, is_held_out, shared_folder, stash
+from maskwright.llm.common import KeyFilter, discard, is_held_out, stash
 from maskwright.llm.line_dedup import drop_frequent_lines
 from maskwright.llm.minhash_dedup import near_duplicates
 from maskwright.llm.packing import pack
 from maskwright.llm.queries import LANGUAGE_SAMPLE
 from maskwright.llm.secret_scan import redact
 
-#: A text whose words are shared out over many languages is not told; code-switched texts of two or three languages stay.
-LEAST_SCORE = 0.34
+#: Share of a text's words that is of the corpus's languages at least.  Clean texts of a few words have 0.2 and more, texts of other alphabets or shuffled letters less than 0.15.
+LEAST_SCORE = 0.2
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,8 +34,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fits the model on a bounded sample of docs and keeps the documents whose language is told; a null id is judged by its text too."""
-    model = language_crf.fit(language_crf.training_windows(docs.where(~is_held_out()), LANGUAGE_SAMPLE))
+    """Fits the model, with a state for words of no language, on a bounded sample of docs and keeps the documents that are of some language; a null id is judged by its text too."""
+    model = language_crf.fit(language_crf.with_other(language_crf.training_windows(docs.where(~is_held_out()), LANGUAGE_SAMPLE)))
     return language_crf.keep_identified(docs, model, LEAST_SCORE).select(*COLUMNS)
 
 
@@ -52,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, size=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     gone = stash(found.where("not kept").select(F.col("doc_id").alias("gone")), "gone")
     marked = KeyFilter(gone, "gone").mark(docs.select(*COLUMNS), "hit", F.col("doc_id"))
-    rest = marked.where("hit").join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    rest = marked.where("hit").join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     return marked.where("not hit").union(rest).select(*COLUMNS)
 
 
@@ -74,10 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over sf_dir's documents; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over sf_dir's documents; each stage's result is a table in the application's part of the shared folder, which goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = f"{shared_folder(spark)}/maskwright/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
+        before = docs
     return docs
