@@ -28,6 +28,8 @@ TABLE_BITS, LONGEST, BLOCK = 16, 4, 32
 UNKNOWN = "und"
 #: The state of words that are of no language; it sorts after all language codes.
 OTHER = "~other"
+#: Words from which on a text's share is taken at its word.
+FEW_WORDS = 10
 # First letters of alphabets and how many to take of each, and the rows of a keyboard.
 ALPHABETS = {"greek": (0x3B1, 24), "cyrillic": (0x430, 32), "armenian": (0x561, 38), "hebrew": (0x5D0, 27), "arabic": (0x627, 28), "devanagari": (0x905, 50), "thai": (0xE01, 46), "georgian": (0x10D0, 33), "kana": (0x3041, 83), "han": (0x4E00, 5000), "hangul": (0xAC00, 5000)}
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -271,8 +273,9 @@ def with_other(windows: list[tuple[str, str]], seed: int = 17) -> list[tuple[str
     for i in range(len(windows) // max(1, len({lang for lang, _ in windows}))):
         words = windows[int(rng.integers(len(windows)))][1].split()
         alphabet = foreign[int(rng.integers(len(foreign)))] if foreign else None
-        row = KEYBOARD[i % len(KEYBOARD)]
-        out.append((OTHER, " ".join(other(w, i % 5, alphabet, row) for w in words)))
+        row = KEYBOARD[int(rng.integers(len(KEYBOARD)))]
+        kind = 0 if i % 2 else 1 + i // 2 % 4  # shuffled letters are the hardest to tell
+        out.append((OTHER, " ".join(other(w, kind, alphabet, row) for w in words)))
     return out
 
 
@@ -346,7 +349,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
 def keep_identified(docs: DataFrame, model: Crf, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whatever their names, whose words are of some language: with a share of at least `least` of all languages together (so code-switched texts stay), in a model without
-    OTHER of the best one.
+    OTHER of the best one.  Of texts with fewer than FEW_WORDS words a part of that is enough, as a few words tell less.
 
     Only the texts go to Python and only a flag comes back.  Null, empty and letterless texts go, repeated rows stay or go together; an empty table gives an empty result."""
     shared = shipped(docs).sparkSession.sparkContext.broadcast(model)
@@ -355,7 +358,7 @@ def keep_identified(docs: DataFrame, model: Crf, least: float, text_col: str = "
         label = Labeller(shared.value)
         for texts in batches:
             found = (f for at, count in parts_of(texts, TEXTS, TEXT_BYTES) for f in label(texts.slice(at, count).to_pylist()))
-            yield pa.array([f[0] != UNKNOWN and f[3] >= least for f in found], pa.bool_())
+            yield pa.array([f[0] != UNKNOWN and f[3] >= least * min(1, (f[2][-1][1] + 1) / FEW_WORDS) for f in found], pa.bool_())
 
     told = free_name(docs.columns, "told")
     return docs.withColumn(told, F.arrow_udf(tidy(run), "boolean")(F.col(f"`{text_col}`"))).where(F.col(told)).drop(told)
