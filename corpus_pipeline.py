@@ -1,6 +1,6 @@
 """A corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
 
-1. language: documents that are of no language go: those without a letter, and those whose words belong to all languages of the corpus together with a fifth of their weight at most (other alphabets,
+1. language: documents that are of no language go: those without a letter, and those whose words belong to all languages of the corpus together with less than three tenths of their weight (other alphabets,
    hexadecimal, shuffled or random letters).  Code-switched texts stay.
 2. lines: lines that ten or more of the remaining documents share go from all of them.
 3. near_dedup: of every group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays.
@@ -24,8 +24,8 @@ from maskwright.llm.packing import pack
 from maskwright.llm.queries import LANGUAGE_SAMPLE
 from maskwright.llm.secret_scan import redact
 
-#: Share of a text's words that is of the corpus's languages at least.  Clean texts of a few words have 0.2 and more, texts of other alphabets or shuffled letters less than 0.15.
-LEAST_SCORE = 0.2
+#: Share of a text's words that is of the corpus's languages at least.  Clean texts of ten words and more have 0.37 and more, most texts of other alphabets, random or shuffled letters less than 0.2.
+LEAST_SCORE = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
