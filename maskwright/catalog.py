@@ -13,6 +13,7 @@ from . import sqltwins as q
 from .functions import cells, masks, validators
 from .functions.fake import draws, fake, fake_currency, fnv_seed
 from .functions.sql import register_sql, sql_predicate
+from .operators.alias_dictionary import AliasDictionary
 from .operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
 from .operators.profile import merge, profile, profile_of, sketch
 from .operators.pseudonym import alias_table, consistent_fake, digest
@@ -23,7 +24,7 @@ from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_ban
 from .session import run_path, stash
 from .sources.xlsx import read_xlsx, sheet_rows, summarise
 from .sources.xlsx_sink import as_sheet, header_sheet, write_book
-from .streaming.redact_stream import redact_stream
+from .streaming.redact_stream import alias_writer, redact_stream
 
 SALT = "fixed-salt"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +119,24 @@ def _alias(s: SparkSession, d: str) -> DataFrame:
 _ALIAS = "SELECT o_custkey, 'CUST_' || lpad(CAST(row_number() OVER (ORDER BY f) AS VARCHAR), CAST(greatest(4, length(CAST(count(*) OVER () AS VARCHAR))) AS INTEGER), '0') AS alias FROM (SELECT o_custkey, min(o_orderkey) AS f FROM orders GROUP BY 1)"
 add("alias_sequential", _alias, f"SELECT o_orderkey, alias AS o_custkey FROM orders JOIN ({_ALIAS}) USING (o_custkey)")
 add("alias_table", lambda s, d: alias_table(table(s, d, "orders"), F.col("o_custkey").cast("string"), "o_orderkey", "CUST"), f"SELECT CAST(o_custkey AS VARCHAR) AS key, alias FROM ({_ALIAS})")
+
+
+#: Orders of the first run, and the aliases after a second run over all orders: customers of the first run keep theirs.
+EARLIER = "o_orderdate < TIMESTAMP '1995-07-01 00:00:00'"
+_RUNS = f"SELECT o_custkey, min(CASE WHEN {EARLIER} THEN o_orderkey END) AS f1, min(o_orderkey) AS f2 FROM orders GROUP BY 1"
+_NUMBERED = f"SELECT o_custkey, f1, row_number() OVER (ORDER BY CASE WHEN f1 IS NULL THEN 1 ELSE 0 END, coalesce(f1, f2)) AS n FROM ({_RUNS})"
+_KEPT = f"SELECT o_custkey, f1, 'CUST_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS alias FROM ({_NUMBERED})"
+
+
+def _kept_aliases(s: SparkSession, d: str) -> DataFrame:
+    """Every customer's alias after a run over the earlier orders (null if they were not among them) and after one over all orders."""
+    known, key = AliasDictionary(run_path(s, "aliases"), "CUST"), F.col("o_custkey").cast("string")
+    t = table(s, d, "orders")
+    before = known.extend(t.where(EARLIER), key, "o_orderkey").withColumnRenamed("alias", "before")
+    return known.extend(t, key, "o_orderkey").join(before, "key", "left")
+
+
+add("alias_dictionary", _kept_aliases, f"SELECT CAST(o_custkey AS VARCHAR) AS key, alias, CASE WHEN f1 IS NOT NULL THEN alias END AS before FROM ({_KEPT})")
 add(
     "hash_collisions",
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("v")).distinct().groupBy(digest(F.col("v"), SALT, 4).alias("h")).agg(F.count("*").alias("n")).where("n > 1"),
@@ -133,6 +152,16 @@ add(
 )
 for _kind, _locale in [("name", "id"), ("name", "en"), ("address", "id"), ("address", "en"), ("phone", "id"), ("phone", "en"), ("email", "id"), ("email", "en"), ("nik", "id"), ("npwp", "id"), ("card", "id"), ("date", "id")]:
     add(f"fake_{_kind}_{_locale}", lambda s, d, k=_kind, loc=_locale: table(s, d, "customer").select("c_custkey", consistent_fake(F.col("c_name"), k, loc, SALT).alias("out")), _fake_sql("customer", "c_custkey", _kind, _locale, "c_name"))
+
+
+
+def _drawn_once(s: SparkSession, d: str) -> DataFrame:
+    """Names for the suppliers of all line items, drawn once for each supplier."""
+    t = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Supplier "), "l_suppkey").alias("out"))
+    return redact(t, _plan(out=("fake", "name", {}))(t), SALT, draw_once=True)
+
+
+add("fake_name_drawn_once", _drawn_once, _fake_sql("lineitem", "l_orderkey, l_linenumber", "name", "id", "'Supplier ' || CAST(l_suppkey AS VARCHAR)"))
 add(
     "fake_currency_magnitude",
     lambda s, d: table(s, d, "customer").select("c_custkey", fake_currency(fnv_seed(digest(F.col("c_name"), SALT)), F.col("c_acctbal")).alias("out"), fake("currency", "id", fnv_seed(digest(F.col("c_name"), SALT))).alias("plain")),
@@ -487,3 +516,18 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("stream_redact", _stream, f"SELECT c_custkey, {q.digest('c_name', SALT)} AS c_name, c_nationkey, c_acctbal, {q.generic('c_mktsegment')} AS c_mktsegment FROM customer")
+
+
+def _alias_stream(s: SparkSession, d: str) -> DataFrame:
+    """orders as a stream that stops after the earlier orders and is started again from its checkpoint for the later ones."""
+    t, base = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), run_path(s, "stream")
+    plan = _plan(o_custkey=("hash", "unknown", {"hash_style": "sequential"}))(t)
+    known = {"o_custkey": AliasDictionary(f"{base}/aliases", "CUST")}
+    for arrived in (EARLIER, f"NOT ({EARLIER})"):
+        t.where(arrived).write.mode("append").parquet(f"{base}/in")
+        writer = alias_writer(s.readStream.schema(t.schema).parquet(f"{base}/in"), plan, SALT, f"{base}/out", "o_orderkey", known)
+        writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out").select("o_orderkey", "o_custkey")
+
+
+add("stream_aliases", _alias_stream, f"SELECT o_orderkey, alias AS o_custkey FROM orders JOIN ({_KEPT}) USING (o_custkey)")

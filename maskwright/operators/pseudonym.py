@@ -55,11 +55,15 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank", rows_each: int =
     return out
 
 
+def first_seen(df: DataFrame, key: Column, order_col: str) -> DataFrame:
+    """(key, first): the distinct keys that are neither null nor empty, with their least place in order_col."""
+    return df.select(key.alias("key"), F.col(order_col).alias("at")).where("key is not null and key <> ''").groupBy("key").agg(F.min("at").alias("first"))
+
+
 def alias_table(df: DataFrame, key: Column, order_col: str, prefix: str = "ID") -> DataFrame:
     """(key, alias): PREFIX_0001, PREFIX_0002, ... by first appearance in order_col; the number has as many digits as the largest one needs, four at least.
 
     Null and empty keys have no alias.  Keys that first appear at one place of the order follow each other by value."""
-    firsts = df.select(key.alias("key"), F.col(order_col).alias("at")).where("key is not null and key <> ''").groupBy("key").agg(F.min("at").alias("first"))
-    ranked = global_rank(firsts, "first", "key")
+    ranked = global_rank(first_seen(df, key, order_col), "first", "key")
     width = max(4, len(str(ranked.count())))
     return ranked.select("key", F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("rank").cast("string"), width, "0")).alias("alias"))

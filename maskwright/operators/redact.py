@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.session import free_name, stash
+from maskwright.session import discard, free_name, stash
 
 from ..functions.cells import display_of, is_empty, is_number, text_of
 from ..functions.fake import break_luhn
 from ..functions.masks import apply_partial
 from ..plans.plan import PREVIEW_ROWS, ColumnPlan, RedactionPlan
 from ..plans.registry import OWN_MODES
+from .alias_dictionary import AliasDictionary
 from .pseudonym import alias_table, consistent_fake, digest, fresh_fake, random_salt
 
+#: Rows for each distinct value from which values are drawn once each, and bytes of such a table at most: it is broadcast.
+REPEATS, DRAWN_BYTES = 20, 64 << 20
+
 
 def redact_column(col: Column, dtype: T.DataType, plan: ColumnPlan, salt: str) -> Column:
     """The redacted cell; null and empty cells pass through.  Sequential aliases are not cell-wise, see redact()."""
@@ -48,39 +52,77 @@ def changed(before: Column, after: Column, dtype: T.DataType) -> Column:
     return ~is_empty(before, dtype) & differs
 
 
-def redact(df: DataFrame, plan: RedactionPlan, salt: str | None = None, order_col: str | None = None, counts: Observation | None = None) -> DataFrame:
+def redact(
+    df: DataFrame, plan: RedactionPlan, salt: str | None = None, order_col: str | None = None, counts: Observation | None = None,
+    dictionaries: dict[str, AliasDictionary] | None = None, draw_once: bool = False,
+) -> DataFrame:
     """df with the plan's columns redacted and the others as they are.
 
     plan[i].index is the column's position in df.  One salt serves the whole run, so equal values get equal hashes in all columns;
     order_col gives the row order that sequential aliases need.  counts, if given, observes the changed cells by column position
-    (`c0`, `c1`, ...) while the result is being written.  Columns may have any names."""
-    after, joined = _redacted(df, plan, salt or random_salt(), order_col)
+    (`c0`, `c1`, ...) while the result is being written.  Columns may have any names.
+
+    dictionaries names columns whose sequential aliases are those of a kept dictionary, which this call extends.  draw_once looks at df once more, for how often values repeat: consistent
+    synthetic values of columns that repeat theirs 20 times and more are then drawn for distinct values and joined by a broadcast, if the table of them has 64 MB at most."""
+    after, joined = _redacted(df, plan, salt or random_salt(), order_col, dictionaries or {}, draw_once)
     names, types = df.columns, [f.dataType for f in df.schema.fields]
     if counts is not None and after:
         joined = joined.observe(counts, *[F.count_if(changed(F.col(f"`{names[i]}`"), F.col(r), types[i])).alias(f"c{i}") for i, r in after.items()])
     return joined.select(*[(F.col(after[i]) if i in after else F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)])
 
 
-def _redacted(df: DataFrame, plan: RedactionPlan, salt: str, order_col: str | None) -> tuple[dict[int, str], DataFrame]:
+def _redacted(df: DataFrame, plan: RedactionPlan, salt: str, order_col: str | None, dictionaries: dict[str, AliasDictionary] | None = None, draw_once: bool = False) -> tuple[dict[int, str], DataFrame]:
     """Column positions -> names of their redacted columns, which stand beside the ones of df under names that are free there."""
     names, types = df.columns, [f.dataType for f in df.schema.fields]
     active = {p.index: p for p in plan if p.mode}
     after: dict[int, str] = {}
     for i in active:
         after[i] = free_name([*names, *after.values()], f"r{i}")
-    out = df.select("*", *[redact_column(df[f"`{names[i]}`"], types[i], p, salt).alias(after[i]) for i, p in active.items() if not _is_alias(p)])
+    drawn = drawn_tables(df, plan, salt) if draw_once else {}
+    out = df.select("*", *[redact_column(df[f"`{names[i]}`"], types[i], p, salt).alias(after[i]) for i, p in active.items() if not _is_alias(p) and i not in drawn])
     for i, p in active.items():
-        if _is_alias(p):
+        here, text = F.col(f"`{names[i]}`"), text_of(F.col(f"`{names[i]}`"), types[i])
+        if i in drawn:
+            found, missing = F.broadcast(drawn[i]), F.lit(None)
+        elif _is_alias(p):
             if order_col is None:
                 raise ValueError("sequential aliases go by first appearance: name the column that orders the rows")
-            of = free_name([*out.columns, *after.values()], "key")
-            here, key = F.col(f"`{names[i]}`"), text_of(F.col(f"`{names[i]}`"), types[i])
-            aliases = alias_table(df, key, order_col, p.options.alias_prefix or "ID").select(F.col("key").alias(of), F.col("alias").alias(after[i]))
-            out = out.join(aliases, key == F.col(of), "left").drop(of)
-            out = out.withColumn(after[i], F.when(is_empty(here, types[i]), here.cast("string")).otherwise(F.coalesce(after[i], F.lit(""))))
+            kept = (dictionaries or {}).get(names[i])
+            found = kept.extend(df, text, order_col) if kept else alias_table(df, text, order_col, p.options.alias_prefix or "ID")
+            missing = F.lit("")
+        else:
+            continue
+        of = free_name([*out.columns, *after.values()], "key")
+        out = out.join(found.toDF(of, after[i]), text == F.col(of), "left").drop(of)
+        out = out.withColumn(after[i], F.when(is_empty(here, types[i]), here.cast("string")).otherwise(F.coalesce(after[i], missing)))
     return after, out
 
 
+def drawn_tables(df: DataFrame, plan: RedactionPlan, salt: str) -> dict[int, DataFrame]:
+    """Column positions -> (text, synthetic value) for the columns where one draw for each distinct value is cheaper than one for each cell.
+
+    One pass sketches how many values and bytes they are; the tables that are then written are measured again before they count as small enough to broadcast.  Amounts that keep their
+    magnitude and fresh values are always drawn cell by cell.  They stay until clear_stashes(), as the lazy result reads them."""
+    names, types = df.columns, [f.dataType for f in df.schema.fields]
+    plans = {p.index: p for p in plan if p.mode == "fake" and p.options.consistent and not p.options.keep_magnitude}
+    if not plans:
+        return {}
+    texts = {i: text_of(F.col(f"`{names[i]}`"), types[i]) for i in plans}
+    sketched = [x for i, t in texts.items() for x in (F.count(t).alias(f"n{i}"), F.approx_count_distinct(t).alias(f"d{i}"), F.avg(F.octet_length(t)).alias(f"b{i}"))]
+    seen = df.agg(*sketched).first()
+    tables = {}
+    for i, p in plans.items():
+        if not seen[f"n{i}"] or seen[f"d{i}"] * REPEATS > seen[f"n{i}"] or seen[f"d{i}"] * (seen[f"b{i}"] + 64) > DRAWN_BYTES:
+            continue
+        keys = df.select(texts[i].alias("key")).where("key is not null").distinct()
+        table = stash(keys.select("key", redact_column(F.col("key"), T.StringType(), p, salt).alias("drawn")), "drawn")
+        if table.agg(F.sum(F.octet_length("key") + F.octet_length("drawn") + 32)).first()[0] <= DRAWN_BYTES:
+            tables[i] = table
+        else:
+            discard(table)
+    return tables
+
+
 def _is_alias(p: ColumnPlan) -> bool:
     return p.mode == "hash" and p.options.hash_style == "sequential"
 
@@ -115,12 +157,12 @@ class SheetResult:
     columns: list[dict]
 
 
-def write_redacted(df: DataFrame, plan: RedactionPlan, path: str, name: str, fmt: str = "parquet", salt: str | None = None, order_col: str | None = None) -> SheetResult:
+def write_redacted(df: DataFrame, plan: RedactionPlan, path: str, name: str, fmt: str = "parquet", salt: str | None = None, order_col: str | None = None, dictionaries: dict[str, AliasDictionary] | None = None, draw_once: bool = False) -> SheetResult:
     """Writes df, redacted, as Parquet or CSV (with a header) into the folder `path`, by the executors, and counts its rows and changed cells in the same pass."""
     if fmt not in ("parquet", "csv"):
         raise ValueError("tables are written as parquet or csv")
     seen, rows = Observation(), Observation()
-    out = (redact(df, plan, salt, order_col, seen) if plan.active else df).observe(rows, F.count("*").alias("n"))
+    out = (redact(df, plan, salt, order_col, seen, dictionaries, draw_once) if plan.active else df).observe(rows, F.count("*").alias("n"))
     out.write.mode("errorifexists").options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
     columns = [{"header": p.header, "mode": p.mode, "semantic": p.semantic, "cellsChanged": seen.get[f"c{p.index}"]} for p in plan.active]
     return SheetResult(name, "redacted" if plan.active else "passed-through", rows.get["n"], columns)

@@ -12,17 +12,18 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from maskwright.engine import WorkbookSession
+from maskwright.operators.alias_dictionary import AliasDictionary
 from maskwright.operators.header_row import SHEET, detect_header_row, header_scores, headers_of, to_table
 from maskwright.operators.profile import merge, profile, profile_of, sketch
 from maskwright.operators.pseudonym import alias_table, digest, random_salt
 from maskwright.functions.sql import register_sql, sql_predicate
-from maskwright.operators.redact import audit_report, audit_summary, change_counts, preview, redact, write_parts, write_redacted
+from maskwright.operators.redact import audit_report, audit_summary, change_counts, drawn_tables, preview, redact, write_parts, write_redacted
 from maskwright.plans import registry
 from maskwright.plans.lexicon import column_label, normalise_header, score_header
 from maskwright.plans.plan import ColumnPlan, RedactionPlan, RedactOptions, SheetJob, build_jobs, confidence_band, default_sheets, is_low_cardinality, opening_step
 from maskwright.sources.xlsx import Book, accepts, build_workbook, csv_bytes, file_hashes, output_names, read_workbook, read_xlsx, register, safe_sheet_names, serial_date, sheet_rows
 from maskwright.sources.xlsx_sink import parts_of
-from maskwright.streaming.redact_stream import change_counts_by_window, redact_stream
+from maskwright.streaming.redact_stream import alias_writer, change_counts_by_window, redact_stream
 
 
 def plan_of(df, **modes):
@@ -429,3 +430,92 @@ def test_sketches_are_one_scan_and_merge(spark, tmp_path):
     assert all(abs(a.distinct_count - b.distinct_count) <= 0.02 * b.distinct_count for a, b in zip(got, whole, strict=True))
     assert [r.distinct_count for r in whole] == [300, 5, 1, 0] and [r.filled_count for r in whole] == [2571, 3000, 1500, 0]
     assert [r.asDict() for r in profile(t.where("id < 0"), "id").orderBy("index").collect()][0]["filled_count"] == 0
+
+def aliased(df):
+    return plan_of(df, v=("hash", "unknown", {"hash_style": "sequential"}))
+
+
+def test_kept_aliases_never_change(spark, tmp_path):
+    known = AliasDictionary(str(tmp_path / "aliases"), "USER")
+    assert known.aliases(spark).count() == 0
+    frame = lambda *rows: spark.createDataFrame(rows, "row int, v string")
+    first = frame((3, "b"), (1, "a"), (2, "b"), (4, None), (5, ""))
+    assert {r.key: r.alias for r in known.extend(first, F.col("v"), "row").collect()} == {"a": "USER_0001", "b": "USER_0002"}
+    files = sorted(os.listdir(tmp_path / "aliases"))
+    known.extend(first, F.col("v"), "row")
+    assert sorted(os.listdir(tmp_path / "aliases")) == files  # nothing new, nothing written
+    # d and c come at one place, before the known ones
+    later = frame((0, "d"), (0, "c"), (1, "b"), (9, "a"), (10, "e"))
+    out = redact(later, aliased(later), "s", "row", dictionaries={"v": known})
+    assert {(r.row, r.v) for r in out.collect()} == {(0, "USER_0003"), (0, "USER_0004"), (1, "USER_0002"), (9, "USER_0001"), (10, "USER_0005")}
+    assert {r.key: r.alias for r in known.aliases(spark).collect()} == {"a": "USER_0001", "b": "USER_0002", "c": "USER_0003", "d": "USER_0004", "e": "USER_0005"}
+    # numbers beyond the digits get longer, the others stay
+    short = AliasDictionary(str(tmp_path / "short"), "N", digits=1)
+    got = {r.key: r.alias for r in short.extend(spark.range(12).select("id", F.col("id").cast("string").alias("v")), F.col("v"), "id").collect()}
+    assert got["0"] == "N_1" and got["11"] == "N_12" and len(set(got.values())) == 12
+    # a run that died while it added keys: what is there stays, the rest follows the largest number
+    torn = AliasDictionary(str(tmp_path / "torn"))
+    spark.createDataFrame([("a", 1), ("c", 3)], "key string, number long").write.parquet(torn.path)
+    abc = frame((1, "a"), (2, "b"), (3, "c"))
+    assert {r.key: r.alias for r in torn.extend(abc, F.col("v"), "row").collect()} == {"a": "ID_0001", "b": "ID_0004", "c": "ID_0003"}
+
+
+def test_write_with_kept_aliases(spark, tmp_path):
+    known = {"v": AliasDictionary(str(tmp_path / "aliases"))}
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "")], "row int, v string")
+    for run in ("one", "two"):
+        done = write_redacted(rows, aliased(rows), str(tmp_path / run), "t", order_col="row", dictionaries=known)
+        assert done.columns[0]["cellsChanged"] == 3
+        assert [r.v for r in spark.read.parquet(str(tmp_path / run)).orderBy("row").collect()] == ["ID_0001", "ID_0002", "ID_0001", ""]
+
+
+def test_stream_aliases_are_the_same_on_replay(spark, tmp_path):
+    base, known = str(tmp_path), AliasDictionary(str(tmp_path / "aliases"))
+    arrive = lambda *rows: spark.createDataFrame(rows, "row int, v string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arrive((5, "b"), (6, "a"), (7, "b"), (8, None))
+    stream = spark.readStream.schema("row int, v string").parquet(f"{base}/in")
+    plan = aliased(stream)
+    with pytest.raises(ValueError, match="need a dictionary for v"):
+        alias_writer(stream, plan, "s", f"{base}/out", "row", {})
+
+    def run():
+        writer = alias_writer(stream, plan, "s", f"{base}/out", "row", {"v": known})
+        writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.batch, r.row, r.v or "") for r in spark.read.parquet(f"{base}/out").collect())
+
+    first = [(0, 5, "ID_0001"), (0, 6, "ID_0002"), (0, 7, "ID_0001"), (0, 8, "")]
+    assert run() == first
+    arrive((1, "a"), (2, "c"))  # late rows: a known key, and a new one
+    both = [*first, (1, 1, "ID_0002"), (1, 2, "ID_0003")]
+    assert run() == both
+    # the last batch was not yet committed when the stream died: it is run again
+    for name in ("1", ".1.crc"):
+        os.remove(f"{base}/state/commits/{name}")
+    assert run() == both and known.aliases(spark).count() == 3
+
+
+def test_values_that_repeat_are_drawn_once(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("n"), F.col("id") % 30).alias("name"), F.concat(F.lit("m"), "id").alias("mail"), F.when(F.col("id") % 3 > 0, F.col("id") % 5 * 1.5).alias("pay"), F.lit(None).cast("string").alias("none"), F.when(F.col("id") % 2 == 0, "").otherwise("4").alias("card"))
+    plan = plan_of(
+        df, name=("fake", "name", {}), mail=("fake", "email", {}), pay=("fake", "currency", {}), none=("fake", "name", {}), card=("fake", "card", {"force_invalid_luhn": True})
+    )
+    assert set(drawn_tables(df, plan, "s")) == {1, 3, 5}
+    seen = Observation()
+    once, each = redact(df, plan, "s", counts=seen, draw_once=True), redact(df, plan, "s")
+    assert once.columns == df.columns and sorted(map(str, once.collect())) == sorted(map(str, each.collect()))
+    assert seen.get == {"c1": 3000, "c2": 3000, "c3": 2000, "c4": 0, "c5": 1500}
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (once, each)]
+    assert plans[0].count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plans[0] and "Join" not in plans[1]
+    kept = plan_of(df, pay=("fake", "currency", {"keep_magnitude": True}), name=("fake", "name", {"consistent": False}))
+    assert drawn_tables(df, kept, "s") == {} and drawn_tables(df.limit(0), plan, "s") == {}
+
+
+def test_large_tables_of_draws_are_not_broadcast(spark, monkeypatch):
+    import maskwright.operators.redact as m
+
+    df = spark.range(2000).select(F.concat(F.lit("n"), F.col("id") % 50).alias("name"))
+    plan = plan_of(df, name=("fake", "name", {}))
+    assert set(drawn_tables(df, plan, "s")) == {0}
+    monkeypatch.setattr(m, "DRAWN_BYTES", 1000)
+    assert drawn_tables(df, plan, "s") == {}
+    assert sorted(map(str, redact(df, plan, "s", draw_once=True).collect())) == sorted(map(str, redact(df, plan, "s").collect()))
