@@ -1,7 +1,7 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-Senders (chunks of the input) sort the fingerprints of their rows, cut them by owner and send each owner one Golomb-Rice coded
-stream.  Owners decode the streams, find fingerprints that came more than once and return two bitmaps per stream: which of its values
+Senders (partitions of the input) sort the fingerprints of their rows, which Spark does and spills, cut them by owner and send each owner one Golomb-Rice coded
+stream; the more owners there are, the more rows a sender takes, so that streams don't get shorter as the input grows.  Owners decode the streams, find fingerprints that came more than once and return two bitmaps per stream: which of its values
 another stream holds too, and which are so frequent that their copies fill many tasks.  Senders decode their own streams again by these
 bitmaps, which gives the suspect fingerprints.
 
@@ -10,8 +10,8 @@ false hits) are shuffled, to be compared byte by byte.  Copies collapse to one r
 out over SALTS reducers first, so no task gets all copies of a text.
 
 A fingerprint has log2(rows) + 16 bits, so about one row in 65,536 is a false suspect; a text decides in
-the end, never a fingerprint.  Equal fingerprints of one chunk are sent once: a key that holds a third of all
-rows reaches its owner once per chunk.
+the end, never a fingerprint.  Equal fingerprints of one sender are sent once: a key that holds a third of all
+rows reaches its owner once per sender.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, KeyFilter, discard, shipped, stash, tidy, width_for
+from .common import ASCII_SPACE, KeyFilter, discard, shipped, shuffle_width, stash, tidy
 
-CHUNK_ROWS = 65_536
-OWNER_ROWS = 1_000_000
+#: Rows of an owner, which holds their fingerprints at once (about 200 MB), and rows of a stream where there are many rows.
+OWNER_ROWS, STREAM_ROWS = 4_000_000, 4_096
 #: Streams that hold a fingerprint of which the copies are dealt out, and the reducers they are dealt to first.
 FREQUENT, SALTS = 32, 16
 
@@ -68,33 +68,44 @@ def _bits(flags: np.ndarray) -> bytes:
 STREAMS = "chunk long, owner long, code binary, again binary"
 
 
+def exchange_width(rows: int, width: int) -> tuple[int, int]:
+    """(owners, senders at most) for so many rows in a session of so many shuffle partitions.
+
+    Owners get about OWNER_ROWS rows each.  Senders are no more than give each stream STREAM_ROWS rows, the session's width at least.  So streams are linear in the rows: at most rows / STREAM_ROWS,
+    or the width's square where that is more, for widths up to OWNER_ROWS / STREAM_ROWS; their heads stay small beside their codes."""
+    owners = max(width, -(-rows // OWNER_ROWS))
+    return owners, max(width, rows // (owners * STREAM_ROWS))
+
+
 def _sender(bits: int, owners: int):
-    """(head) -> per chunk and owner: the code of its distinct fingerprints, and a bitmap of those that the chunk itself repeats."""
+    """(print) in ascending order -> per owner: the code of the task's distinct fingerprints, and a bitmap of those that the task itself repeats.
+
+    Holds one stream at a time, of at most about OWNER_ROWS distinct fingerprints and a batch; longer ones go as several, whose chunks have numbers of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, waiting = TaskContext.get().partitionId(), 0, 0
-        held: list[np.ndarray] = []
+        part, number, current, waiting = TaskContext.get().partitionId(), 0, None, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, waiting
-            values, count = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
-            owner = ((values >> np.uint64(bits - 24)) * np.uint64(owners)) >> np.uint64(24)
-            out: dict[str, list] = {"chunk": [], "owner": [], "code": [], "again": []}
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(values)], strict=True):
-                for column, value in zip(out.values(), ((part << 24) + number, int(owner[lo]), golomb_encode(values[lo:hi]), _bits(count[lo:hi] > 1)), strict=True):
-                    column.append(value)
+            values, at = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([c for _, c in held]))
+            row = {"chunk": [(part << 24) + number], "owner": [current], "code": [golomb_encode(values)], "again": [_bits(count > 1)]}
             number, waiting = number + 1, 0
             held.clear()
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("code", pa.binary()), ("again", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("chunk", pa.int64()), ("owner", pa.int64()), ("code", pa.binary()), ("again", pa.binary())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                held.append(batch.column(0).slice(at, CHUNK_ROWS).to_numpy(zero_copy_only=False).view(np.uint64))
-                waiting += len(held[-1])
-                if waiting >= CHUNK_ROWS:
-                    yield flush()
-        if waiting:
+            values, count = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
+            owner = (((values >> np.uint64(bits - 24)) * np.uint64(owners)) >> np.uint64(24)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(values)], strict=True):
+                if hi > lo:
+                    if held and (owner[lo] != current or waiting >= OWNER_ROWS):
+                        yield flush()
+                    current, waiting = int(owner[lo]), waiting + hi - lo
+                    held.append((values[lo:hi], count[lo:hi]))
+        if held:
             yield flush()
 
     return tidy(run)
@@ -121,9 +132,9 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values[found].view(np.int64)), pa.array(often[found])], names=["print", "often"])
 
 
-def suspect_prints(rows: DataFrame, bits: int, owners: int) -> DataFrame:
-    """(print, often): the fingerprints that occur more than once among the 64-bit hashes `head` of rows."""
-    sent = stash(rows.select("head").mapInArrow(_sender(bits, owners), STREAMS), "streams")
+def suspect_prints(prints: DataFrame, bits: int, owners: int, senders: int) -> DataFrame:
+    """(print, often): the fingerprints of so many bits that occur more than once in the column `print`."""
+    sent = stash(prints.coalesce(senders).sortWithinPartitions("print").mapInArrow(_sender(bits, owners), STREAMS), "streams")
     back = sent.select("chunk", "owner", "code").groupBy("owner").applyInArrow(_owner, "chunk long, owner long, twice binary, often binary")
     marked = sent.join(back, ["chunk", "owner"]).select("code", "again", "twice", "often").mapInArrow(_suspects, "print long, often boolean")
     out = stash(marked.groupBy("print").agg(F.max("often").alias("often")), "suspects")
@@ -142,9 +153,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm, points = F.translate("text", ASCII_SPACE, ""), F.char_length("text").alias("points")
     rows = stash(docs.select("doc_id", F.xxhash64(norm).alias("head"), F.unhex(F.sha2(norm, 256)).alias("digest"), points), "digests")
     total = rows.count()
-    bits = min(64, max(24, ceil(log2(total + 2)) + 16))
-    suspects = suspect_prints(rows, bits, width_for(spark, total, OWNER_ROWS))
+    bits = min(63, max(24, ceil(log2(total + 2)) + 16))  # 63 at most: their order is that of signed numbers too
     mark = F.call_function("shiftrightunsigned", F.col("head"), F.lit(64 - bits))
+    suspects = suspect_prints(rows.select(mark.alias("print")), bits, *exchange_width(total, shuffle_width(spark)))
     is_suspect, is_frequent = KeyFilter(suspects, "print"), KeyFilter(suspects.where("often"), "print")
 
     # byte verification: suspects group by the normalised bytes themselves, copies collapse before the shuffle

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from maskwright.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode
+from maskwright.llm.exact_dedup import OWNER_ROWS, STREAM_ROWS, exact_duplicates, exchange_width, golomb_decode, golomb_encode, suspect_prints
 from maskwright.llm.minhash_dedup import BANDS, ROWS, T, near_duplicates, shingle_set, sketch
 from maskwright.llm.common import KeyFilter, WordHashes, clear_stashes, parts_of, shared_folder
 
@@ -107,6 +108,31 @@ def test_golomb_round_trip():
     assert len(golomb_encode(dense)) < 1300
 
 
+def test_streams_are_linear_in_rows():
+    for rows in (10**8, 10**9, 10**10, 10**11, 65 * 10**9):
+        owners, senders = exchange_width(rows, 200)
+        assert owners * senders <= max(200 * 200, rows / STREAM_ROWS) and rows / owners <= OWNER_ROWS and senders >= 200
+    assert exchange_width(1000, 8) == (8, 8) and exchange_width(0, 8) == (8, 8)
+
+
+def test_suspects_are_the_prints_that_occur_twice(spark, monkeypatch):
+    """Within a sender, across batches of it, across senders, and where streams are cut because they are long."""
+    import maskwright.llm.exact_dedup as m
+
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 30, 6000).tolist() + [7] * 4000 + [(1 << 30) - 1] * 3 + [0, 0]
+    prints += prints[:900]
+    want = {x for x, n in Counter(prints).items() if n > 1}
+    df = spark.createDataFrame([(x,) for x in prints], "print long")
+    for parts, owners, senders, longest in ((1, 4, 4, 4_000_000), (5, 3, 9, 4_000_000), (6, 4, 2, 4_000_000), (3, 1, 3, 512)):
+        monkeypatch.setattr(m, "OWNER_ROWS", longest)
+        found = suspect_prints(df.repartition(parts), 30, owners, senders).collect()
+        assert len(found) == len(want) and {r.print for r in found} == want
+    held = suspect_prints(df.repartition(40), 30, 4, 40).where("often").collect()
+    assert {r.print for r in held} == {7}
+    assert suspect_prints(df.limit(0), 30, 4, 4).count() == 0
+
+
 def test_exact_duplicates_match_brute_force(spark):
     rng = random.Random(2)
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "ab"), (6, "a\tb  "), (7, "a b"), (8, "x" * 300_000), (9, "x" * 300_000 + " "), (10, "AB"), (11, "tie"), (12, "tie")]
