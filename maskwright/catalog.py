@@ -19,12 +19,12 @@ from .operators.profile import merge, profile, profile_of, sketch
 from .operators.pseudonym import alias_table, consistent_fake, digest
 from .operators.redact import SheetResult, audit_report, audit_summary, change_counts, preview, redact, write_parts, write_redacted
 from .plans import registry
-from .plans.lexicon import HEADER_LEXICON, column_label, score_header
+from .plans.lexicon import HEADER_LEXICON, MODE_FOR_TYPE, column_label, score_header
 from .plans.plan import ColumnPlan, RedactionPlan, RedactOptions, confidence_band
 from .session import run_path, stash
 from .sources.xlsx import read_xlsx, sheet_rows, summarise
 from .sources.xlsx_sink import as_sheet, header_sheet, write_book
-from .streaming.redact_stream import alias_writer, redact_stream
+from .streaming.redact_stream import alias_writer, change_counts_by_window, redact_stream
 
 SALT = "fixed-salt"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,7 +167,7 @@ add(
     lambda s, d: table(s, d, "customer").select("c_custkey", fake_currency(fnv_seed(digest(F.col("c_name"), SALT)), F.col("c_acctbal")).alias("out"), fake("currency", "id", fnv_seed(digest(F.col("c_name"), SALT))).alias("plain")),
     f"SELECT c_custkey, CAST(({q.below(1, 9)} + 1) * power(10, CASE WHEN abs(c_acctbal) < 1 THEN 1 ELSE greatest(1, length(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR)) - 1) END) AS DOUBLE) AS out, CAST(({q.below(1, 9)} + 1) * 1000000 AS VARCHAR) AS plain FROM {q.with_draws(f"SELECT c_custkey, c_acctbal, {q.fnv(q.digest('c_name', SALT))} AS seed FROM customer", 1)}",
 )
-add("fake_nik_valid", lambda s, d: table(s, d, "orders").select(consistent_fake(F.col("o_orderkey").cast("string"), "nik", "id", SALT).alias("v")).select(validators.is_nik(F.col("v")).alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT true AS ok, count(*) AS n FROM orders")
+add("fake_nik_valid", lambda s, d: table(s, d, "orders").select(consistent_fake(F.col("o_orderkey").cast("string"), "nik", "id", SALT).alias("v")).select(validators.is_nik(F.col("v")).alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), f"SELECT {q.is_nik('out')} AS ok, count(*) AS n FROM ({_fake_sql('orders', 'o_orderkey', 'nik', 'id', 'CAST(o_orderkey AS VARCHAR)')}) GROUP BY 1")
 
 # --- validators
 cellwise("valid_email", "customer", "c_custkey", f"CASE WHEN c_custkey % 5 = 0 THEN concat(' ', {EMAILS}, chr(9)) WHEN c_custkey % 5 = 1 THEN concat({EMAILS}, ' x') ELSE {EMAILS} END", validators.is_email, q.is_email("v"))
@@ -356,7 +356,11 @@ def _survivors(s: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("c_name").alias("v")).union(out.select("email")).join(originals, "v", "left_semi").agg(F.count("*").alias("survivors"))
 
 
-add("no_original_survives", _survivors, "SELECT CAST(0 AS BIGINT) AS survivors")
+add(
+    "no_original_survives", _survivors,
+    f"WITH t AS (SELECT c_custkey, c_name, {EMAILS} AS email FROM customer), o AS (SELECT c_name AS v FROM t UNION SELECT email FROM t), "
+    f"r AS (SELECT out AS v FROM ({_fake_sql('customer', 'c_custkey', 'name', 'id', 'c_name')}) UNION ALL SELECT {q.digest('email', SALT)} FROM t) SELECT count(*) AS survivors FROM r WHERE v IN (SELECT v FROM o)",
+)
 
 # --- sheets, files and streams
 SHEETS: list[list[list]] = [
@@ -390,10 +394,11 @@ def _sheet_values() -> str:
 _LABEL = "(c IS NOT NULL AND c[1] = 's' AND trim(c[2:]) <> '' AND NOT regexp_matches(trim(c[2:]), '^[0-9]+([.,][0-9]+)?$'))"
 _FULL = "(c IS NOT NULL AND trim(c[2:]) <> '')"
 _B_LABEL, _B_FULL = (x.replace("c[", "b[").replace("c IS", "b IS") for x in (_LABEL, _FULL))
-add(
-    "header_row_detect", _header_rows,
-    f"""
-WITH v(sheet, i, cells) AS (VALUES {_sheet_values()}),
+
+def _detected(values: str) -> str:
+    """The header row of each sheet among rows (sheet, i, cells); a cell is its type's letter and its text."""
+    return f"""
+WITH v(sheet, i, cells) AS ({values}),
 n AS (SELECT *, lead(cells) OVER (PARTITION BY sheet ORDER BY i) AS below FROM v),
 e AS (SELECT sheet, i, len(cells) AS width, unnest(cells) AS c, unnest(list_resize(coalesce(below, []), len(cells))) AS b FROM n),
 r AS (SELECT sheet, i, any_value(width) AS width, CAST(count(*) FILTER ({_FULL}) AS DOUBLE) AS filled, count(*) FILTER ({_LABEL}) AS labels, count(DISTINCT lower(trim(c[2:]))) FILTER ({_FULL}) AS names,
@@ -402,8 +407,10 @@ s AS (SELECT sheet, i, CASE WHEN filled < 2 THEN 0.0 ELSE filled / width * 0.2 +
 k AS (SELECT sheet, max(score) AS best, list(score ORDER BY score DESC, i)[2] AS second, arg_min(i, (-score, i)) AS top, count(*) AS candidates FROM s GROUP BY sheet)
 SELECT sheet, CASE WHEN best >= 0.55 AND least(1.0, best * CASE WHEN best - coalesce(second, 0) > 0.1 THEN 1 ELSE 0.75 END) >= 0.55 THEN top END AS header_index,
   round(CASE WHEN best < 0.55 THEN best ELSE least(1.0, best * CASE WHEN best - coalesce(second, 0) > 0.1 THEN 1 ELSE 0.75 END) END, 6) AS confidence, CAST(candidates AS INTEGER) AS candidates FROM k
-""",
-)
+"""
+
+
+add("header_row_detect", _header_rows, _detected(f"VALUES {_sheet_values()}"))
 
 
 def _workbook(s: SparkSession, d: str) -> DataFrame:
@@ -426,6 +433,23 @@ add("xlsx_round_trip", _xlsx_round_trip, "SELECT CAST(n_nationkey AS INTEGER) AS
 add("xlsx_summary", lambda s, d: summarise(_workbook(s, d)), "SELECT 'nation' AS name, CAST(count(*) + 1 AS INTEGER) AS row_count, 3 AS col_count FROM nation UNION ALL SELECT 'region', CAST(count(*) + 1 AS INTEGER), 2 FROM region")
 
 
+def _workbook_headers(s: SparkSession, d: str) -> DataFrame:
+    """The header rows of sheets that were written from tables."""
+    book = _workbook(s, d)
+    one = lambda name: detect_header_row(sheet_rows(book, name)).select(F.lit(name).alias("sheet"), "header_index", F.round("confidence", 6).alias("confidence"), F.size("candidates").alias("candidates"))
+    return one("nation").union(one("region"))
+
+
+add(
+    "header_row_tables", _workbook_headers,
+    _detected(
+        "SELECT 'nation', 0, ['sn_nationkey', 'sn_name', 'sn_regionkey'] UNION ALL SELECT 'region', 0, ['sr_regionkey', 'sr_name'] "
+        "UNION ALL SELECT 'nation', row_number() OVER (ORDER BY n_nationkey), ['n' || n_nationkey, 's' || n_name, 'n' || n_regionkey] FROM nation "
+        "UNION ALL SELECT 'region', row_number() OVER (ORDER BY r_regionkey), ['n' || r_regionkey, 's' || r_name] FROM region"
+    ),
+)
+
+
 def _parts(s: SparkSession, d: str) -> DataFrame:
     """supplier, redacted, as part workbooks by the executors, read back by a streaming reader whose filters stop it."""
     t = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(4)
@@ -531,3 +555,34 @@ def _alias_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("stream_aliases", _alias_stream, f"SELECT o_orderkey, alias AS o_custkey FROM orders JOIN ({_KEPT}) USING (o_custkey)")
+
+
+def _counts_stream(s: SparkSession, d: str) -> DataFrame:
+    """Changed cells of orders as a stream, by weeks of their dates."""
+    t, base = table(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate"), run_path(s, "stream")
+    plan = _plan(o_orderkey=("hash", "unknown", {}), o_orderpriority=("partial", "text", {}), o_orderstatus=("partial", "text", {"keep_start": 2}))(t)
+    stream = s.readStream.schema(t.schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    counts = change_counts_by_window(stream, plan, SALT, "o_orderdate", "7 days").select(F.date_format("start", "yyyy-MM-dd").alias("week"), "c0", "c1", "c2")
+    latest = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(latest).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/counts")
+
+
+_WEEKLY = {"c0": "true", "c1": f"o_orderpriority <> {q.generic('o_orderpriority')}", "c2": f"o_orderstatus <> {q.generic('o_orderstatus', 2)}"}
+add(
+    "stream_change_counts", _counts_stream,
+    f"SELECT strftime(time_bucket(INTERVAL '7 days', CAST(o_orderdate AS TIMESTAMP), TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS week, {', '.join(f'count(*) FILTER ({v}) AS {n}' for n, v in _WEEKLY.items())} FROM orders GROUP BY 1",
+)
+
+
+def _selected_all(s: SparkSession, d: str, name: str) -> DataFrame:
+    """The plan that a table's profile proposes, with every column selected, and with all but the first deselected again."""
+    key, columns = _PROFILED[name]
+    plan = RedactionPlan.from_profile(profile(table(s, d, name), key, list(columns)).orderBy("index").collect())
+    every, first = plan.select_all(), plan.select_all().clear().with_mode(0, "blank")
+    return s.createDataFrame([(p.header, p.mode, f.mode) for p, f in zip(every, first, strict=True)], "header string, every string, first string")
+
+
+_MODES = " ".join(f"WHEN {q.quoted(k)} THEN {q.quoted(m)}" for k, m in MODE_FOR_TYPE.items())
+for _t in ("customer", "orders"):
+    add(f"plan_select_all_{_t}", lambda s, d, t=_t: _selected_all(s, d, t), f"SELECT header, CASE semantic {_MODES} ELSE 'hash' END AS every, CASE WHEN index = 0 THEN 'blank' END AS first FROM ({q.profile(_t, *_PROFILED[_t])})")
