@@ -35,7 +35,7 @@ from math import ceil, log, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, WordHashes, discard, parts_of, shipped, stash, texts_of, tidy
@@ -190,22 +190,38 @@ def components(edges: DataFrame) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    def written(e: DataFrame) -> tuple[DataFrame, dict]:
+        """e as a table, with its number of rows and a sum over them, which the write itself observes."""
+        seen = Observation()
+        table = stash(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("total")), "edges")
+        return table, seen.get
 
-    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    was = mark(now)
-    while was[0]:
-        new = stash(step(step(now, True), False), "edges")
+    now, was = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while was["n"]:
+        new, is_ = written(step(step(now, True), False))
         discard(now)
-        now, is_ = new, mark(new)
+        now = new
         if is_ == was:
             break
         was = is_
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component), as components() gives it, once links (a, b) join some of its components or new nodes.
+
+    Links become links between components first, so that the rounds work on the components that a link touches and not on all nodes.
+    Both components and the ends of links outside of found are least nodes, so the least of those is the least of all."""
+    x, y = (found.select(F.col("node").alias(f"{end}_node"), F.col("component").alias(f"{end}_part")) for end in "ab")
+    ends = links.join(x, F.col("a") == F.col("a_node"), "left").join(y, F.col("b") == F.col("b_node"), "left")
+    joint = components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    least = joint.select(F.col("node").alias("part"), F.col("component").alias("least"))
+    moved = found.join(least, F.col("component") == F.col("part"), "left").select("node", F.coalesce("least", "component").alias("component"))
+    out = stash(moved.union(joint), "parts")
+    discard(joint)
+    return out
+
+
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(nid, shingles) of the nodes of wanted (nid), from the whole text of one document each; texts of other documents are dropped where they are read."""
     wanted = stash(nodes.select("nid", "rep", "h1", "h2").join(wanted.distinct(), "nid"), "wanted")
@@ -336,13 +352,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     star = _candidates(shared.where("nid <> head").select(F.col("nid").alias("a"), F.col("head").alias("b")), marks, percent)
     sets = _sets_of(star.select(F.col("a").alias("nid")).union(star.select("b")), nodes, docs, size)
     links = _linked(star, sets, percent)
-    found = first = components(links)
+    first = components(links)
     discard(star, links)
 
     # copies of one text that differ from each other more than from it hold together only through a central one: the nodes
     # outside a bucket's largest component try several of its members before everything that is left is looked at
-    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    still = _open_buckets(shared, found)
+    still = _open_buckets(shared, first)
     discard(shared)
     middle = still.where("component = main").groupBy("bucket").agg(F.array_distinct(F.array(*[F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in _SALTS])).alias("heads"))
     middle = stash(middle, "middle")
@@ -351,11 +366,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     more = _sets_of(still.select("nid").distinct().join(sets.select("nid"), "nid", "left_anti"), nodes, docs, size)
     all_sets = sets.union(more)
     tried = _linked(tries, all_sets, percent)
-    discard(tries)
-    joined = joined.union(tried)
-    found = second = components(joined)
+    found = second = merged(first, tried)
+    discard(tries, tried, first)
 
-    rest = _open_buckets(still, found)
+    rest = _open_buckets(still, second)
     discard(still)
     few = rest.where(F.col("members") <= FEW).join(marks, "nid")
     x, y = few.where("component <> main").alias("x"), few.alias("y")
@@ -366,13 +380,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     large = _large_bucket_links(rest.where(F.col("members") > FEW), all_sets, nodes, percent)
     last = close.union(large)
     if not last.isEmpty():
-        found = components(joined.union(last))
+        found = merged(second, last)
 
     in_part = nodes.select("nid", "rep", "h1", "h2").join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     least = stash(in_part.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     named = stash(in_part.join(least, "component").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "component_id"), "named")
     rows = stash(sketches.select("doc_id", "n_shingles", "h1", "h2"), "rows")
-    discard(sketches, nodes, sets, more, rest, first, tried, second, close, large, least, None if found is second else found)
+    discard(sketches, nodes, sets, more, rest, second, close, large, least, None if found is second else found)
     out = rows.join(named, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), "left")
     out = out.withColumn("component_id", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from maskwright.llm.exact_dedup import OWNER_ROWS, STREAM_ROWS, exact_duplicates, exchange_width, golomb_decode, golomb_encode, suspect_prints
-from maskwright.llm.minhash_dedup import BANDS, ROWS, T, near_duplicates, shingle_set, sketch
+from maskwright.llm.minhash_dedup import BANDS, ROWS, T, components, merged, near_duplicates, shingle_set, sketch
 from maskwright.llm.common import KeyFilter, WordHashes, clear_stashes, parts_of, shared_folder
 
 SCHEMA = "n_chars long, doc_id long, text string, size int, digest string, component string"
@@ -99,6 +99,36 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in near_duplicates(frame(spark, [(5, None)]), 2).collect()] == [(5, 0, 5, True)]
 
 
+def test_components_grow_by_later_links(spark):
+    rng = random.Random(8)
+    chain = [(n, n + 1) for n in range(100, 140)]
+    hub = [(7, n) for n in range(200, 260)]
+    first = chain + hub + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(60)] + [(5, 5)]
+    later = [(rng.randrange(250, 700), rng.randrange(90, 700)) for _ in range(40)] + [(1, 7), (1, 7), (140, 2), (900, 901), (3, 3)]
+    found = components(spark.createDataFrame(first, "a long, b long"))
+
+    def least(links):
+        part = {}
+
+        def root(n):
+            while part.setdefault(n, n) != n:
+                n = part[n]
+            return n
+
+        for a, b in links:
+            part[max(root(a), root(b))] = min(root(a), root(b))
+        return {n: root(n) for n in list(part) if root(n) != n}
+
+    assert {r.node: r.component for r in found.collect()} == least(first)
+    joined = merged(found, spark.createDataFrame(later, "a long, b long"))
+    rows = [(r.node, r.component) for r in joined.collect()]
+    assert dict(rows) == least(first + later) and len(dict(rows)) == len(rows)
+    nothing = spark.createDataFrame([], "a long, b long")
+    assert {r.node: r.component for r in merged(joined, nothing).collect()} == dict(rows)
+    assert components(nothing).count() == 0 and merged(components(nothing), nothing).count() == 0
+    assert {r.node: r.component for r in merged(components(nothing), spark.createDataFrame(later, "a long, b long")).collect()} == least(later)
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(3)
     for n, bits in ((0, 20), (1, 60), (2, 63), (900, 24), (20_000, 40)):
